@@ -166,7 +166,7 @@ def summed_arrays(df: DataFrame, columns: list[str], count: Callable[[Iterator[p
             part = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_pydict({"piece": pa.array(range(pieces), pa.int32()), "part": pa.array([part] * pieces, pa.int32()), "counts": [zlib.compress(own[i * step : (i + 1) * step].tobytes(), 1) for i in range(pieces)]})
 
-    def add(key, batches):
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(step, np.int64)
         for batch in batches:
             for x in batch.column("counts").to_pylist():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import jaccard, packing
 from .common import table
 
 
@@ -15,12 +15,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    return jaccard.classes(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())[0]
 
 
 QUERIES = {
+    "op5_jaccard_join": op5_jaccard_join,
     "op10_packing": op10_packing,
 }
 SQL: dict[str, str] = {}
