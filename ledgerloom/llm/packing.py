@@ -17,19 +17,21 @@ their own; an empty table gives no piece; further columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, codes, materialize, steps, words
+from .common import codes, materialize, steps, words
 
 ENCODED = "row long, part int, doc_id long, n long, ids binary, full_crcs array<long>, rest_crc long, klass int, rank long, full_rank long"
 #: Words whose ids a worker keeps; beyond it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Width of the stretches that gaps and filling documents are matched in.
 STRETCH = 1 << 16
 #: Sequences or partitions whose running sums one window holds.
@@ -53,55 +55,42 @@ class WordEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @classmethod
+    def of_worker(cls, path: str) -> WordEncoder:
+        """This Python worker's encoder: its known words serve all tasks that the worker runs."""
+        import sys
+        import types
 
-    def _parts(self, word: str) -> tuple[str, str]:
-        stem = word.rstrip(".,")
-        if not stem or not stem[-1].isalpha():
-            stem = word
-        tail = word[len(stem) :]
-        return (stem.lower() if stem.isascii() and "<|" not in stem else stem), tail
+        kept = sys.modules.setdefault("_loom_encoders", types.ModuleType("_loom_encoders")).__dict__
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
-    def _learn(self, new: list[str]) -> None:
+    def _ids(self, strings: list[str]) -> list[bytes]:
+        new = [x for x in strings if x not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
-            self.stems.clear()
-        parts = [self._parts(w) for w in new]
-        todo = list(dict.fromkeys(x for p in parts for x in p if x and x not in self.stems))
-        self.stems.update(zip(todo, self._encode(todo), strict=True))
-        stems = self.stems
-        for w, (stem, tail) in zip(new, parts, strict=True):
-            self.known[w] = stems[stem] + stems[tail] if tail else stems[stem]
-
-    def __call__(self, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids (uint16), flat, and the offsets of each text's ids, its end id included."""
+            new = strings
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            self.known.update(zip(part, [array("H", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
+        return [self.known[x] for x in strings]
+
+    def __call__(self, text: pa.Array, end_id: int) -> list[bytes]:
+        """The ids (16-bit) of each text, its end id included."""
         flat, offsets = words(text)
         code, distinct = codes(flat)
-        strings = distinct.to_pylist()
-        new = [w for w in strings if w not in self.known]
-        if new:
-            self._learn(new)
-            missing = [w for w in strings if w not in self.known]  # the cache may have started anew
-            if missing:
-                self._learn(missing)
-        got = [self.known[w] for w in strings]
-        values = np.frombuffer(b"".join(got), "<u2")
-        size = np.fromiter(map(len, got), np.int64, len(got)) // 2
-        first = np.cumsum(size) - size
-        long = size[code]
-        ends = np.zeros(len(code) + 1, np.int64)
-        np.cumsum(long, out=ends[1:])
-        n = np.diff(ends[offsets]) + 1
-        out_offsets = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(n, out=out_offsets[1:])
-        out = np.full(out_offsets[-1], end_id, np.uint16)
-        inner = np.ones(len(out), bool)
-        inner[out_offsets[1:] - 1] = False
-        out[inner] = values[np.repeat(first[code] - ends[:-1], long) + np.arange(ends[-1])]
-        return out, out_offsets
+        distinct = distinct.cast(pa.large_string())
+        parts = pc.extract_regex(distinct, r"^(?P<stem>.*\p{L})(?P<tail>[.,]+)$")
+        stem = pc.if_else(parts.is_valid(), pc.struct_field(parts, "stem"), distinct)
+        tail = pc.if_else(parts.is_valid(), pc.struct_field(parts, "tail"), "")
+        stem = pc.if_else(pc.match_substring(stem, "<|"), stem, pc.ascii_lower(stem))
+        (stem_code, stems), (tail_code, tails) = codes(stem), codes(tail)
+        stem_ids, tail_ids = self._ids(stems.to_pylist()), self._ids(tails.to_pylist())
+        ids = [stem_ids[a] + tail_ids[b] for a, b in zip(stem_code.tolist(), tail_code.tolist(), strict=True)]
+        flat_ids, end = list(map(ids.__getitem__, code.tolist())), array("H", [end_id]).tobytes()
+        return [b"".join(flat_ids[a:b]) + end for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, grid: int) -> DataFrame:
@@ -110,12 +99,11 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, gri
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
-        part, row, fulls, encoder = TaskContext.get().partitionId(), 0, 0, None
+        part, row, fulls, encoder = TaskContext.get().partitionId(), 0, 0, WordEncoder.of_worker(tokenizer_path)
         seen = np.zeros(capacity // grid + 2, np.int64)
-        for batch in steps(batches, "text", STEP_BYTES // 2):
-            encoder = encoder or WordEncoder(tokenizer_path)
-            ids, offsets = encoder(batch.column("text"), end_id)
-            n = np.diff(offsets)
+        for batch in steps(batches, "text"):
+            ids = encoder(batch.column("text"), end_id)
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
             rest = n % capacity
             klass = -(-rest // grid)
             order = np.argsort(klass, kind="stable")
@@ -127,14 +115,13 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, gri
             full = n // capacity
             full_rank = fulls + np.cumsum(full) - full
             fulls += int(full.sum())
-            crcs, rests, blobs = [], [], []
-            for a, b, r in zip(offsets[:-1].tolist(), offsets[1:].tolist(), rest.tolist(), strict=True):
-                wide = ids[a:b].astype("<u4")
-                crcs.append([zlib.crc32(wide[i : i + capacity]) for i in range(0, b - a - r, capacity)])
-                rests.append(zlib.crc32(wide[b - a - r :]))
-                blobs.append(ids[a:b].tobytes())
+            crcs, rests = [], []
+            for x, r in zip(ids, rest.tolist(), strict=True):
+                wide = np.frombuffer(x, "<u2").astype("<u4")
+                crcs.append([zlib.crc32(wide[i : i + capacity]) for i in range(0, len(wide) - r, capacity)])
+                rests.append(zlib.crc32(wide[len(wide) - r :]))
             yield pa.RecordBatch.from_pydict({
-                "row": (np.int64(part) << 33) + row + np.arange(len(n)), "part": np.full(len(n), part, np.int32), "doc_id": batch.column("doc_id"), "n": n, "ids": pa.array(blobs, pa.binary()),
+                "row": (np.int64(part) << 33) + row + np.arange(len(n)), "part": np.full(len(n), part, np.int32), "doc_id": batch.column("doc_id"), "n": n, "ids": pa.array(ids, pa.binary()),
                 "full_crcs": pa.array(crcs, pa.list_(pa.int64())), "rest_crc": pa.array(rests, pa.int64()), "klass": klass.astype(np.int32), "rank": rank, "full_rank": full_rank,
             })
             row += len(n)
