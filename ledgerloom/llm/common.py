@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,6 +184,15 @@ def summed_arrays(df: DataFrame, columns: list[str], count: Callable[[Iterator[p
     return out[:size]
 
 
+def ship(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of ``value`` with the code of its class; ``received`` unpacks it in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shipped: Broadcast) -> object:
+    return cloudpickle.loads(shipped.value)
+
+
 def with_columns(batch: pa.RecordBatch, **more: pa.Array) -> pa.RecordBatch:
     """``batch`` with further columns."""
     return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=[*batch.schema.names, *more])
