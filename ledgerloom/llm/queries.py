@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing
+from . import decontaminate, jaccard, langid, packing
 from .common import table
 
 
@@ -26,6 +26,20 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def text_crc(column: str = "doc_id") -> str:
+    """crc32 of an id as text."""
+    return f"crc32(cast(cast({column} as string) as binary))"
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.expr(f"{text_crc()} % 4 = 2")
+    model = langid.fit(docs, ~held_out)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())[0]
@@ -34,6 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
+    "op8_language_id": op8_language_id,
     "op10_packing": op10_packing,
 }
 SQL: dict[str, str] = {}
