@@ -101,7 +101,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, gri
 
         part, row, fulls, encoder = TaskContext.get().partitionId(), 0, 0, WordEncoder.of_worker(tokenizer_path)
         seen = np.zeros(capacity // grid + 2, np.int64)
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", 4 << 20):
             ids = encoder(batch.column("text"), end_id)
             n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
             rest = n % capacity
