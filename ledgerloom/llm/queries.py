@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, packing
+from . import decontaminate, jaccard, langid, packing, quality
 from .common import table
 
 
@@ -15,6 +15,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def text_crc(column: str = "doc_id") -> str:
+    """crc32 of an id as text."""
+    return f"crc32(cast(cast({column} as string) as binary))"
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted."""
+    held_out = F.expr(f"{text_crc()} % 5 = 0")
+    model, x = quality.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(~held_out))
+    return quality.scored(x, model).select("doc_id", held_out.alias("held_out"), "score", F.expr("cast(score >= 0.3 as int)").alias("predicted"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     return jaccard.classes(table(spark, sf_dir, "documents"), k=3, percent=90)
@@ -26,11 +38,6 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def text_crc(column: str = "doc_id") -> str:
-    """crc32 of an id as text."""
-    return f"crc32(cast(cast({column} as string) as binary))"
-
-
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     docs = table(spark, sf_dir, "documents")
@@ -46,6 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
     "op8_language_id": op8_language_id,
