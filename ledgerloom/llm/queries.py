@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, packing, quality
+from . import decontaminate, jaccard, langid, packing, quality, repetition
 from .common import table
 
 
@@ -20,6 +20,12 @@ def text_crc(column: str = "doc_id") -> str:
     return f"crc32(cast(cast({column} as string) as binary))"
 
 
+def op1_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
+    found = repetition.rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     held_out = F.expr(f"{text_crc()} % 5 = 0")
@@ -53,10 +59,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repetition_rules": op1_repetition_rules,
     "op2_quality_classifier": op2_quality_classifier,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
     "op8_language_id": op8_language_id,
     "op10_packing": op10_packing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_repetition_rules": repetition.SQL,
+}
