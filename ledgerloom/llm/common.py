@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -67,6 +69,13 @@ def release(spark: SparkSession) -> None:
         pass
 
 
+def _trim() -> None:
+    """Give memory that Python and Arrow have freed back to the system: idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold at most ``limit`` bytes in ``column`` (one row at least): bounds a worker's memory."""
     for batch in batches:
@@ -78,6 +87,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
             to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    _trim()
 
 
 def text_buffer(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
