@@ -25,7 +25,9 @@ from .common import LOWER, codes, materialize, mix, owners, per_row, steps, summ
 from .components import components
 
 #: Counters of the frequency sketch, and of the filter of wanted documents.
-SKETCH = 1 << 20
+SKETCH, WANTED = 1 << 21, 1 << 20
+#: A shingle is frequent if its counter exceeds the median by so many times the lower spread, which frequent shingles do not widen.
+SPREADS = 6
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 
 
@@ -73,7 +75,7 @@ def shingles(text: pa.Array, k: int, distinct: bool = True) -> tuple[np.ndarray,
 
 
 def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
-    """0 to 15 for each counter of the sketch: how many times more often than usual its shingles occur, as a power of two."""
+    """0 to 15 for each counter of the sketch: 0 for what other shingles' chance collisions explain, else the power of two of the excess."""
 
     def count(batches, own):
         for batch in steps(batches, "text"):
@@ -81,8 +83,9 @@ def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
             own[:SKETCH] += np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
 
     total = summed_arrays(docs, ["text"], count, SKETCH)
-    usual = max(2 * total.sum() / SKETCH, 4.0)
-    return np.clip(np.floor(np.log2(np.maximum(total / usual, 1.0))), 0, 15).astype(np.uint8)
+    low, usual = np.quantile(total, [0.16, 0.5])
+    excess = (total - usual) / (SPREADS * max(usual - low, 1.0))
+    return np.where(excess < 1, 0, np.minimum(1 + np.floor(np.log2(np.maximum(excess, 1))), 15)).astype(np.uint8)
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -113,13 +116,13 @@ def _wanted(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc_id, set) of the documents in ``ids``, read again from their texts, and of a few more: a fixed-size filter picks them before anything is shuffled."""
 
     def slot(x: np.ndarray) -> np.ndarray:
-        return (mix(x.astype(np.int64).view(np.uint64)) % np.uint64(SKETCH)).astype(np.int64)
+        return (mix(x.astype(np.int64).view(np.uint64)) % np.uint64(WANTED)).astype(np.int64)
 
     def count(batches, own):
         for batch in batches:
             own[slot(batch.column("id").to_numpy())] = 1
 
-    has = docs.sparkSession.sparkContext.broadcast(summed_arrays(ids, ["id"], count, SKETCH) > 0)
+    has = docs.sparkSession.sparkContext.broadcast(summed_arrays(ids, ["id"], count, WANTED) > 0)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
