@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, packing, quality, repetition
+from . import chat, decontaminate, jaccard, langid, packing, quality, repetition, urlfilter
 from .common import table
 
 
@@ -33,6 +33,17 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(x, model).select("doc_id", held_out.alias("held_out"), "score", F.expr("cast(score >= 0.3 as int)").alias("predicted"))
 
 
+#: The URL rules of op4.
+URL_RULES = [urlfilter.parse_rule(*x) for x in (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = urlfilter.fit(pages, "url", urlfilter.seeded(F.col("url"), URL_RULES))
+    return urlfilter.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     return jaccard.classes(table(spark, sf_dir, "documents"), k=3, percent=90)
@@ -53,6 +64,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+#: A further conversation whose texts hold control strings.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per conversation, read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], rows.schema)
+    return chat.read_back(chat.formatted(rows.unionByName(hard)))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())[0]
@@ -61,9 +83,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_repetition_rules": op1_repetition_rules,
     "op2_quality_classifier": op2_quality_classifier,
+    "op4_url_filter": op4_url_filter,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
     "op8_language_id": op8_language_id,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_packing": op10_packing,
 }
 SQL: dict[str, str] = {
