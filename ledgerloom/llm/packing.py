@@ -72,10 +72,25 @@ class WordEncoder:
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
             new = strings
+        plain = [x for x in new if x.isalpha()]
+        for at in range(0, len(plain), 8192):
+            self._learn_letters(plain[at : at + 8192])
+        self._learn([x for x in new if x not in self.known])
+        return [self.known[x] for x in strings]
+
+    def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             self.known.update(zip(part, [array("H", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
-        return [self.known[x] for x in strings]
+
+    def _learn_letters(self, new: list[str], together: int = 64) -> None:
+        """Words of letters alone are a stretch each for the tokenizer: many are encoded as one text and told apart by their places in it. A text whose stretches are not its words is left."""
+        parts = [new[i : i + together] for i in range(0, len(new), together)]
+        for part, x in zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            place = np.array(x.word_ids)
+            if len(place) and place[-1] == len(part) - 1 and (np.diff(place) <= 1).all() and place[0] == 0:
+                ids, ends = array("H", x.ids).tobytes(), (2 * np.searchsorted(place, np.arange(len(part) + 1))).tolist()
+                self.known.update({w: ids[a:b] for w, a, b in zip(part, ends[:-1], ends[1:], strict=True)})
 
     def __call__(self, text: pa.Array, end_id: int) -> list[bytes]:
         """The ids (16-bit) of each text, its end id included."""
