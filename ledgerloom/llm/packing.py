@@ -300,7 +300,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     stretches = F.explode(F.expr(f"sequence(lo div {STRETCH}, (hi - 1) div {STRETCH})")).alias("stretch")
     cuts = filler.select("*", stretches).alias("f").join(gaps.select("*", stretches).alias("g"), F.expr(f"f.stretch = g.stretch and f.lo < g.hi and g.lo < f.hi and greatest(f.lo, g.lo) div {STRETCH} = f.stretch"))
     cuts = cuts.select("row", F.expr("begin + greatest(f.lo, g.lo) - f.lo").alias("start"), F.expr("least(f.hi, g.hi) - greatest(f.lo, g.lo)").alias("length"), "sequence_id", F.expr("off0 + greatest(f.lo, g.lo) - g.lo").alias("offset"))
-    cut = encoded.select("row", "doc_id", F.col("n").alias("doc_tokens"), "ids").join(cuts, "row").select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset").mapInArrow(_checksums, PIECES)
+    assigned = {k: 0 for k in range(capacity // grid + 1)} | {row[0]: 0 for row in chosen.rows}
+    for k, _, hi, *_ in chosen.rows:
+        assigned[k] = max(assigned[k], hi)
+    limit = F.element_at(F.array(*[F.lit(assigned[k]).cast("long") for k in range(capacity // grid + 1)]), F.col("klass") + 1)
+    held = encoded.filter(f"n % {capacity} > 0").select("row", "doc_id", F.col("n").alias("doc_tokens"), "ids", "part", "klass", "rank").join(starts, ["part", "klass"]).filter(F.col("rank") + F.col("first") >= limit)
+    cut = held.select("row", "doc_id", "doc_tokens", "ids").join(cuts, "row").select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset").mapInArrow(_checksums, PIECES)
     return whole.unionByName(long).unionByName(cut), encoded
 
 
