@@ -38,11 +38,28 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder[0]
 
 
+#: Bytes of an Arrow batch in the jobs that run here.
+BATCH_BYTES = "4m"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside move Arrow batches of ``BATCH_BYTES``; the session's own setting holds again afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/loom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     _tables(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -189,7 +206,9 @@ def summed_arrays(df: DataFrame, columns: list[str], count: Callable[[Iterator[p
     found = df.select(*columns).mapInArrow(fill, form)
     found = found.groupBy("piece", (F.col("part") / 64).cast("int").alias("some")).applyInArrow(add, form).groupBy("piece").applyInArrow(add, form)
     out = np.zeros(step * pieces, np.int64)
-    for row in found.collect():
+    with small_batches(df.sparkSession):
+        rows = found.collect()
+    for row in rows:
         out[row.piece * step : (row.piece + 1) * step] = np.frombuffer(zlib.decompress(row.counts), np.int64)
     return out[:size]
 
