@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, packing, quality, repetition, urlfilter
+from . import chat, decontaminate, jaccard, langid, licenses, packing, quality, repetition, urlfilter
 from .common import table
 
 
@@ -33,6 +33,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(x, model).select("doc_id", held_out.alias("held_out"), "score", F.expr("cast(score >= 0.3 as int)").alias("predicted"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, licenses (ids, comma-joined), n_licenses."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_licenses")
+
+
 #: The URL rules of op4.
 URL_RULES = [urlfilter.parse_rule(*x) for x in (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))]
 
@@ -83,6 +89,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_repetition_rules": op1_repetition_rules,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_license_scan": op3_license_scan,
     "op4_url_filter": op4_url_filter,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
@@ -92,4 +99,5 @@ QUERIES = {
 }
 SQL: dict[str, str] = {
     "op1_repetition_rules": repetition.SQL,
+    "op3_license_scan": licenses.SQL,
 }
