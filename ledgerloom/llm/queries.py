@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, licenses, packing, quality, repetition, urlfilter
+from . import chat, decontaminate, jaccard, langid, licenses, packing, quality, repetition, urlfilter, wrapper
 from .common import table
 
 
@@ -61,6 +61,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: page_id, url, text, n_chars."""
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     docs = table(spark, sf_dir, "documents")
@@ -93,6 +98,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
+    "op7_html_extraction": op7_html_extraction,
     "op8_language_id": op8_language_id,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_packing": op10_packing,
