@@ -55,13 +55,27 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and outlives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and outlives lost executors. ``discard`` deletes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/loom/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
     _tables(spark).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loom_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing will read again."""
+    for df in tables:
+        _delete(df.sparkSession, df._loom_path)
+        _tables(df.sparkSession).remove(df._loom_path)
 
 
 _written: dict[str, list[str]] = {}
@@ -78,10 +92,8 @@ def _tables(spark: SparkSession) -> list[str]:
 def release(spark: SparkSession) -> None:
     """Delete the tables that ``materialize`` has written in this session; results that read them must be consumed before."""
     try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in _written.pop(spark.sparkContext.applicationId, []):
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            _delete(spark, path)
     except Exception:  # noqa: BLE001  the session may be gone at exit
         pass
 

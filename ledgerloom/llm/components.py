@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -36,6 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now.n == 0 or now == state:
             break
         state = now
-        edges = materialize(_star(_star(edges, small=False), small=True), "edges")
+        before, edges = edges, materialize(_star(_star(edges, small=False), small=True), "edges")
+        discard(before)
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
