@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, codes, materialize, mix, owners, per_row, steps, summed_arrays, words
+from .common import LOWER, codes, discard, materialize, mix, owners, per_row, steps, summed_arrays, words
 from .components import components
 
 #: Counters of the frequency sketch, and of the filter of wanted documents.
@@ -129,10 +129,10 @@ def _wanted(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             kept = batch.filter(pa.array(has.value[slot(batch.column("doc_id").to_numpy())]))
             for part in steps([kept], "text"):
                 s, _, row = shingles(part.column("text"), k)
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "set": pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.view(np.int64)))})
+                offsets = pa.array(8 * np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "set": pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets.buffers()[1], pa.py_buffer(s)])})
 
-    return docs.mapInArrow(run, "doc_id long, set array<long>")
+    return docs.mapInArrow(run, "doc_id long, set binary")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -141,24 +141,38 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     sets = materialize(_wanted(docs, ids, k), "sets")
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    # the set that stays with the pair is shuffled once; the other side's copies are only read
-    both = pairs.join(x, "a").join(y, "b").withColumn("same", F.size(F.array_intersect("x", "y")))
-    return both.filter(f"100 * same >= {percent} * (size(x) + size(y) - same)").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    def similar(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column("x"), batch.column("y"), strict=True):
+                p, q = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
+                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+                same = int((q[at] == p).sum())
+                keep.append(100 * same >= percent * (len(p) + len(q) - same))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    # one side's set moves with the pair; the other's is only read
+    both = pairs.join(x, "a").join(y, "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y")
+    links = materialize(both.mapInArrow(similar, "u long, v long"), "links")
+    discard(pairs, sets)
+    return links
 
 
 def _across(entries: DataFrame, key: str) -> DataFrame:
-    """Pairs of (gid, comp) that share a key and differ in comp, with the number of keys they share.
+    """Pairs p < q of subgroups (sid) that share a key and differ in comp, their sizes, and the number of keys they share.
 
     Only what is outside a key's largest class is joined with the rest: a list within one class costs nothing.
     """
     counts = entries.groupBy(key, "comp").count()
-    major = counts.groupBy(key).agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.count("*").alias("n_comps")).filter("n_comps > 1").drop("n_comps")
-    mixed = materialize(entries.join(major, key), "mixed")
+    major = counts.groupBy(key).agg(F.max_by("comp", "count").alias("major"), F.count("*").alias("n_comps")).filter("n_comps > 1").drop("n_comps")
+    mixed = materialize(entries.join(major, key).select(key, "sid", "comp", "n", "percent", "major"), "mixed")
     x, y = mixed.filter("comp != major").alias("x"), mixed.alias("y")
-    pairs = x.join(y, F.expr(f"x.{key} = y.{key} and x.comp != y.comp and (y.comp = y.major or struct(x.gid, x.comp) < struct(y.gid, y.comp)) and x.n * 100 >= y.n * x.percent and y.n * 100 >= x.n * x.percent"))
-    one, two = F.struct("x.gid", "x.comp", "x.n"), F.struct("y.gid", "y.comp", "y.n")
-    pairs = pairs.select(F.least(one, two).alias("p"), F.greatest(one, two).alias("q"))
-    return pairs.groupBy("p", "q").agg(F.count("*").alias("shared"))
+    pairs = x.join(y, F.expr(f"x.{key} = y.{key} and x.comp != y.comp and (y.comp = y.major or x.sid < y.sid) and x.n * 100 >= y.n * x.percent and y.n * 100 >= x.n * x.percent"))
+    pairs = pairs.selectExpr("least(x.sid, y.sid) as p", "greatest(x.sid, y.sid) as q", "if(x.sid < y.sid, x.n, y.n) as p_n", "if(x.sid < y.sid, y.n, x.n) as q_n")
+    found = materialize(pairs.groupBy("p", "q", "p_n", "q_n").agg(F.count("*").alias("shared")), "across")
+    discard(mixed)
+    return found
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -177,8 +191,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     grouped = materialize(viable.select("rep", "n", "p1", "p2").join(viable.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid")), ["n", "p1", "p2"]).select("rep", "n", "gid"), "groups")
 
     postings = viable.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("tok"), "gid", "n").repartition("tok")
-    lists = postings.groupBy("tok").agg(F.count("*").alias("many"), F.min(F.struct("gid", "n")).alias("least")).filter("many > 1")
-    index = materialize(postings.join(lists, "tok").select("tok", "gid", "n", F.col("least.gid").alias("anchor"), F.col("least.n").alias("anchor_n"), F.lit(percent).alias("percent")), "index")
+    lists = postings.groupBy("tok").agg(F.count("*").alias("many"), F.min("gid").alias("anchor"), F.min_by("n", "gid").alias("anchor_n")).filter("many > 1")
+    index = materialize(postings.join(lists, "tok").select("tok", "gid", "n", "anchor", "anchor_n"), "index")
 
     prefix = f"(%s - ({percent} * %s + 99) div 100 + 1)"
     rest = lambda n: f"({n} - {prefix % (n, n)})"  # noqa: E731  what is behind the prefix
@@ -186,18 +200,19 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     fits = lambda a, b: f"{a} * 100 >= {b} * {percent} and {b} * 100 >= {a} * {percent}"
     first = index.filter("gid != anchor").filter(fits("n", "anchor_n")).groupBy("gid", "anchor", "n", "anchor_n").count().filter(f"4 * count >= {needed('n', 'anchor_n')}")
     first = first.select(F.col("gid").alias("a"), F.col("anchor").alias("b")).unionByName(grouped.filter("rep != gid").select(F.col("rep").alias("a"), F.col("gid").alias("b")))
-    links = materialize(verified(docs, first, k, percent), "links")
+    links = verified(docs, first, k, percent)
     known = materialize(components(links), "classes")
 
     comp = F.coalesce("component", "rep").alias("comp")
-    members = materialize(grouped.join(known, grouped.rep == known.node, "left").select("rep", "gid", "n", comp), "members")
-    subgroups = members.select("gid", "comp", "n", F.lit(percent).alias("percent")).distinct()
-    more = _across(index.select("tok", "gid").join(subgroups, "gid"), "tok").filter(f"shared >= {needed('p.n', 'q.n')}")
-    more = more.select("p", "q").unionByName(_across(subgroups.withColumn("group", F.col("gid")), "group").select("p", "q"))
-    p = members.select(F.col("gid").alias("p_gid"), F.col("comp").alias("p_comp"), F.col("rep").alias("a"))
-    q = members.select(F.col("gid").alias("q_gid"), F.col("comp").alias("q_comp"), F.col("rep").alias("b"))
-    more = more.select(F.col("p.gid").alias("p_gid"), F.col("p.comp").alias("p_comp"), F.col("q.gid").alias("q_gid"), F.col("q.comp").alias("q_comp"))
-    links = links.unionByName(verified(docs, more.join(p, ["p_gid", "p_comp"]).join(q, ["q_gid", "q_comp"]), k, percent))
+    members = grouped.join(known, grouped.rep == known.node, "left").select("rep", "gid", "n", comp)
+    # the members of a group in one class are a subgroup, named by its least member
+    members = materialize(members.join(members.groupBy("gid", "comp").agg(F.min("rep").alias("sid")), ["gid", "comp"]), "members")
+    subgroups = members.filter("rep = sid").select("gid", "sid", "comp", "n", F.lit(percent).alias("percent"))
+    by_token, by_group = _across(index.select("tok", "gid").join(subgroups, "gid"), "tok"), _across(subgroups, "gid")
+    more = by_token.filter(f"shared >= {needed('p_n', 'q_n')}").select("p", "q").unionByName(by_group.select("p", "q"))
+    p, q = members.select(F.col("sid").alias("p"), F.col("rep").alias("a")), members.select(F.col("sid").alias("q"), F.col("rep").alias("b"))
+    links = links.unionByName(verified(docs, more.join(p, "p").join(q, "q"), k, percent))
+    discard(index, grouped, members, by_token, by_group)
 
     # rows of one doc_id with different texts
     row_reps = own.filter("n > 0").select("doc_id", "n", "d1", "d2").join(reps.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"])
