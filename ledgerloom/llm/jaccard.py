@@ -6,8 +6,8 @@
 3. Representatives with identical prefixes and size collapse into one group; the inverted index holds groups.
 4. Each group is first compared to the least group of each index list, each member to its group's first: these
    pairs are linear in the index. Verified links form classes.
-5. Pairs of groups that share an index entry and have members of different classes are counted, filtered
-   by size and by their prefixes' overlap, expanded to members and verified. Pairs within a class need no look.
+5. Pairs of groups that share an index entry and have members of different classes are filtered by size and by
+   the entry's places in both prefixes, expanded to members and verified. Pairs within a class need no look.
 
 No pair of different classes that could be similar is passed over, so classes equal those of the full join.
 """
@@ -25,9 +25,9 @@ from .common import LOWER, codes, discard, materialize, mix, owners, per_row, st
 from .components import components
 
 #: Counters of the frequency sketch, and of the filter of wanted documents.
-SKETCH, WANTED = 1 << 21, 1 << 20
+SKETCH, WANTED = 1 << 22, 1 << 20
 #: A shingle is frequent if its counter exceeds the median by so many times the lower spread, which frequent shingles do not widen.
-SPREADS = 6
+SPREADS = 3
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 
 
@@ -159,18 +159,20 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return links
 
 
-def _across(entries: DataFrame, key: str) -> DataFrame:
-    """Pairs p < q of subgroups (sid) that share a key and differ in comp, their sizes, and the number of keys they share.
+def _across(entries: DataFrame, key: str, percent: int) -> DataFrame:
+    """Pairs (p, q) of subgroups (sid) that may hold similar sets and differ in comp. entries: key, pos, sid, comp, n.
 
-    Only what is outside a key's largest class is joined with the rest: a list within one class costs nothing.
+    A similar pair's first common entry has enough of both sets behind it; only such entries make a pair. And only what
+    is outside a key's largest class is joined with the rest: a list within one class costs nothing.
     """
     counts = entries.groupBy(key, "comp").count()
     major = counts.groupBy(key).agg(F.max_by("comp", "count").alias("major"), F.count("*").alias("n_comps")).filter("n_comps > 1").drop("n_comps")
-    mixed = materialize(entries.join(major, key).select(key, "sid", "comp", "n", "percent", "major"), "mixed")
+    mixed = materialize(entries.join(major, key).select(key, "pos", "sid", "comp", "n", "major"), "mixed")
     x, y = mixed.filter("comp != major").alias("x"), mixed.alias("y")
-    pairs = x.join(y, F.expr(f"x.{key} = y.{key} and x.comp != y.comp and (y.comp = y.major or x.sid < y.sid) and x.n * 100 >= y.n * x.percent and y.n * 100 >= x.n * x.percent"))
-    pairs = pairs.selectExpr("least(x.sid, y.sid) as p", "greatest(x.sid, y.sid) as q", "if(x.sid < y.sid, x.n, y.n) as p_n", "if(x.sid < y.sid, y.n, x.n) as q_n")
-    found = materialize(pairs.groupBy("p", "q", "p_n", "q_n").agg(F.count("*").alias("shared")), "across")
+    sizes = f"x.n * 100 >= y.n * {percent} and y.n * 100 >= x.n * {percent}"
+    enough = f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent} <= least(x.n - x.pos, y.n - y.pos)"
+    pairs = x.join(y, F.expr(f"x.{key} = y.{key} and x.comp != y.comp and (y.comp = y.major or x.sid < y.sid) and {sizes} and {enough}"))
+    found = materialize(pairs.selectExpr("least(x.sid, y.sid) as p", "greatest(x.sid, y.sid) as q").distinct(), "across")
     discard(mixed)
     return found
 
@@ -190,9 +192,9 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     viable = reps.filter("size(prefix) > 0")
     grouped = materialize(viable.select("rep", "n", "p1", "p2").join(viable.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid")), ["n", "p1", "p2"]).select("rep", "n", "gid"), "groups")
 
-    postings = viable.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("tok"), "gid", "n").repartition("tok")
+    postings = viable.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix")).select(F.posexplode("prefix").alias("pos", "tok"), "gid", "n").repartition("tok")
     lists = postings.groupBy("tok").agg(F.count("*").alias("many"), F.min("gid").alias("anchor"), F.min_by("n", "gid").alias("anchor_n")).filter("many > 1")
-    index = materialize(postings.join(lists, "tok").select("tok", "gid", "n", "anchor", "anchor_n"), "index")
+    index = materialize(postings.join(lists, "tok").select("tok", "pos", "gid", "n", "anchor", "anchor_n"), "index")
 
     prefix = f"(%s - ({percent} * %s + 99) div 100 + 1)"
     rest = lambda n: f"({n} - {prefix % (n, n)})"  # noqa: E731  what is behind the prefix
@@ -207,9 +209,9 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     members = grouped.join(known, grouped.rep == known.node, "left").select("rep", "gid", "n", comp)
     # the members of a group in one class are a subgroup, named by its least member
     members = materialize(members.join(members.groupBy("gid", "comp").agg(F.min("rep").alias("sid")), ["gid", "comp"]), "members")
-    subgroups = members.filter("rep = sid").select("gid", "sid", "comp", "n", F.lit(percent).alias("percent"))
-    by_token, by_group = _across(index.select("tok", "gid").join(subgroups, "gid"), "tok"), _across(subgroups, "gid")
-    more = by_token.filter(f"shared >= {needed('p_n', 'q_n')}").select("p", "q").unionByName(by_group.select("p", "q"))
+    subgroups = members.filter("rep = sid").select("gid", "sid", "comp", "n")
+    by_token, by_group = _across(index.select("tok", "pos", "gid").join(subgroups, "gid"), "tok", percent), _across(subgroups.withColumn("pos", F.lit(0)), "gid", percent)
+    more = by_token.unionByName(by_group)
     p, q = members.select(F.col("sid").alias("p"), F.col("rep").alias("a")), members.select(F.col("sid").alias("q"), F.col("rep").alias("b"))
     links = links.unionByName(verified(docs, more.join(p, "p").join(q, "q"), k, percent))
     discard(index, grouped, members, by_token, by_group)
