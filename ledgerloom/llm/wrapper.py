@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, steps
 from .urlfilter import host_of
 
 #: Element names of HTML, by how they are read.
@@ -278,7 +278,7 @@ class _References:
 
     def __call__(self, host: str, source: str) -> tuple[Node, dict[int, int], dict[int, bool]]:
         if host not in self.known:
-            if len(self.known) > 256:
+            if len(self.known) > 64:
                 self.known.clear()
             tree = parse(source)
             self.known[host] = (tree, *numbered(tree))
@@ -295,7 +295,7 @@ def induce(pages: DataFrame) -> DataFrame:
 
     def texts(batches: Iterator[pa.RecordBatch]):
         reference = _References()
-        for batch in batches:
+        for batch in steps(batches, "html"):
             out: list[tuple] = []
             for host, source, own in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference")), strict=True):
                 tree, number, inside = reference(host, own)
@@ -340,7 +340,7 @@ def extract(pages: DataFrame, host: Column | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         reference = _References()
-        for batch in batches:
+        for batch in steps(batches, "html"):
             texts = []
             for name, source, own, template in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference", "template")), strict=True):
                 if not source:
@@ -353,4 +353,5 @@ def extract(pages: DataFrame, host: Column | None = None) -> DataFrame:
                 texts.append(content(page, nodes))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return _with_reference(rows, wrappers).select("page_id", "url", "html", "host", "reference", "template").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    found = _with_reference(rows, wrappers).select("page_id", "url", "html", "host", "reference", "template").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return materialize(found, "texts")  # in small batches: pages come with their reference
