@@ -27,22 +27,31 @@ def row_bands(words: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def rows_by_position(words: DataFrame) -> DataFrame:
-    """``words`` with visual_row where there are no rules: from top to bottom, a word joins the row whose mean centre is near enough. A fold per page, in pandas."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in centres(words).schema] + ["visual_row int"])
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["yc", "x0", "text"], kind="stable")
-        tall = page["h"][page["h"] > 0]
-        limit = ROW_TOLERANCE * tall.median() if len(tall) else 12.0
-        rows, row, total, n = [], -1, 0.0, 0
-        for y in page["yc"]:
-            if row < 0 or abs(y - total / n) > limit:
-                row, total, n = row + 1, 0.0, 0
-            total, n = total + y, n + 1
-            rows.append(row)
-        return page.assign(visual_row=pd.Series(rows, index=page.index, dtype="int32"))
-
-    return centres(words).groupBy(*PAGE).applyInPandas(run, schema)
+    """``words`` with visual_row where there are no rules: from top to bottom, a word joins the row whose mean centre is near enough.
+
+    The running mean is no window function: pages become arrays, many to a batch, and are folded there.
+    """
+    placed = centres(words)
+    row = F.struct("yc", "x0", "text", *[c for c in placed.columns if c not in (*PAGE, "yc", "x0", "text")])
+    pages = placed.groupBy(*PAGE).agg(F.sort_array(F.collect_list(row)).alias("_w"), F.percentile(F.when(F.col("h") > 0, F.col("h")), 0.5).alias("_h"))  # a page's words
+    pages = pages.withColumn("_y", F.transform("_w", lambda w: w["yc"]))
+
+    @F.pandas_udf("array<int>")
+    def fold(ys: pd.Series, height: pd.Series) -> pd.Series:
+        out = []
+        for centre, h in zip(ys, height, strict=True):
+            limit = 12.0 if pd.isna(h) else ROW_TOLERANCE * h
+            rows, at, total, n = [], -1, 0.0, 0
+            for y in centre:
+                if at < 0 or abs(y - total / n) > limit:
+                    at, total, n = at + 1, 0.0, 0
+                total, n = total + y, n + 1
+                rows.append(at)
+            out.append(rows)
+        return pd.Series(out)
+
+    found = pages.withColumn("_r", fold("_y", "_h")).select(*PAGE, F.explode(F.arrays_zip("_w", "_r")).alias("_z"))
+    return found.select(*PAGE, "_z._w.*", F.col("_z._r").alias("visual_row"))
 
 
 def lines(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
