@@ -38,20 +38,26 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder[0]
 
 
-#: Bytes of an Arrow batch in the jobs that run here.
-BATCH_BYTES = "4m"
+#: Bytes of an Arrow batch, and Spark's default of it.
+BATCH_BYTES, SPARK_BATCH_BYTES = "4m", "67108864b"
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session moves Arrow batches of ``BATCH_BYTES``, unless it has a setting of its own: for results that run later."""
+    if spark.conf.get(_BATCH_KEY) == SPARK_BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
 
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Jobs run inside move Arrow batches of ``BATCH_BYTES``; the session's own setting holds again afterwards."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, BATCH_BYTES)
+    before = spark.conf.get(_BATCH_KEY)
+    spark.conf.set(_BATCH_KEY, BATCH_BYTES)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_BATCH_KEY, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, received, ship, steps, with_columns, words
+from .common import ALNUM, bounded_batches, received, ship, steps, with_columns, words
 
 #: Words of a lane.
 LANE = 512
@@ -141,6 +141,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     added = ["n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"]
     docs = docs.drop(*added)
     spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     searches = [ship(spark, Patterns([(r.item_id, r.text) for r in part.select("item_id", "text").collect()], window)) for part in blocks(benchmark)]  # a part's size is bounded
 
     def run(batches: Iterator[pa.RecordBatch]):

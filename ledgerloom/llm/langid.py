@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row, received, ship, steps, with_columns
+from .common import bounded_batches, per_row, received, ship, steps, with_columns
 
 DIMS = 1 << 15
 ORDERS = (2, 3)
@@ -178,12 +178,13 @@ def identify(docs: DataFrame, model: Model | None, least: float | None = None) -
     get equal results; an empty table stays empty; columns of these names are replaced, others stay.
     """
     docs = docs.drop("lang_pred", "lang_score")
+    bounded_batches(docs.sparkSession)
     shipped = ship(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]):
         own = received(shipped)
         table, weights = letter_table(), own.table() if own else None
-        for batch in steps(batches, "text", 2 << 20):
+        for batch in steps(batches, "text"):
             grams, offsets, letters = n_grams(batch.column("text"), table)
             if own is None:
                 names, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)

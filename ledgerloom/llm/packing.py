@@ -31,7 +31,7 @@ from .common import codes, materialize, steps, words
 
 ENCODED = "row long, part int, doc_id long, n long, ids binary, full_crcs array<long>, rest_crc long, klass int, rank long, full_rank long"
 #: Words whose ids a worker keeps; beyond it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Width of the stretches that gaps and filling documents are matched in.
 STRETCH = 1 << 16
 #: Sequences or partitions whose running sums one window holds.

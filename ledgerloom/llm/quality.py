@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codes, materialize, owners, per_row, received, ship, steps, with_columns, words
+from .common import bounded_batches, codes, materialize, owners, per_row, received, ship, steps, with_columns, words
 
 N_FEATURES = 9
 #: Shares of the pooled covariance and of its diagonal in a class covariance, and the least variance, as a share of the pooled one.
@@ -145,6 +145,7 @@ def accepted(docs: DataFrame, model: Discriminant | None, least: float = 0.3) ->
     an empty table stays empty; a column quality_score is replaced. Without a model all rows score 0.5.
     """
     docs = docs.drop("quality_score")
+    bounded_batches(docs.sparkSession)
     shipped = ship(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]):

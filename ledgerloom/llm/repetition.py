@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codes, owners, per_row, steps, with_columns, words
+from .common import bounded_batches, codes, owners, per_row, steps, with_columns, words
 
 #: Words of the shortest repeat that counts.
 LEAST_REPEAT = 8
@@ -101,6 +101,7 @@ def rules(docs: DataFrame, most_covered: int = MOST_COVERED, most_longest: int =
     """
     long = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat"]
     docs = docs.drop(*long, "base_failed", "kept")
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in steps(batches, "text"):
