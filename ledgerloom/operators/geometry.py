@@ -82,6 +82,14 @@ def longest_run(flags: DataFrame, keys: list[str], order: str = "visual_row", fl
     return best.filter("_r = 1").filter(F.col("end") - F.col("start") + 1 >= least).select(*keys, "start", "end")
 
 
+def merged_runs(positions: DataFrame, keys: list[str], gap: int = 4) -> DataFrame:
+    """keys and centre of each run of positions that are at most ``gap`` apart: where rules lie. positions: keys, at."""
+    w = Window.partitionBy(*keys).orderBy("at")
+    new = positions.withColumn("_new", F.coalesce((F.col("at") - F.lag("at").over(w) > gap).cast("int"), F.lit(0)))
+    runs = new.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*keys, "_run").agg(((F.min("at") + F.max("at")) / 2).alias("centre")).drop("_run")
+
+
 def corridors(words: DataFrame, keys: list[str]) -> DataFrame:
     """keys and boundaries (array): outer edges, and the middles of corridors that hardly a row crosses. words: keys, row (id of a row with two words or more votes), x0, x1 scaled to ``PAGE_WIDTH``.
 

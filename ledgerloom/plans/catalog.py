@@ -542,3 +542,51 @@ def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sheet_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("d"), F.expr("doc_id div 20").alias("row_no"), F.lit(0).alias("col_no"), F.expr("substring(text, 1, cast(doc_id % 70 as int))").alias("raw"))
     return column_widths(d, ["d"]).withColumnRenamed("d", "doc_id")
+
+
+@query("""
+WITH s AS (SELECT DISTINCT upper(substring(c_mktsegment, 1, 4 + CAST(c_nationkey % 2 AS INTEGER) * 10)) AS sheet FROM customer), i AS (SELECT DISTINCT c_mktsegment AS name FROM customer),
+c AS (SELECT name, sheet, CASE WHEN lower(name) = lower(sheet) THEN 0 ELSE 1 END AS r FROM i JOIN s ON starts_with(lower(name), lower(sheet)) OR starts_with(lower(sheet), lower(name)))
+SELECT name, sheet FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY r, len(sheet) DESC, sheet) AS n FROM c) WHERE n = 1""")
+def sheet_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market segments as issuers, their cut names in capitals as sheets."""
+    c = table(spark, sf_dir, "customer")
+    pool = c.select(F.upper(F.expr("substring(c_mktsegment, 1, 4 + cast(c_nationkey % 2 as int) * 10)")).alias("sheet")).distinct()
+    issuers = c.select(F.col("c_mktsegment").alias("name")).distinct().withColumn("token", F.col("name"))
+    return instruments.sheets_of(issuers, pool).select("name", "sheet")
+
+
+@query("""
+WITH r AS (SELECT o_custkey AS doc_id, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey // 60) AS page_no, o_orderkey FROM orders),
+p AS (SELECT doc_id, CAST(unnest(range(1, max(page_no) + 3)) AS INTEGER) AS page_no FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, page_no FROM r WHERE o_orderkey % 3 > 0), s AS (SELECT doc_id, min(page_no) AS lo, max(page_no) AS hi FROM k GROUP BY doc_id)
+SELECT s.doc_id, NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = s.doc_id AND p.page_no > lo AND p.page_no < hi AND NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = p.doc_id AND k.page_no = p.page_no)) AS passed FROM s""")
+def pages_contributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy(F.expr("o_orderkey div 60"))
+    r = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.dense_rank().over(w).alias("page_no"), "o_orderkey")
+    pages = r.groupBy("doc_id").agg(F.max("page_no").alias("m")).select("doc_id", F.explode(F.sequence(F.lit(1), F.col("m") + 2)).alias("page_no"), F.lit("digital").alias("kind"))
+    return checks.check_pages(pages, r.filter("o_orderkey % 3 > 0").select("doc_id", "page_no")).select("doc_id", "passed")
+
+
+@query("SELECT c_custkey AS doc_id, 'table_found' AS id, false AS passed FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0) UNION ALL SELECT c_custkey, 'ocr_unavailable', false FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0) AND c_nationkey > 12")
+def documents_without_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_nationkey") > 12, 1).otherwise(0).alias("n_scanned"))
+    return checks.without_tables(documents, table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("doc_id")), "no reader").select("doc_id", "id", "passed")
+
+
+@query("""
+WITH p AS (SELECT o_custkey AS k, CAST(o_orderkey % 500 AS BIGINT) AS pos FROM orders), g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY k ORDER BY pos) > 4 THEN 1 ELSE 0 END AS n FROM p),
+r AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY pos RANGE UNBOUNDED PRECEDING) AS run FROM g)
+SELECT k, CAST((min(pos) + max(pos)) / 2.0 AS DOUBLE) AS centre FROM r GROUP BY k, run""")
+def rule_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.merged_runs(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 500).alias("at")), ["k"])
+
+
+@query("""
+WITH w AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber % 4 AS INTEGER) AS rotation, l_quantity > l_linenumber * 10 AS wide, CAST(round(l_discount * 100) AS BIGINT) AS c FROM lineitem),
+r AS (SELECT doc_id, rotation, count(*) FILTER (wide) * 1.0 / count(*) AS s, sum(c) * 1.0 / count(*) AS m FROM w GROUP BY doc_id, rotation)
+SELECT doc_id, rotation FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, m DESC, rotation) AS n FROM r) WHERE n = 1""")
+def page_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    words = li.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 4).cast("int").alias("rotation"), F.lit(0.0).alias("x0"), F.col("l_quantity").alias("x1"), F.lit(0.0).alias("y0"), (F.col("l_linenumber") * 10.0).alias("y1"), F.round(F.col("l_discount") * 100).alias("confidence"))
+    return geometry.choose_rotation(words, ["doc_id"])

@@ -80,6 +80,11 @@ def preview(rows: DataFrame, keys: list[str], offset: int = 0, limit: int = 500)
     return rows.withColumn("truncated", more).filter((F.col("row_no") >= offset) & (F.col("row_no") < offset + limit))
 
 
+def write_word_cache(words: DataFrame, path: str) -> None:
+    """Recognised words by content hash, page and resolution, in folders by the hash's first two digits; the committer makes each write whole or nothing."""
+    words.withColumn("sha_prefix", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("sha_prefix").parquet(path)
+
+
 def safe_name(name: Column | str) -> Column | str:
     """A file name without path, control and reserved characters."""
     if isinstance(name, str):
