@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,7 +127,7 @@ def _wanted(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            kept = batch.filter(pa.array(has.value[slot(batch.column("doc_id").to_numpy())]))
+            kept = batch.filter(pa.array(has.value[slot(pc.fill_null(batch.column("doc_id"), 0).to_numpy())]))
             for part in steps([kept], "text"):
                 s, _, row = shingles(part.column("text"), k)
                 offsets = pa.array(8 * np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32))
@@ -183,13 +184,14 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct k-word shingles of the whole
     text, or all of a shorter one. Documents link when 100 * intersection >= percent * union; component_id is the
     least doc_id reachable. Null and wordless texts have no shingle and are alone. Rows with the same doc_id are one
-    document, linked by any of its texts. An empty table gives none; further columns are ignored.
+    document, linked by any of its texts; rows without a doc_id link only with equal sets, and where all of those have none
+    their component_id is null. An empty table gives none; further columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own = materialize(_prefixes(docs, k, percent), "prefixes")
     reps = own.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     reps = materialize(reps.select("*", F.xxhash64("prefix").alias("p1"), F.xxhash64("prefix", F.lit(1)).alias("p2")), "reps")
-    viable = reps.filter("size(prefix) > 0")
+    viable = reps.filter("size(prefix) > 0 and rep is not null")
     grouped = materialize(viable.select("rep", "n", "p1", "p2").join(viable.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid")), ["n", "p1", "p2"]).select("rep", "n", "gid"), "groups")
 
     postings = viable.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix")).select(F.posexplode("prefix").alias("pos", "tok"), "gid", "n").repartition("tok")
