@@ -28,10 +28,11 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document of least doc_id; of its repeated rows, the least."""
+    """Of each class of near duplicates, the document of least doc_id; of its repeated rows, the least. Rows without a doc_id stay once per text."""
     stay = jaccard.classes(docs, k=5, percent=80).filter("doc_id = component_id").select("doc_id").distinct()
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
-    return docs.join(stay, "doc_id", "left_semi").withColumn("_one", one).filter("_one = 1").select(*docs.columns)
+    kept = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").withColumn("_one", one).filter("_one = 1").select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
