@@ -267,8 +267,8 @@ def _salted(rows: DataFrame) -> DataFrame:
 def _with_reference(pages: DataFrame, references: DataFrame) -> DataFrame:
     """Pages with their host's reference; both are dealt by host and salt, so that a large host is spread."""
     copies = references.select("host", "reference", *[c for c in references.columns if c == "template"], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-    # references grow with the hosts: never broadcast
-    return _salted(pages).join(copies.hint("shuffle_merge"), ["host", "_salt"], "left")
+    # no hint: the planner checks their size, broadcasts few references and merges many, dealt by host and salt
+    return _salted(pages).join(copies, ["host", "_salt"], "left")
 
 
 class _References:
