@@ -240,12 +240,12 @@ def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.forward_fill(e, ["user_id"]).select("user_id", F.col("row_no").alias("event_id"), F.col("raw").alias("label"))
 
 
-@query("SELECT o_custkey AS doc_id, list_sort(list_distinct(list(expected))) AS missing FROM (SELECT DISTINCT o_custkey, e.expected FROM orders, (VALUES ('F'), ('O'), ('P')) e(expected) WHERE NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = orders.o_custkey AND p.o_orderstatus = e.expected)) GROUP BY o_custkey")
+@query("SELECT o_custkey AS doc_id, string_agg(DISTINCT expected, ',' ORDER BY expected) AS missing FROM (SELECT DISTINCT o_custkey, e.expected FROM orders, (VALUES ('F'), ('O'), ('P')) e(expected) WHERE NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = orders.o_custkey AND p.o_orderstatus = e.expected)) GROUP BY o_custkey")
 def expected_columns_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose columns are their orders' statuses, against F, O and P."""
     c = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("name")).distinct()
     found = checks.missing_columns(c, Profile(expected_columns=("F", "O", "P")), ["doc_id"])
-    return found.filter(F.size("missing") > 0).select("doc_id", F.sort_array("missing").alias("missing"))
+    return found.filter(F.size("missing") > 0).select("doc_id", F.array_join(F.sort_array("missing"), ",").alias("missing"))
 
 
 @query("""
