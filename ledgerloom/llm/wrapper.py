@@ -4,7 +4,8 @@
 2. One page of each host (that of least page_id) is its reference. Every page's tree is aligned with it by simple tree
    matching: equal labels at the roots, and among children the matching of greatest weight that keeps their order.
 3. Over all pages of a host, each reference node's aligned texts are counted. A node whose text is the same on nearly all
-   different pages is template; all others are slots that vary, and so are nodes that align with nothing.
+   different pages is template; all others are slots that vary, and so are nodes that align with nothing. Inside articles,
+   different articles count in place of pages.
 4. A page's content is the text of its slots inside its data region: the article or main element if it has one, else
    the body; regions that the labels name as menus, headers, footers, sidebars, notices, adverts, forms, scripts,
    styles or comments are no slots.
@@ -42,8 +43,12 @@ _ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*
 
 #: Share of a host's different pages, in percent, and their least number, at which an equal text makes a node template.
 TEMPLATE_PERCENT, TEMPLATE_PAGES = 60, 3
-#: The same for nodes inside an article or main element, where near copies of one article are likelier than a template.
+#: The same for nodes inside an article or main element, of all the host's different articles: copies of one article count once.
 ARTICLE_PERCENT, ARTICLE_PAGES = 95, 20
+#: Most of an article's text, in percent, that these nodes may hold together; beyond it a host's articles are near copies.
+ARTICLE_SHARE = 50
+#: In place of a node's number: a row of the whole article.
+ARTICLE = -1
 #: Rows that a host's reference is copied to, so that a large host's pages are dealt over several tasks.
 SALTS = 16
 
@@ -229,6 +234,11 @@ def outermost(page: Node, name: str) -> list[Node]:
     return out
 
 
+def regions(page: Node) -> list[Node]:
+    """The article elements of a page, or else its main elements."""
+    return outermost(page, "article") or outermost(page, "main")
+
+
 def content(page: Node, template: set[int]) -> str:
     """The text of the slots in the data region: blocks in page order, one space between; ``template``: identities of nodes that are none."""
     blocks: list[str] = []
@@ -239,7 +249,7 @@ def content(page: Node, template: set[int]) -> str:
             blocks.append(text)
         pieces.clear()
 
-    for region in outermost(page, "article") or outermost(page, "main") or [page]:
+    for region in regions(page) or [page]:
         todo = [(region, 0, 0)]  # (node, next child, next piece of its own text)
         while todo:
             node, child, piece = todo.pop()
@@ -289,7 +299,8 @@ class _References:
 def induce(pages: DataFrame) -> DataFrame:
     """The wrapper of each host: host, reference (html) and template (numbers of the reference's nodes that are template).
 
-    pages: page_id, host, html. Texts are counted over all pages of the host; equal pages count once.
+    pages: page_id, host, html. Texts are counted over all pages of the host; equal pages count once, and inside articles
+    pages of equal article text do.
     """
     some = pages.filter("html is not null and html != ''")
     references = materialize(some.groupBy("host").agg(F.min_by("html", F.struct("page_id", "html")).alias("reference")), "references")
@@ -300,21 +311,33 @@ def induce(pages: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for host, source, own in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference")), strict=True):
                 tree, number, inside = reference(host, own)
+                page = parse(source)
                 whole = hash_text(source)
-                out.extend((host, number[id(b)], inside[id(b)], hash_text(a.text()), whole) for a, b in align(parse(source), tree) if has_text(a))
+                article = hash_text(content(page, set())) if regions(page) else None
+                if article is not None:
+                    out.append((host, ARTICLE, True, 0, 0, article))
+                for a, b in align(page, tree):
+                    if has_text(a):
+                        text, region = a.text(), inside[id(b)]
+                        out.append((host, number[id(b)], region, hash_text(text), len(text), article if region and article is not None else whole))
                 if len(out) > 50_000:
                     yield _columns(out)
                     out = []
             if out:
                 yield _columns(out)
 
-    form = "host string, node int, inside boolean, text long, page long"
+    form = "host string, node int, inside boolean, text long, length int, page long"
     found = _with_reference(some, references).select("host", "html", "reference").mapInArrow(texts, form)
-    # equal pages count once
-    once = found.distinct().groupBy("host", "node", "inside", "text").agg(F.count("*").alias("n"))
-    nodes = once.groupBy("host", "node", "inside").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
-    constant = f"if(inside, n >= {ARTICLE_PAGES} and 100 * most >= {ARTICLE_PERCENT} * n, n >= {TEMPLATE_PAGES} and 100 * most >= {TEMPLATE_PERCENT} * n)"
-    templates = nodes.filter(constant).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))  # nodes of one page
+    # equal pages, or articles, count once
+    once = found.distinct().groupBy("host", "node", "inside", "text").agg(F.count("*").alias("n"), F.max("length").alias("length"))
+    nodes = once.groupBy("host", "node", "inside").agg(F.max_by(F.struct("n", "length"), F.struct("n", "length")).alias("top"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("length")).alias("chars"))
+    nodes = nodes.select("host", "node", "inside", F.col("top.n").alias("most"), "top.length", "n", "chars")
+    hosts = nodes.filter("inside").groupBy("host").agg(F.max(F.when(F.col("node") == ARTICLE, F.col("n"))).alias("articles"), F.sum("chars").alias("chars"))
+    fixed = nodes.filter(f"inside and node != {ARTICLE}").join(hosts.withColumnRenamed("chars", "all_chars"), "host").filter(f"articles >= {ARTICLE_PAGES} and 100 * most >= {ARTICLE_PERCENT} * articles")
+    few = fixed.groupBy("host").agg(F.collect_list("node").alias("node"), F.sum("length").alias("length"), F.first("articles").alias("articles"), F.first("all_chars").alias("chars"))
+    few = few.filter(f"100 * length * articles <= {ARTICLE_SHARE} * chars").select("host", F.explode("node").alias("node"))
+    around = nodes.filter(f"not inside and n >= {TEMPLATE_PAGES} and 100 * most >= {TEMPLATE_PERCENT} * n").select("host", "node")
+    templates = around.unionByName(few).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))  # nodes of one page
     return materialize(references.join(templates, "host", "left").select("host", "reference", F.coalesce("template", F.array().cast("array<int>")).alias("template")), "wrappers")
 
 
@@ -325,8 +348,8 @@ def hash_text(text: str) -> int:
 
 
 def _columns(rows: list[tuple]) -> pa.RecordBatch:
-    host, node, inside, text, page = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int32()), pa.array(inside), pa.array(text, pa.int64()), pa.array(page, pa.int64())], names=["host", "node", "inside", "text", "page"])
+    host, node, inside, text, length, page = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int32()), pa.array(inside), pa.array(text, pa.int64()), pa.array(length, pa.int32()), pa.array(page, pa.int64())], names=["host", "node", "inside", "text", "length", "page"])
 
 
 def extract(pages: DataFrame, host: Column | None = None) -> DataFrame:

@@ -278,6 +278,20 @@ def test_op7_templates_are_what_a_host_repeats(spark):
     assert wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).count() == 0
 
 
+def test_op7_copies_of_an_article_are_no_template(spark):
+    """Copies under other menus, exact and near ones, keep their text; what different articles share is still template."""
+    page = "<body><div>Menu {i} of this page</div><article>{a}</article></body>"
+    one, last = "<p>First words of it</p><p>More of the same</p>", "<p>Its last words</p>"
+    rows = [(i, f"http://copies.example/{i}", page.format(i=i, a=one)) for i in range(25)]
+    rows += [(100 + i, f"http://tail.example/{i}", page.format(i=i, a=one + last if i < 22 else f"<p>Other {i}</p>")) for i in range(60)]
+    rows += [(200 + i, f"http://near.example/{i}", page.format(i=i, a=f"{one}<p>Seen {i} times</p>")) for i in range(25)]
+    rows += [(300 + i, f"http://shared.example/{i}", page.format(i=i, a=f"<p>Send it on</p><p>All the different words of article {i} and no others</p>")) for i in range(25)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "First words of it More of the same"
+    assert {got[i] for i in range(25)} == {whole} and {got[100 + i] for i in range(22)} == {f"{whole} Its last words"} and got[159] == "Other 59"
+    assert got[207] == f"{whole} Seen 7 times" and got[307] == "All the different words of article 7 and no others"
+
+
 # ------------------------------------------------------------------ op9
 
 
