@@ -2,8 +2,8 @@
 
 Two smoothed variable-order Markov models, of accepted and of rejected URLs, give each character's probability after
 contexts of 0 to ``ORDER - 1`` characters: every order is interpolated with the next shorter one. Their counts are
-gathered from all training URLs. A URL's score is the difference of its log-likelihoods, over its length; the limit is
-calibrated on the training URLs' scores.
+gathered from all training URLs, without collisions or a limit on their number. A URL's score is the difference of its
+log-likelihoods, over its length; the limit is calibrated on the training URLs' scores.
 """
 
 from __future__ import annotations
@@ -13,13 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, owners, per_row, received, ship, steps, summed_arrays, text_buffer, with_columns
+from .common import LOWER, discard, materialize, owners, per_row, steps, summed_arrays, text_buffer, with_columns
 
-ORDER, SLOTS, STRENGTH = 5, 1 << 16, 2.0
+ORDER, STRENGTH = 5, 2.0
 #: Bins of the scores that the limit is chosen from, over -MOST..MOST nats a character.
 BINS, MOST = 2000, 10.0
 START = 2
@@ -55,104 +54,133 @@ def rule_column(rules: list[Rule], host: Column, path: Column, value: int) -> Co
     return out
 
 
-def contexts(url: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(offsets; for each order 0 to ORDER the slot of the n-gram that ends at a byte; the row of each byte). URLs are lower-cased, a start mark fills what precedes them."""
+def grams_of(url: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets; for each byte the n-gram of ``ORDER`` bytes that ends at it, as a number). URLs are lower-cased, a start mark fills what precedes them."""
     raw, offsets = text_buffer(url)
-    c = LOWER[raw].astype(np.uint64)
-    own = owners(offsets)
-    place = np.arange(len(c)) - offsets[:-1][own]
-    out, h = [np.zeros(len(c), np.int64)], np.zeros(len(c), np.uint64)
+    c = LOWER[raw].astype(np.int64)
+    place = np.arange(len(c)) - offsets[:-1][owners(offsets)]
+    out = np.zeros(len(c), np.int64)
     for k in range(ORDER):
-        before = np.full(len(c), START, np.uint64)
+        before = np.full(len(c), START, np.int64)
         before[k:] = np.where(place[k:] >= k, c[: len(c) - k] if k else c, START)
-        h = (h + before + np.uint64(1 + k)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-        out.append((h >> np.uint64(48)).astype(np.int64) & (SLOTS - 1))
-    return offsets, out, own
-
-
-def context_slots(offsets: np.ndarray, grams: list[np.ndarray]) -> list[np.ndarray]:
-    """For each order, the slot of the context before a byte: the n-gram that ends at the byte before it."""
-    first = offsets[:-1][np.diff(offsets) > 0]
-    out = []
-    for k, g in enumerate(grams[:-1]):
-        before = np.zeros(len(g), np.int64)
-        before[1:] = g[:-1]
-        before[first] = grams_of_start(k)
-        out.append(before)
-    return out
-
-
-def grams_of_start(k: int) -> int:
-    """The slot of k start marks."""
-    if not k:
-        return 0
-    h = np.zeros(1, np.uint64)
-    for i in range(k):
-        h = (h + np.uint64(START) + np.uint64(1 + i)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-    return int(h[0] >> np.uint64(48)) & (SLOTS - 1)
+        out |= before << (8 * k)
+    return offsets, out
 
 
 @dataclass
 class MarkovPair:
-    """Counts of both models (class, order - 1, slot) of n-grams and of contexts, and the calibrated limit."""
+    """Both models: a table (gram, good, bad) of the counts of all training n-grams of ``ORDER`` bytes, and the calibrated limit."""
 
-    grams: np.ndarray
-    contexts: np.ndarray
+    counts: DataFrame
     limit: float = 0.0
 
-    def score(self, url: pa.Array) -> np.ndarray:
-        """Log-likelihood difference a byte, accepted less rejected; 0 for null and empty URLs."""
-        offsets, grams, _ = contexts(url)
-        before = context_slots(offsets, grams)
-        logs = []
-        for c in (0, 1):
-            p = np.full(len(grams[0]), 1 / 256)
-            for k in range(ORDER):
-                p = (self.grams[c, k][grams[k + 1]] + STRENGTH * p) / (self.contexts[c, k][before[k]] + STRENGTH)
-            logs.append(np.log(p))
-        return per_row(logs[0] - logs[1], offsets) / np.maximum(np.diff(offsets), 1)
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` in blocks of at most a step's bytes of URLs, numbered by _block; written once, so that numbers stay."""
+
+    def number(batches: Iterator[pa.RecordBatch]):
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+        for i, batch in enumerate(steps(batches, "_url")):
+            yield with_columns(batch, _block=pa.array(np.full(batch.num_rows, first + i)))
+
+    return materialize(rows.mapInArrow(number, _form(rows, "_block long")), "urls")
+
+
+def _form(rows: DataFrame, more: str) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [more])
+
+
+def _grams(blocks: DataFrame, accepted: Column) -> DataFrame:
+    """(_block, gram, good, bad): each block's different n-grams, and how often rows have them where ``accepted`` is true and false."""
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        for batch in steps(batches, "_url"):
+            offsets, grams = grams_of(batch.column("_url"))
+            own = owners(offsets)
+            right, block = (batch.column(c).to_numpy(zero_copy_only=False)[own] for c in ("_right", "_block"))
+            for b in np.unique(block):
+                here = block == b
+                found, at = np.unique(grams[here], return_inverse=True)
+                good, bad = (np.bincount(at[right[here] == x], minlength=len(found)) for x in (1, 0))
+                yield pa.RecordBatch.from_pydict({"_block": pa.array(np.full(len(found), b)), "gram": pa.array(found), "good": pa.array(good.astype(np.int64)), "bad": pa.array(bad.astype(np.int64))})
+
+    right = F.coalesce(accepted.cast("int"), F.lit(-1)).alias("_right")
+    return materialize(blocks.select("_block", "_url", right).mapInArrow(count, "_block long, gram long, good long, bad long"), "url_grams")
+
+
+def _ratios(counts: DataFrame, grams: DataFrame) -> DataFrame:
+    """(gram, ratio): log-likelihood difference of a byte after its context, accepted less rejected, for all of ``counts`` and ``grams``.
+
+    Shorter n-grams' counts are sums over the longer ones that end in them, contexts' over the n-grams that begin with
+    them. Every key that is joined has at most 256 rows.
+    """
+    level = counts.select("gram", "good", "bad").unionByName(grams.select("gram").distinct().select("gram", F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("bad")))
+    level = written = materialize(level.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url_level")
+    levels = [level]
+    for k in range(ORDER - 1, 0, -1):
+        level = level.groupBy(F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        levels.insert(0, level)
+    shorter = None
+    for k, level in enumerate(levels):
+        context = Window.partitionBy(F.shiftright("gram", 8))
+        rows = level.select("gram", "good", "bad", F.sum("good").over(context).alias("goods"), F.sum("bad").over(context).alias("bads"))
+        if shorter is None:
+            rows = rows.withColumns({"p": F.lit(1 / 256), "q": F.lit(1 / 256)})
+        else:
+            rows = rows.withColumn("_end", F.col("gram").bitwiseAND((1 << 8 * k) - 1)).join(shorter, "_end")
+        p, q = (F.col(n) + STRENGTH * F.col(x) for n, x in (("good", "p"), ("bad", "q")))
+        shorter = rows.select(F.col("gram").alias("_end"), (p / (F.col("goods") + STRENGTH)).alias("p"), (q / (F.col("bads") + STRENGTH)).alias("q"))
+    out = materialize(shorter.select(F.col("_end").alias("gram"), (F.log("p") - F.log("q")).alias("ratio")), "url_ratios")
+    discard(written)
+    return out
+
+
+def _scored(blocks: DataFrame, grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """``blocks`` without _block and _url, with url_score: log-likelihood difference a byte; 0 for null and empty URLs. A block meets the ratios of its own n-grams."""
+    ratios = grams.select("_block", "gram").join(_ratios(counts, grams), "gram")
+
+    def score(rows: pa.Table, known: pa.Table) -> pa.Table:
+        url = rows.column("_url").combine_chunks()
+        offsets, found = grams_of(url)
+        gram, ratio = (known.column(c).to_numpy() for c in ("gram", "ratio"))
+        order = np.argsort(gram)
+        logs = ratio[order][np.searchsorted(gram[order], found)] if len(found) else np.zeros(0)
+        return rows.drop_columns(["_block", "_url"]).append_column("url_score", pa.array(per_row(logs, offsets) / np.maximum(np.diff(offsets), 1)))
+
+    form = _form(blocks.drop("_block", "_url"), "url_score double")
+    return blocks.groupBy("_block").cogroup(ratios.groupBy("_block")).applyInArrow(score, form)
 
 
 def fit(urls: DataFrame, url: str, accepted: Column) -> MarkovPair | None:
     """Models of all rows of ``urls``: those where ``accepted`` is true, and those where it is false; null rows teach nothing. None unless both kinds occur.
 
-    Counts fill tables of a fixed size in each partition and are added; scores are counted in fixed bins.
+    Counts are exact and kept in a table that grows with the URLs; scores are counted in fixed bins.
     """
-    size = 2 * 2 * ORDER * SLOTS
-    rows = urls.select(F.col(url).alias("url"), accepted.alias("accepted")).filter("url is not null and accepted is not null")
-
-    def count(batches: Iterator[pa.RecordBatch], own: np.ndarray) -> None:
-        for batch in steps(batches, "url"):
-            offsets, grams, row = contexts(batch.column("url"))
-            before = context_slots(offsets, grams)
-            rejected = (~batch.column("accepted").to_numpy(zero_copy_only=False))[row].astype(np.int64)
-            for k in range(ORDER):
-                for kind, slot in ((0, grams[k + 1]), (1, before[k])):
-                    at = ((kind * 2 + rejected) * ORDER + k) * SLOTS + slot
-                    own[:size] += np.bincount(at, minlength=size)
-
-    counts = summed_arrays(rows, ["url", "accepted"], count, size).reshape(2, 2, ORDER, SLOTS)
-    if not counts[0, 0, 0].any() or not counts[0, 1, 0].any():
+    rows = urls.select(F.col(url).alias("_url"), accepted.alias("accepted")).filter("_url is not null and accepted is not null")
+    blocks = _blocks(rows)
+    grams = _grams(blocks, F.col("accepted"))
+    counts = materialize(grams.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url_counts")
+    either = counts.agg(F.max("good"), F.max("bad")).first()
+    if not either[0] or not either[1]:
+        discard(blocks, grams, counts)
         return None
-    model = MarkovPair(counts[0].astype(np.float32), counts[1].astype(np.float32))
-    shipped = ship(urls.sparkSession, model)
 
     def tally(batches: Iterator[pa.RecordBatch], own: np.ndarray) -> None:
-        pair = received(shipped)
-        for batch in steps(batches, "url"):
-            bin_ = np.clip((pair.score(batch.column("url")) + MOST) * (BINS / (2 * MOST)), 0, BINS - 1).astype(np.int64)
+        for batch in batches:
+            score = batch.column("url_score").to_numpy(zero_copy_only=False)
+            bin_ = np.clip((score + MOST) * (BINS / (2 * MOST)), 0, BINS - 1).astype(np.int64)
             rejected = (~batch.column("accepted").to_numpy(zero_copy_only=False)).astype(np.int64)
             own[: 2 * BINS] += np.bincount(rejected * BINS + bin_, minlength=2 * BINS)
 
-    good, bad = summed_arrays(rows, ["url", "accepted"], tally, 2 * BINS).reshape(2, BINS)
+    good, bad = summed_arrays(_scored(blocks, grams, counts), ["url_score", "accepted"], tally, 2 * BINS).reshape(2, BINS)
+    discard(blocks, grams)
     # the limit of best balanced accuracy; of a run of equally good ones, the middle
     lost, caught = np.concatenate([[0], np.cumsum(good)]) / good.sum(), np.concatenate([[0], np.cumsum(bad)]) / bad.sum()
     best = np.flatnonzero(caught - lost >= (caught - lost).max() - 1e-12)
     run = best[: np.argmax(np.append(np.diff(best) > 1, True)) + 1]
-    model.limit = float(run.mean() * (2 * MOST / BINS) - MOST)
-    return model
+    return MarkovPair(counts, float(run.mean() * (2 * MOST / BINS) - MOST))
 
 
 def judge(pages: DataFrame, rules: list[Rule], model: MarkovPair | None, url: str = "url") -> DataFrame:
@@ -163,16 +191,11 @@ def judge(pages: DataFrame, rules: list[Rule], model: MarkovPair | None, url: st
     rule blocks. Repeated rows get equal verdicts, an empty table stays empty, columns of these names are replaced.
     """
     pages = pages.drop("host", "path", "rule", "url_score", "verdict")
-    shipped = ship(pages.sparkSession, model)
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        own = received(shipped)
-        for batch in batches:
-            text = batch.column(url)
-            yield with_columns(batch, url_score=pa.array(own.score(pc.fill_null(text, "")) if own else np.zeros(batch.num_rows)))
-
-    form = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema] + ["url_score double"])
-    scored = pages.mapInArrow(run, form)
+    if model:
+        blocks = _blocks(pages.withColumn("_url", F.coalesce(F.col(url), F.lit(""))))
+        scored = _scored(blocks, _grams(blocks, F.lit(None)), model.counts)
+    else:
+        scored = pages.withColumn("url_score", F.lit(0.0))
     host, path = host_of(F.col(url)), path_of(F.col(url))
     empty = F.coalesce(F.col(url), F.lit("")) == ""
     limit = F.lit(model.limit if model else 0.0)

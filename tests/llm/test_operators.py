@@ -151,6 +151,31 @@ def test_op4_on_odd_urls(spark):
     assert urlfilter.fit(df.limit(0), "url", F.lit(True)) is None
 
 
+def test_op4_scores_are_exact_on_many_ngrams(spark):
+    """More different n-grams than 65,536, against the models by dictionaries."""
+    draw = random.Random(4)
+    urls = [(f"http://{''.join(draw.choices('abcdefghijklmnopqrstuvwxyz0123456789-', k=40))}.example/", i % 3 > 0) for i in range(2500)]
+    df = spark.createDataFrame(urls, "url string, good boolean")
+    got = {r.url: r.url_score for r in urlfilter.judge(df, [], urlfilter.fit(df, "url", F.col("good"))).collect()}
+    grams, before = ({c: collections.Counter() for c in (True, False)} for _ in range(2))
+    ends = lambda u: [(("\x02" * 4 + u)[i : i + 4], u[i]) for i in range(len(u))]
+    for u, good in urls:
+        for c, x in ends(u):
+            for k in range(5):
+                grams[good][c[4 - k :] + x] += 1
+                before[good][k, c[4 - k :]] += 1
+    assert len({c + x for u, _ in urls for c, x in ends(u)}) > 1 << 16
+    for u, _ in urls[:100]:
+        want = 0.0
+        for c, x in ends(u):
+            for good in (True, False):
+                p = 1 / 256
+                for k in range(5):
+                    p = (grams[good][c[4 - k :] + x] + urlfilter.STRENGTH * p) / (before[good][k, c[4 - k :]] + urlfilter.STRENGTH)
+                want += np.log(p) if good else -np.log(p)
+        assert abs(got[u] - want / len(u)) < 1e-9
+
+
 # ------------------------------------------------------------------ op5
 
 
