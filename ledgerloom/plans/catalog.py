@@ -84,6 +84,13 @@ def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", S.fold(F.substring("text", 1, 200)).alias("folded"))
 
 
+@query("SELECT doc_id, md5(f) AS digest, CAST(length(f) AS BIGINT) AS n_chars FROM (SELECT doc_id, lower(regexp_replace(strip_accents(text), '[^A-Za-z0-9]+', '', 'g')) AS f FROM documents)")
+def fold_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts without accents, case and punctuation, as digest and length."""
+    folded = table(spark, sf_dir, "documents").select("doc_id", S.fold(F.col("text")).alias("f"))
+    return folded.select("doc_id", F.md5(F.col("f").cast("binary")).alias("digest"), F.length("f").cast("long").alias("n_chars"))
+
+
 @query()
 def ocr_digit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices with letters for digits, repaired and read."""
