@@ -532,6 +532,23 @@ def isin_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instruments.allocate(requests, pool, known).select("key", "isin", "is_new")
 
 
+@query("""
+WITH k AS (SELECT 'k' || CAST(o_orderkey AS VARCHAR) AS key, o_orderkey AS seq, 'sheet' || CAST(o_custkey % 3 AS VARCHAR) AS sheet FROM orders),
+p AS (SELECT 'sheet' || CAST(p_partkey % 3 AS VARCHAR) AS sheet, row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) - 1 AS pos, 'TN' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS code FROM part),
+l AS (SELECT 'k' || CAST(i AS VARCHAR) AS key, 'TN' || lpad(CAST(3 * i + 1 AS VARCHAR), 10, '0') AS isin FROM (SELECT unnest(range(0, 10)) AS i)),
+n AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY seq, key) AS rk FROM k WHERE key NOT IN (SELECT key FROM l)),
+f AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY pos) AS rk FROM p WHERE code NOT IN (SELECT isin FROM l))
+SELECT k.key, l.isin, false AS is_new FROM k JOIN l USING (key) UNION ALL SELECT n.key, f.code, true FROM n LEFT JOIN f USING (sheet, rk)""")
+def isin_allocation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key for every order and all parts as pool: more keys than codes, ten of them allocated before."""
+    text = lambda c: c.cast("string")
+    requests = table(spark, sf_dir, "orders").select(F.concat(F.lit("k"), text(F.col("o_orderkey"))).alias("key"), F.concat(F.lit("sheet"), text(F.col("o_custkey") % 3)).alias("sheet"), F.col("o_orderkey").alias("seq"))
+    p = table(spark, sf_dir, "part")
+    pool = code_pool(p.select(F.concat(F.lit("sheet"), text(F.col("p_partkey") % 3)).alias("sheet"), F.col("p_partkey").alias("position"), F.concat(F.lit(" tn"), F.lpad(text(F.col("p_partkey")), 10, "0")).alias("value")))
+    known = spark.range(10).select(F.concat(F.lit("k"), text(F.col("id"))).alias("key"), F.concat(F.lit("TN"), F.lpad(text(3 * F.col("id") + 1), 10, "0")).alias("isin"))
+    return instruments.allocate(requests, pool, known).select("key", "isin", "is_new")
+
+
 # ------------------------------------------------------------------ sinks
 
 
