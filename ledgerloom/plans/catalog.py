@@ -568,6 +568,16 @@ def sheet_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_widths(d, ["d"]).withColumnRenamed("d", "doc_id")
 
 
+@query("""
+WITH c AS (SELECT doc_id // 300 AS d, 0 AS col_no, text AS raw FROM documents WHERE doc_id % 300 < 200 UNION ALL SELECT doc_id // 300, 1, source FROM documents WHERE doc_id % 300 < 200)
+SELECT d AS doc_id, CAST(col_no AS INTEGER) AS col_no, CAST(greatest(10, least(50, max(length(raw)) + 2)) AS INTEGER) AS width FROM c GROUP BY d, col_no""")
+def sheet_widths_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole cells in tables of 300 rows, whose number grows with the documents; the first 200 rows of each count."""
+    d = table(spark, sf_dir, "documents")
+    cell = lambda n, c: d.select(F.expr("doc_id div 300").alias("d"), F.expr("doc_id % 300").alias("row_no"), F.lit(n).alias("col_no"), F.col(c).alias("raw"))
+    return column_widths(cell(0, "text").unionByName(cell(1, "source")), ["d"]).withColumnRenamed("d", "doc_id")
+
+
 @query("""
 WITH s AS (SELECT DISTINCT upper(substring(c_mktsegment, 1, 4 + CAST(c_nationkey % 2 AS INTEGER) * 10)) AS sheet FROM customer), i AS (SELECT DISTINCT c_mktsegment AS name FROM customer),
 c AS (SELECT name, sheet, CASE WHEN lower(name) = lower(sheet) THEN 0 ELSE 1 END AS r FROM i JOIN s ON starts_with(lower(name), lower(sheet)) OR starts_with(lower(sheet), lower(name)))
