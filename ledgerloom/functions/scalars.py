@@ -6,6 +6,7 @@ inside code generation but for the two folds noted below.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -21,14 +22,18 @@ INR PKR BDT IDR MYR THB VND PHP KRW TWD ZAR NGN KES GHS RUB UAH BRL MXN ARS CLP
 """.split()
 BLANK_MARKERS = ["-", "--", "---", "–", "—", ".", "..", "...", "nil", "n/a", "na", "n.a.", "n.a", "none", "null", "void", "néant", "neant", "s/o", "sans objet", "0.00-", "x", "xx"]
 DEBIT_WORDS, CREDIT_WORDS = ["DEBIT", "DÉBIT", "DR", "DB"], ["CREDIT", "CRÉDIT", "CR", "CT"]
-OCR_DIGITS = {"OoQD": "0", "lI|i!": "1", "Zz": "2", "Ss": "5", "bG": "6", "T?": "7", "B": "8", "gq": "9"}
+OCR_DIGITS = {
+    "O": "0", "o": "0", "Q": "0", "D": "0", "l": "1", "I": "1", "|": "1", "i": "1", "!": "1", "Z": "2", "z": "2", "S": "5", "s": "5", "b": "6", "G": "6",
+    "T": "7", "?": "7", "B": "8", "g": "9", "q": "9",
+}
 MONTHS = {
     1: "jan january janv janvier", 2: "feb february fev fév fevr février", 3: "mar march mars", 4: "apr april avr avril", 5: "may mai", 6: "jun june juin",
     7: "jul july juil juillet", 8: "aug august aou août aout", 9: "sep sept september septembre", 10: "oct october octobre", 11: "nov november novembre", 12: "dec december déc decembre décembre",
 }
 
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+#: Characters that compatibility normalisation makes one ASCII character, and what they become: full-width forms, superscripts, letter-like signs.
+_PAIRS = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+_WIDE, _NARROW = ("".join(x) for x in zip(*[(c, n) for c, n in _PAIRS if len(n) == 1 and n.isascii()], strict=True))
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
@@ -39,7 +44,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def compatible(s: Column) -> Column:
-    """Full-width forms and the ellipsis as their plain equivalents: the part of compatibility normalisation that occurs in cells."""
+    """Compatibility normalisation of all characters that become one ASCII character, and of the ellipsis; ``registry.nfkc`` does the rest."""
     return F.replace(F.translate(s, _WIDE, _NARROW), F.lit("…"), F.lit("..."))
 
 
@@ -133,10 +138,21 @@ def body_value(body: Column, decimal: Column) -> Column:
     return let(plain, lambda x: F.when(x.rlike(r"^(\d+\.?\d*|\.\d+)$") & (whole(x) <= 15), x.try_cast("double")))
 
 
+def amount_parts(s: Column) -> Column:
+    """A cell that is an amount as (body: digits and separators, negative); null for all others. What needs no separator is done here, once."""
+    sign = lambda before, after: F.when((before == "") & (after == ""), False).otherwise(_negative(before, after))
+    return _read(s, lambda before, body, after: F.struct(body.alias("body"), sign(before, after).alias("negative")))
+
+
+def parts_value(body: Column, negative: Column, decimal: Column) -> Column:
+    """The signed amount of ``amount_parts`` under a separator (null: the cell's own evidence)."""
+    return let(body_value(body, decimal), lambda v: F.when(negative, -v).otherwise(v))
+
+
 def parse_amount(s: Column, decimal: Column | None = None) -> Column:
     """A cell as a signed double, or null: brackets, signs, debit and credit words, currencies, any separators."""
     separator = decimal if decimal is not None else F.lit(None).cast("string")
-    return _read(s, lambda before, body, after: let(F.struct(body_value(body, separator).alias("v"), _negative(before, after).alias("n")), lambda x: F.when(x["n"], -x["v"]).otherwise(x["v"])))
+    return let(amount_parts(s), lambda x: parts_value(x["body"], x["negative"], separator))
 
 
 def looks_numeric(s: Column) -> Column:
@@ -149,11 +165,12 @@ def looks_numeric(s: Column) -> Column:
 
 def decimal_votes(s: Column) -> tuple[Column, Column]:
     """(weight for the point, weight for the comma) as the decimal separator, of one cell."""
-    both = let(amount_body(s), _votes)
+    both = let(amount_body(s), body_votes)
     return F.coalesce(both["point"], F.lit(0.0)), F.coalesce(both["comma"], F.lit(0.0))
 
 
-def _votes(body: Column) -> Column:
+def body_votes(body: Column) -> Column:
+    """(point, comma): the weights of an amount's digits and separators; null where they say nothing."""
     count = lambda c: F.length(body) - F.length(F.replace(body, F.lit(c), F.lit("")))
     dots, commas = count("."), count(",")
     last_comma, after_comma, after_dot = body.rlike(r",[^.]*$"), F.length(F.substring_index(body, ",", -1)), F.length(F.substring_index(body, ".", -1))
@@ -167,7 +184,7 @@ def _votes(body: Column) -> Column:
 
 def repair_ocr_digits(s: Column) -> Column:
     """Letters that OCR takes for digits, as digits, where a digit lies within two places; from left to right, so that a repaired one counts. A fold over places."""
-    letters, digits = "".join(OCR_DIGITS), "".join(d * len(k) for k, d in OCR_DIGITS.items())
+    letters, digits = "".join(OCR_DIGITS), "".join(OCR_DIGITS.values())
     step = lambda acc, i: F.when(
         F.instr(F.lit(letters), F.substring(acc, i, F.lit(1))).cast("int") > 0,
         F.when(
@@ -203,27 +220,28 @@ def date_parts(s: Column) -> Column:
     return F.array_remove(F.split(F.trim(compatible(s)), r"[/\-.\s]+"), "")
 
 
-def parse_date(s: Column, dayfirst: Column | None = None) -> Column:
-    """A cell as a date, or null. ISO first; month names in English and French; numbers that prove an order beat ``dayfirst`` (null: day first).
+#: What a cell must look like for its parts to be tried as a date: three short parts, two digits apart.
+_DATED = r"(?s)^[/\-.\s]*(?:\d{1,6}|[^\d/\-.\s]{3,10})(?:[/\-.\s]+(?:\d{1,6}|[^\d/\-.\s]{3,10})){2}(?:[/\-.\s].*)?$"
+
 
-    With a named month in second place the last part is the year, also one of two digits.
+def date_readings(s: Column) -> Column:
+    """A cell as (dmy, mdy): its date if an ambiguous one has the day first, and if it has the month first; null where it is no date.
+
+    ISO first; month names in English and French; numbers that prove an order beat either reading. With a named month in
+    second place the last part is the year, also one of two digits.
     """
-    default = F.coalesce(dayfirst if dayfirst is not None else F.lit(None).cast("boolean"), F.lit(True))
 
     def numbered(x: Column) -> Column:
         a, b, c = x["a"], x["b"], x["c"]
-        ymd = (
-            F.when(a > 31, F.struct(a.alias("y"), b.alias("m"), c.alias("d")))
-            .when((a > 12) & (b <= 12), F.struct(c.alias("y"), b.alias("m"), a.alias("d")))
-            .when((b > 12) & (a <= 12), F.struct(c.alias("y"), a.alias("m"), b.alias("d")))
-            .when(default, F.struct(c.alias("y"), b.alias("m"), a.alias("d")))
-            .otherwise(F.struct(c.alias("y"), a.alias("m"), b.alias("d")))
-        )
+        day, month = F.struct(c.alias("y"), b.alias("m"), a.alias("d")), F.struct(c.alias("y"), a.alias("m"), b.alias("d"))
         # a month's name: of the two numbers beside it, one is the year
         one, two = F.when(x["at"] == 1, b).otherwise(a), F.when(x["at"] == 3, b).otherwise(c)
         last = (two > 31) | ((x["at"] == 2) & (one <= 31))
         named = F.struct(F.when(last, two).otherwise(one).alias("y"), x["month"].alias("m"), F.when(last, one).otherwise(two).alias("d"))
-        return let(F.when(x["month"].isNotNull(), named).otherwise(ymd), lambda v: make_date(full_year(v["y"]), v["m"], v["d"]))
+        proven = F.when(x["month"].isNotNull(), named).when(a > 31, F.struct(a.alias("y"), b.alias("m"), c.alias("d"))).when((a > 12) & (b <= 12), day).when((b > 12) & (a <= 12), month)
+        date = lambda v: make_date(full_year(v["y"]), v["m"], v["d"])
+        both = lambda d: F.struct(d.alias("dmy"), d.alias("mdy"))
+        return let(proven, lambda p: F.when(p.isNotNull(), let(date(p), both)).otherwise(F.struct(date(day).alias("dmy"), date(month).alias("mdy"))))
 
     def of(parts: Column) -> Column:
         at = lambda k: F.try_element_at(parts, F.lit(k))
@@ -234,14 +252,19 @@ def parse_date(s: Column, dayfirst: Column | None = None) -> Column:
 
     def read(text: Column) -> Column:
         iso = text.rlike(r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}$")
-        parts = date_parts(text)
         # an ISO date is its three parts in order
-        in_order = let(parts, lambda p: make_date(*[F.try_element_at(p, F.lit(k)).try_cast("int") for k in (1, 2, 3)]))
-        return F.when(is_blank_marker(text), None).when(iso, in_order).when(F.size(parts) >= 3, let(parts, of))
+        in_order = let(date_parts(text), lambda p: make_date(*[F.try_element_at(p, F.lit(k)).try_cast("int") for k in (1, 2, 3)]))
+        return F.when(text.rlike(_DATED), F.when(iso, let(in_order, lambda d: F.struct(d.alias("dmy"), d.alias("mdy")))).otherwise(let(date_parts(text), of)))
 
     return let(F.trim(compatible(s)), read)
 
 
+def parse_date(s: Column, dayfirst: Column | None = None) -> Column:
+    """A cell as a date, or null, as ``date_readings`` says; ``dayfirst`` decides ambiguous ones (null: day first)."""
+    default = F.coalesce(dayfirst if dayfirst is not None else F.lit(None).cast("boolean"), F.lit(True))
+    return let(date_readings(s), lambda r: F.when(default, r["dmy"]).otherwise(r["mdy"]))
+
+
 def dayfirst_votes(s: Column) -> tuple[Column, Column]:
     """(proves day first, proves month first) as 0 or 1, of one cell; ISO dates prove nothing."""
 

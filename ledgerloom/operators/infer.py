@@ -11,17 +11,35 @@ from ..config import GENERIC, Profile
 from ..functions import scalars as S
 
 KEYS = ["doc_id", "table_id"]
-# Words in headers of identifier columns.
+# Words in headers of identifier columns, and of the columns that have a role.
+ROLE_HEADERS = {"closing": r"\b(balance|solde|closing|bal)\b", "debit": r"\b(debit|d[ée]bit|withdrawal|withdrawn|paid\s*out|dr)\b", "credit": r"\b(credit|cr[ée]dit|deposit|paid\s*in|cr)\b", "amount": r"\b(amount|montant|value|net)\b"}
 ID_HEADER = r"(?iuU)\b(account|acct|iban|swift|bic|ref|reference|cheque|check|voucher|invoice|receipt|id|code|no|num|number)\b"
 
 
+def read_cells(cells: DataFrame) -> DataFrame:
+    """``cells`` with what each says on its own, parsed once: blank, body and negative (an amount's parts), dmy and mdy (a date's readings), and its votes point, comma, day, month. cells: raw and more."""
+    raw = F.col("raw")
+    found = cells.select("*", S.is_blank_marker(raw).alias("blank"), S.amount_parts(raw).alias("_parts"), S.date_readings(raw).alias("_dates"))
+    found = found.select(*cells.columns, "blank", F.col("_parts.body").alias("body"), F.col("_parts.negative").alias("negative"), F.col("_dates.dmy").alias("dmy"), F.col("_dates.mdy").alias("mdy"))
+    dated = F.col("dmy").isNotNull() | F.col("mdy").isNotNull()
+    votes = F.when(~dated & F.col("body").isNotNull(), S.let(F.col("body"), S.body_votes))  # cells that are dates are no evidence
+    day, month = S.dayfirst_votes(raw)
+    found = found.select("*", votes.alias("_votes"), F.when(dated, day).otherwise(0).alias("day"), F.when(dated, month).otherwise(0).alias("month"))
+    return found.select("*", F.coalesce("_votes.point", F.lit(0.0)).alias("point"), F.coalesce("_votes.comma", F.lit(0.0)).alias("comma")).drop("_votes")
+
+
+def _separator(point: Column, comma: Column) -> Column:
+    best = F.greatest(point, comma)
+    clear = (best >= 1.0) & (best >= 1.5 * F.least(point, comma))
+    return F.when(clear, F.when(point >= comma, ".").otherwise(","))
+
+
 def decimal_separator(cells: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """``.`` or ``,`` per table, null without evidence or with mixed evidence. Cells that are dates are no evidence. cells: keys, raw."""
-    point, comma = S.decimal_votes(F.when(S.parse_date(F.col("raw")).isNull(), F.col("raw")))
+    dates = S.date_readings(F.col("raw"))
+    point, comma = S.decimal_votes(F.when(dates["dmy"].isNull() & dates["mdy"].isNull() | dates.isNull(), F.col("raw")))
     sums = cells.select(*keys, point.alias("p"), comma.alias("c")).groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("c").alias("c"))
-    best = F.greatest("p", "c")
-    clear = (best >= 1.0) & (best >= 1.5 * F.least("p", "c"))
-    return sums.select(*keys, F.when(clear, F.when(F.col("p") >= F.col("c"), ".").otherwise(",")).alias("decimal"))
+    return sums.select(*keys, _separator(F.col("p"), F.col("c")).alias("decimal"))
 
 
 def dayfirst(cells: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -31,14 +49,17 @@ def dayfirst(cells: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return sums.select(*keys, F.when(F.col("d") != F.col("m"), F.col("d") > F.col("m")).alias("dayfirst"))
 
 
-def locale(cells: DataFrame, profile: Profile = GENERIC, keys: list[str] = KEYS) -> DataFrame:
-    """Both votes per table; what the profile declares wins."""
-    out = decimal_separator(cells, keys).join(dayfirst(cells, keys), keys)
-    if profile.decimal_separator:
-        out = out.withColumn("decimal", F.lit(profile.decimal_separator))
-    if profile.dayfirst is not None:
-        out = out.withColumn("dayfirst", F.lit(profile.dayfirst))
-    return out
+def locale(read: DataFrame, profile: Profile = GENERIC, keys: list[str] = KEYS) -> DataFrame:
+    """decimal and dayfirst per table, in one pass over ``read_cells``; what the profile declares wins."""
+    sums = read.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("point", "comma", "day", "month")])
+    decimal = F.lit(profile.decimal_separator) if profile.decimal_separator else _separator(F.col("point"), F.col("comma"))
+    first = F.lit(profile.dayfirst) if profile.dayfirst is not None else F.when(F.col("day") != F.col("month"), F.col("day") > F.col("month"))
+    return sums.select(*keys, decimal.alias("decimal"), first.alias("dayfirst"))
+
+
+def values(read: DataFrame) -> DataFrame:
+    """``read_cells`` with decimal and dayfirst beside them, as value (amount under the table's separator) and date (under its day order)."""
+    return read.withColumns({"value": S.parts_value(F.col("body"), F.col("negative"), F.col("decimal")), "date": F.when(F.coalesce("dayfirst", F.lit(True)), F.col("dmy")).otherwise(F.col("mdy"))})
 
 
 def clean_headers(headers: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -66,15 +87,15 @@ def header_matches(patterns: tuple[str, ...], name: Column) -> Column:
 
 
 def column_kinds(cells: DataFrame, columns: DataFrame, votes: DataFrame, profile: Profile = GENERIC, threshold: float = 0.70, keys: list[str] = KEYS) -> DataFrame:
-    """keys, col_no, name, kind (text, amount, date) and reason. cells: keys, col_no, raw; columns: keys, col_no, name; votes: keys, decimal, dayfirst."""
-    filled = cells.filter(~S.is_blank_marker(F.col("raw"))).join(votes, keys)
+    """keys, col_no, name, kind (text, amount, date), reason, decimal and dayfirst. cells: read_cells; columns: keys, col_no, name; votes: keys, decimal, dayfirst."""
+    filled = values(cells.filter("not blank").join(votes, keys))
     text = F.trim("raw")
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
     counts = filled.groupBy(*keys, "col_no").agg(
         F.count("*").alias("n"), share(text.rlike(r"^0\d+$")).alias("zero"), share(text.rlike(r"^\d{5,}$")).alias("long"),
-        share(S.parse_date(F.col("raw"), F.col("dayfirst")).isNotNull()).alias("dates"), share(S.parse_amount(F.col("raw"), F.col("decimal")).isNotNull()).alias("amounts"),
+        share(F.col("date").isNotNull()).alias("dates"), share(F.col("value").isNotNull()).alias("amounts"),
     )
-    all_ = columns.join(counts, [*keys, "col_no"], "left")
+    all_ = columns.join(votes, keys, "left").join(counts, [*keys, "col_no"], "left")
     name = F.col("name")
     identifier = header_matches(profile.identifier_columns, name) | (F.col("zero") >= 0.3) | ((F.col("long") >= 0.8) & name.rlike(ID_HEADER)) | (F.col("long") >= 0.95)
     choice = (
@@ -86,7 +107,7 @@ def column_kinds(cells: DataFrame, columns: DataFrame, votes: DataFrame, profile
         .when(F.col("amounts") >= threshold, F.array(F.lit("amount"), F.lit("values parse as amounts")))
         .otherwise(F.array(F.lit("text"), F.lit("neither numeric nor dated")))
     )
-    return all_.select(*keys, "col_no", "name", choice[0].alias("kind"), choice[1].alias("reason"))
+    return all_.select(*keys, "col_no", "name", choice[0].alias("kind"), choice[1].alias("reason"), "decimal", "dayfirst")
 
 
 def select_profile(samples: DataFrame, profiles: list[Profile], requested: str | None = None) -> DataFrame:
@@ -106,9 +127,8 @@ def select_profile(samples: DataFrame, profiles: list[Profile], requested: str |
 
 def resolve_roles(columns: DataFrame, profile: Profile = GENERIC, keys: list[str] = KEYS) -> DataFrame:
     """One row per table: col_no of closing, debit, credit and amount_col (null if none). A declared name wins; else the first amount column that matches."""
-    patterns = {"closing": r"\b(balance|solde|closing|bal)\b", "debit": r"\b(debit|d[ée]bit|withdrawal|withdrawn|paid\s*out|dr)\b", "credit": r"\b(credit|cr[ée]dit|deposit|paid\s*in|cr)\b", "amount": r"\b(amount|montant|value|net)\b"}
     agg = []
-    for role, pattern in patterns.items():
+    for role, pattern in ROLE_HEADERS.items():
         declared = profile.balance_columns.get(role)
         guess = F.min(F.when((F.col("kind") == "amount") & F.col("name").rlike(f"(?iuU){pattern}"), F.col("col_no")))
         own = F.min(F.when(F.lower("name") == (declared or "").lower(), F.col("col_no"))) if declared else F.lit(None).cast("int")

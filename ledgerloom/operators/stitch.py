@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions import scalars as S
 
+# The parts of a header's score (filled, neither number nor date, different, short), and how long a short cell may be.
+FILLED, WORDED, DIFFERENT, SHORT, SHORT_CHARS = 0.20, 0.45, 0.20, 0.15, 40
 #: A header must score so high, a later row beat an earlier by so much, and stand so far up; a table near a page's edge may run on.
 HEADER_SCORE, HEADER_LEAD, HEADER_ROWS, EDGE = 0.62, 0.05, 4, 0.28
 
@@ -90,8 +92,8 @@ def header_score(cells: Column) -> Column:
         n = F.size(filled)
         data = F.size(F.filter(filled, S.looks_numeric)) + F.size(F.filter(filled, lambda c: S.parse_date(c).isNotNull()))
         different = F.size(F.array_distinct(F.transform(filled, S.fold)))
-        short = F.size(F.filter(filled, lambda c: F.length(c) <= 40))
-        return F.when(n > 0, 0.20 * n / F.size(cells) + 0.45 * (1 - data / n) + 0.20 * different / n + 0.15 * short / n).otherwise(0.0)
+        short = F.size(F.filter(filled, lambda c: F.length(c) <= SHORT_CHARS))
+        return F.when(n > 0, FILLED * n / F.size(cells) + WORDED * (1 - data / n) + DIFFERENT * different / n + SHORT * short / n).otherwise(0.0)
 
     return S.let(F.filter(F.transform(cells, lambda c: F.trim(F.coalesce(c, F.lit("")))), lambda c: c != ""), of)
 
@@ -154,21 +156,37 @@ def pad_to_header(cells: Column, width: Column) -> Column:
     return F.when(F.size(cells) > width, F.concat(F.slice(cells, 1, F.greatest(width - 1, F.lit(0))), F.array(over))).otherwise(F.concat(cells, F.array_repeat(F.lit(""), width - F.size(cells))))
 
 
+def pad_confidences(confs: Column, width: Column) -> Column:
+    """As many confidences as columns: 1.0 where there is none, none beyond the width."""
+    known = F.coalesce(confs, F.array().cast("array<double>"))
+    return F.slice(F.concat(known, F.array_repeat(F.lit(1.0), F.greatest(width - F.size(known), F.lit(0)))), F.lit(1), width)
+
+
 def stitch(rows: DataFrame, headers: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of each group in page order, numbered from 0: the header's rows go from the first page, rows equal to the header everywhere, blank rows too.
 
-    rows: keys, page_no, row_no, cells; headers: keys, header, consumed, signature of the group's first page.
+    rows: keys, page_no, row_no, cells, and table_no, kind and confs if they are known, which stay; headers: keys, header, consumed,
+    signature of the group's first page.
     """
+    place = ["page_no", "table_no"] if "table_no" in rows.columns and "table_no" not in keys else ["page_no"]
     joined = rows.join(headers, keys)
-    first = F.min("page_no").over(Window.partitionBy(*keys))
-    at = F.row_number().over(Window.partitionBy(*keys, "page_no").orderBy("row_no"))
+    first = F.min(F.struct(*place)).over(Window.partitionBy(*keys))
+    at = F.row_number().over(Window.partitionBy(*keys, *place).orderBy("row_no"))
     joined = joined.withColumn("_first", first).withColumn("_at", at)
-    head = (F.col("_first") == F.col("page_no")) & (F.col("_at") <= F.col("consumed"))
+    head = (F.col("_first") == F.struct(*place)) & (F.col("_at") <= F.col("consumed"))
     same = (F.col("signature") != "") & (signature(F.col("cells")) == F.col("signature"))
     kept = joined.filter(~head & ~same & ~F.forall("cells", S.is_blank_marker))
     width = F.when(F.size("header") > 0, F.size("header")).otherwise(F.size("cells"))
-    order = Window.partitionBy(*keys).orderBy("page_no", "_at")
-    return kept.select(*keys, (F.row_number().over(order) - 1).alias("row_no"), "page_no", pad_to_header(F.col("cells"), width).alias("cells"))
+    order = Window.partitionBy(*keys).orderBy(*place, "_at")
+    more = [F.col("kind")] if "kind" in rows.columns else []
+    more += [pad_confidences(F.col("confs"), width).alias("confs")] if "confs" in rows.columns else []
+    return kept.select(*keys, (F.row_number().over(order) - 1).alias("row_no"), "page_no", pad_to_header(F.col("cells"), width).alias("cells"), *more)
+
+
+def in_output_order(tables: DataFrame, primary: DataFrame) -> DataFrame:
+    """``tables`` (doc_id, table_id) with position: the primary table first, the rest in their order. primary: doc_id, table_id."""
+    marked = tables.join(primary.select("doc_id", F.col("table_id").alias("_p")), "doc_id", "left")
+    return marked.withColumn("position", (F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce(F.col("table_id") != F.col("_p"), F.lit(True)), "table_id")) - 1).cast("int")).drop("_p")
 
 
 def primary_table(cells: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import GENERIC, Profile
 from ..plans import engine
 
-PAGE_ROWS = "doc_id string, page_no int, table_no int, row_no int, cells array<string>, top double, bottom double, page_height double"
+PAGE_ROWS = "doc_id string, page_no int, table_no int, row_no int, cells array<string>, top double, bottom double, page_height double, kind string, confs array<double>"
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, profile: Profile = GENERIC) -> StreamingQuery:
@@ -16,9 +16,12 @@ def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, profile:
 
     def handle(batch: DataFrame, epoch: int) -> None:
         result = engine.run(batch, profile)
-        # by epoch, so that a repeated batch overwrites its own output
-        result.checks.write.mode("overwrite").parquet(f"{out}/checks/epoch={epoch}")
-        result.cells.drop("flags").write.mode("overwrite").parquet(f"{out}/cells/epoch={epoch}")
+        try:
+            # by epoch, so that a repeated batch overwrites its own output
+            result.checks.write.mode("overwrite").parquet(f"{out}/checks/epoch={epoch}")
+            result.cells.drop("flags").write.mode("overwrite").parquet(f"{out}/cells/epoch={epoch}")
+        finally:
+            result.close()  # a long stream keeps nothing of its batches
 
     rows = spark.readStream.schema(PAGE_ROWS).json(folder)
     return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
