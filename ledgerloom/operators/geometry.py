@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..storage import Scratch
 
 #: Width that x is scaled to; the share of rows that may cross a corridor; its least width, in pixels and as a share.
 PAGE_WIDTH, CROSSING, GAP_PIXELS, GAP_SHARE = 1000, 0.06, 6, 0.010
 ROW_TOLERANCE, LINE_TOLERANCE, PITCH = 0.55, 0.6, 0.18
+#: So many rules make a grid; a rotated reading is tried if so many of its words are wider than high, in this order of rotations.
+RULES, WIDE_SHARE, ROTATIONS = 3, 0.60, (270, 90, 0, 180)
 PAGE = ["doc_id", "page_no"]
 
 
@@ -90,28 +92,44 @@ def merged_runs(positions: DataFrame, keys: list[str], gap: int = 4) -> DataFram
     return runs.groupBy(*keys, "_run").agg(((F.min("at") + F.max("at")) / 2).alias("centre")).drop("_run")
 
 
-def corridors(words: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and boundaries (array): outer edges, and the middles of corridors that hardly a row crosses. words: keys, row (id of a row with two words or more votes), x0, x1 scaled to ``PAGE_WIDTH``.
+def corridors(words: DataFrame, keys: list[str], width: int = PAGE_WIDTH) -> DataFrame:
+    """keys and boundaries (array): outer edges, and the middles of corridors that hardly a row crosses. words: keys, row (id of a row), x0, x1 scaled to ``width``.
 
-    Each row counts once per pixel column; the sweep is an explode of spans, not of words, into at most ``PAGE_WIDTH`` columns.
+    Rows of two words or more vote, all rows where there are none. A sweep: each row's words merge into spans, a span
+    adds one at its start and takes it back behind its end, and a running sum over at most ``width`` places counts the
+    rows at each. Nothing is made per pixel.
     """
-    many = words.groupBy(*keys, "row").agg(F.count("*").alias("_n")).withColumn("_multi", F.col("_n") >= 2)
-    any_ = many.groupBy(*keys).agg(F.max("_multi").alias("_any"))
-    voting = many.join(any_, keys).filter("_multi or not _any").select(*keys, "row")
-    voters = words.join(voting, [*keys, "row"])
-    edges = voters.groupBy(*keys).agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"), F.countDistinct("row").alias("n"))
-    x = F.explode(F.sequence(F.floor("x0").cast("int"), F.greatest(F.ceil("x1").cast("int") - 1, F.floor("x0").cast("int")))).alias("x")
-    covered = voters.select(*keys, "row", x).distinct().groupBy(*keys, "x").agg(F.count("*").alias("c"))
-    columns = edges.select(*keys, "lo", "hi", "n", F.explode(F.sequence(F.floor("lo").cast("int"), F.ceil("hi").cast("int") - 1)).alias("x")).join(covered, [*keys, "x"], "left")
-    free = columns.filter(F.coalesce("c", F.lit(0)) <= F.greatest(F.lit(1), F.floor(CROSSING * F.col("n")))).withColumn("_g", F.col("x") - F.row_number().over(Window.partitionBy(*keys).orderBy("x")))
-    gaps = free.groupBy(*keys, "_g", "lo", "hi").agg(F.min("x").alias("a"), (F.max("x") + 1).alias("b"))
-    wide = max(GAP_PIXELS, int(GAP_SHARE * PAGE_WIDTH))
-    inner = gaps.filter((F.col("b") - F.col("a") >= wide) & (F.col("a") > F.floor("lo")) & (F.col("b") < F.ceil("hi")))
-    middles = inner.groupBy(*keys).agg(F.sort_array(F.collect_list((F.col("a") + F.col("b")) / 2)).alias("m"))
-    out = edges.join(middles, keys, "left")
+    last = width + 1  # places 0..last; corridors at either edge of the page are margins
+    of_row = Window.partitionBy(*keys, "row")
+    placed = words.select(*keys, "row", "x0", "x1", F.greatest(F.floor("x0"), F.lit(0)).alias("s"), F.least(F.ceil("x1"), F.lit(last)).alias("e")).filter("e >= s")
+    before = of_row.orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    spans = placed.withColumn("_multi", F.count("*").over(of_row) >= 2).withColumn("_reach", F.max("e").over(before))
+    # a word that begins inside what came before adds only what reaches beyond it
+    inside = F.coalesce(F.col("s") <= F.col("_reach") + 1, F.lit(False))
+    start = F.when(inside, F.col("_reach") + 1).otherwise(F.col("s"))
+    spans = spans.withColumn("s", start)
+    edges = spans.groupBy(*keys, "_multi").agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"), F.count_if(F.col("_reach").isNull()).alias("n"))
+    chosen = edges.groupBy(*keys).agg(F.max("_multi").alias("_multi"), *[F.max_by(c, "_multi").alias(c) for c in ("lo", "hi", "n")])
+    ends = F.explode(F.array(F.struct(F.col("s").alias("x"), F.lit(1).alias("_delta")), F.struct((F.col("e") + 1).alias("x"), F.lit(-1).alias("_delta"))))
+    deltas = spans.filter("e >= s").select(*keys, "_multi", ends.alias("_at")).groupBy(*keys, "_multi", "_at.x").agg(F.sum("_at._delta").alias("_delta"))
+    deltas = deltas.join(chosen.select(*keys, "_multi"), [*keys, "_multi"]).select(*keys, "x", "_delta").unionByName(chosen.select(*keys, F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("_delta")))
+    along = Window.partitionBy(*keys).orderBy("x")
+    steps = deltas.groupBy(*keys, "x").agg(F.sum("_delta").alias("_delta")).filter(F.col("x") <= last)
+    steps = steps.withColumn("c", F.sum("_delta").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.coalesce(F.lead("x").over(along) - 1, F.lit(last)))
+    steps = steps.join(chosen.select(*keys, "n"), keys).withColumn("_free", F.col("c") <= F.greatest(F.lit(1), F.floor(CROSSING * F.col("n"))))
+    runs = steps.withColumn("_g", F.sum((~F.col("_free")).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0))).filter("_free")
+    gaps = runs.groupBy(*keys, "_g").agg(F.min("x").alias("a"), F.max("to").alias("b"))
+    inner = gaps.filter((F.col("b") - F.col("a") + 1 >= max(GAP_PIXELS, int(GAP_SHARE * width))) & (F.col("a") > 0) & (F.col("b") < last))
+    middles = inner.groupBy(*keys).agg(F.sort_array(F.collect_list((F.col("a") + F.col("b")) / 2)).alias("m"))  # at most a hundred
+    out = chosen.join(middles, keys, "left")
     return out.select(*keys, F.concat(F.array("lo"), F.coalesce("m", F.array().cast("array<double>")), F.array("hi")).alias("boundaries"))
 
 
+def ruled(rules: Column) -> Column:
+    """Do a page's rules settle its rows or columns? Three do."""
+    return F.coalesce(F.size(rules) >= RULES, F.lit(False))
+
+
 def column_of(x: Column, boundaries: Column) -> Column:
     """The column that holds x; the nearest one outside."""
     return F.least(F.size(boundaries) - 2, F.greatest(F.lit(0), F.size(F.filter(boundaries, lambda b: b <= x)) - 1))
@@ -124,6 +142,56 @@ def assign_cells(words: DataFrame, keys: list[str]) -> DataFrame:
     return placed.groupBy(*keys, "visual_row", "col_no").agg(text.alias("raw"), F.min("confidence").alias("conf"))
 
 
+def page_grids(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """``words`` with visual_row, in_table and in_body (does the row belong to the table, to its body?), and their page's columns.
+
+    words: doc_id, page_no, text, x0, y0, x1, y1, confidence; pages: doc_id, page_no, width, height, kind, x_rules, y_rules. Rows lie
+    between a page's rules, or go by position; without rules the body is the longest run of rows on a regular pitch, and
+    the table that and one row above. Pages without a clear pitch keep all rows.
+    """
+    placed = words.join(pages.select(*PAGE, "y_rules"), PAGE)
+    grid = placed.filter(ruled(F.col("y_rules")))
+    own = [c for c in words.columns if c not in PAGE]
+    about = [c for c in pages.columns if c not in PAGE]
+    by_rules = row_bands(grid.select(*PAGE, *own), pages.filter(ruled(F.col("y_rules"))).select(*PAGE, "y_rules"))
+    by_place = rows_by_position(placed.filter(~ruled(F.col("y_rules"))).select(*PAGE, *own))
+    rows = by_rules.select(*PAGE, *own, "yc", "visual_row").unionByName(by_place.select(*PAGE, *own, "yc", "visual_row")).join(pages.select(*PAGE, *about), PAGE)
+    centred = rows.filter(~ruled(F.col("y_rules"))).groupBy(*PAGE, "visual_row").agg(F.avg("yc").alias("centre"))
+    band = longest_run(in_body(centred), PAGE)
+    rows = rows.join(band, PAGE, "left")
+    body = F.col("start").isNull() | F.col("visual_row").between(F.col("start"), F.col("end"))
+    table = F.col("start").isNull() | F.col("visual_row").between(F.col("start") - 1, F.col("end"))
+    return rows.withColumns({"in_body": body, "in_table": table}).drop("start", "end", "yc")
+
+
+def page_rows(words: DataFrame, pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Positioned words as the engine's page rows: doc_id, page_no, table_no, row_no, cells, confs, kind, extractor, top, bottom, page_height.
+
+    Columns are shared by a document's pages: the bodies of all pages without vertical rules are scaled to one width and
+    swept once per document. A digital page gives a table if it has two rows and two columns; a scanned one always.
+    words and pages as in ``page_grids``; pages' rules may be null. The words with their rows are written once; ``scratch`` owns that.
+    """
+    grids = (scratch or Scratch(words.sparkSession)).keep(page_grids(words, pages), "grids")
+    scale = F.lit(float(PAGE_WIDTH)) / F.col("width")
+    pooled = grids.filter(F.col("in_body") & ~ruled(F.col("x_rules")) & (F.col("width") > 0))
+    pooled = pooled.select("doc_id", F.struct("page_no", "visual_row").alias("row"), (F.col("x0") * scale).alias("x0"), (F.col("x1") * scale).alias("x1"))
+    shared = corridors(pooled, ["doc_id"]).select("doc_id", F.col("boundaries").alias("_shared"))
+    table = grids.filter("in_table").join(shared, "doc_id", "left")
+    scaled = F.transform("_shared", lambda b: b * F.col("width") / PAGE_WIDTH)
+    table = table.withColumn("boundaries", F.when(ruled(F.col("x_rules")), F.sort_array("x_rules")).otherwise(scaled)).filter("boundaries is not null")
+    box = table.groupBy(*PAGE).agg(F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.first("height").alias("page_height"), F.first("kind").alias("kind"), F.first(F.size("boundaries") - 1).alias("_n"), F.first(ruled(F.col("x_rules"))).alias("_grid"))
+    cells = assign_cells(table, PAGE).groupBy(*PAGE, "visual_row").agg(F.map_from_entries(F.collect_list(F.struct("col_no", F.struct("raw", "conf")))).alias("_c"))
+    cells = cells.join(box, PAGE)
+    columns = F.sequence(F.lit(0), F.col("_n") - 1)
+    at = lambda i: F.try_element_at(F.col("_c"), i)
+    rows = cells.withColumn("cells", F.transform(columns, lambda i: F.coalesce(at(i)["raw"], F.lit("")))).withColumn("confs", F.transform(columns, lambda i: F.coalesce(at(i)["conf"], F.lit(1.0))))
+    rows = rows.filter(F.exists("cells", lambda c: F.trim(c) != "")).withColumn("_rows", F.count("*").over(Window.partitionBy(*PAGE)))
+    rows = rows.filter((F.col("kind") == "scanned") | ((F.col("_rows") >= 2) & (F.col("_n") >= 2)))
+    extractor = F.when(F.col("kind") != "scanned", "text-columns").when(F.col("_grid"), "ocr-grid").otherwise("ocr-columns")
+    order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("visual_row")) - 1
+    return rows.select(*PAGE, F.lit(0).alias("table_no"), order.alias("row_no"), "cells", "confs", "kind", extractor.alias("extractor"), "top", "bottom", "page_height")
+
+
 def choose_rotation(rotations: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """keys and rotation of the reading with most wide words, then most confidence. rotations: words with rotation."""
     r = rotations.groupBy(*keys, "rotation").agg(F.avg((F.col("x1") - F.col("x0") > F.col("y1") - F.col("y0")).cast("double")).alias("wide"), F.avg("confidence").alias("mean"))
@@ -187,3 +255,14 @@ def facts(words: DataFrame, pages: DataFrame, keys: list[str] = PAGE) -> DataFra
     return out.dropna(subset=["taux", "quantite", "date_souscription", "date_remboursement"])
 
 
+def declaration_facts(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """The facts of each declaration page, from the first of its rotated readings that gives them. words: readings with rotation; pages: doc_id, page_no, rotation, height.
+
+    A reading is tried only if enough of its words are wider than high.
+    """
+    keys = [*PAGE, "rotation"]
+    wide = words.groupBy(*keys).agg(F.avg((F.col("x1") - F.col("x0") > F.col("y1") - F.col("y0")).cast("double")).alias("_w")).filter(F.col("_w") >= WIDE_SHARE).select(*keys)
+    found = facts(words.join(wide, keys), pages, keys)
+    order = F.array_position(F.array(*map(F.lit, ROTATIONS)), F.col("rotation"))
+    first = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.when(order > 0, order).otherwise(len(ROTATIONS) + 1), "rotation"))
+    return found.withColumn("_r", first).filter("_r = 1").drop("_r")

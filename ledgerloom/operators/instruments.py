@@ -23,6 +23,9 @@ MAIN_COLUMNS = """
 ISIN name issuer rate totalnumberOfCertificates totalAmountToBePaid auctionDate type issueDate startDate maturityDate issuanceProgramme instrument guarantor
 entitlementDate auctionType BIC code nominalValueAllotted numberOfCertificates amountToBePaid client
 """.split()
+CLIENT_COLUMNS = """
+clientId clientType firstName lastName registrationDate economicSector residentStatus nationality defaultAssetCategory natureOfIdentification nationalId fiscalId gender investorType
+""".split()
 DISCOUNT, COUPON = ("Discount", "certificat de depot inf 1an TF"), ("Coupon", "certificat de deport sup 1an TF")
 DISCOUNT_DAYS = 365
 
@@ -63,8 +66,14 @@ def with_keys(facts: DataFrame) -> DataFrame:
     return out.withColumn("key", F.when(F.col("issuer_token").isNotNull(), allocation_key(F.col("issuer_token"), F.col("taux"), F.col("date_souscription"), F.col("date_remboursement"))))
 
 
-def to_rows(facts: DataFrame, client_columns: tuple[str, ...] = (), config: EngineConfig = EngineConfig()) -> DataFrame:
-    """The fixed-schema row of each fact with an issuer; dates come from the subscription, so that a rerun gives the same row. facts: with_keys plus isin."""
+def group_key(facts: DataFrame) -> DataFrame:
+    """``facts`` (with_keys) with group_no, the same for all rows of one instrument: issuer, rate to four places and both dates; null without an issuer."""
+    group = F.struct("issuer_token", F.round("taux", 4).alias("taux"), "date_souscription", "date_remboursement")
+    return facts.withColumn("group_no", F.when(F.col("issuer_token").isNotNull(), F.xxhash64(group)))
+
+
+def to_rows(facts: DataFrame, client_columns: tuple[str, ...] = tuple(CLIENT_COLUMNS), config: EngineConfig = EngineConfig()) -> DataFrame:
+    """The 36 columns of each fact with an issuer: 22 that are known and the subscriber's 14, empty; dates come from the subscription, so that a rerun gives the same row. facts: with_keys plus isin."""
     french = lambda c: F.date_format(c, "dd/MM/yyyy")
     since, until = F.col("date_souscription"), F.col("date_remboursement")
     kind = F.when(is_discount(since, until), DISCOUNT[0]).otherwise(COUPON[0])

@@ -55,13 +55,24 @@ def parse_amount_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", S.parse_amount(rendered(F.col("signed"), F.col("o_orderkey") % 8)).alias("amount"))
 
 
-@query(r"""
-WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \n]+')) AS w FROM documents)
-SELECT doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN regexp_full_match(w, '[0-9]{1,15}') THEN 1 ELSE 0 END) AS BIGINT) AS n_numbers
-FROM t WHERE regexp_full_match(w, '[A-Za-z]{5,}|[0-9]+') GROUP BY doc_id""")
+_CODES, _SIGNS = "|".join(S.CURRENCY_CODES), "|".join(S.DEBIT_WORDS + S.CREDIT_WORDS)
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \n]+')) AS w FROM documents),
+p AS (SELECT doc_id, w, upper(regexp_replace(regexp_replace(w, '[\x09\x0b\x0c\r{S.SPACES.strip()}]', '', 'g'), '[{S.MINUSES}]', '-', 'g')) AS u FROM t),
+q AS (SELECT doc_id, w, regexp_replace(u, '[%{S.CURRENCY_SYMBOLS}]', '', 'g') AS u FROM p),
+r AS (SELECT doc_id, w, u, regexp_full_match(u, '(?:[-+(\[]|(?:{_CODES})\.*|{_SIGNS})*[\d.,]*\d[\d.,]*(?:[-)\]]|\.*(?:{_CODES})|{_SIGNS})*') AS shaped,
+      regexp_replace(regexp_replace(u, '[^(\[\])]', '', 'g'), '\(\)|\[\]|\(\(\)\)', '', 'g') AS brackets, regexp_extract(u, '[\d.,]*\d[\d.,]*') AS b FROM q),
+v AS (SELECT doc_id, shaped AND brackets = '' AND lower(w) NOT IN ({", ".join(f"'{m}'" for m in S.BLANK_MARKERS)}) AS able,
+      CASE WHEN contains(b, '.') AND contains(b, ',') THEN CASE WHEN regexp_matches(b, ',[^.]*$') THEN replace(replace(b, '.', ''), ',', '.') ELSE replace(b, ',', '') END
+           WHEN contains(b, ',') THEN CASE WHEN regexp_full_match(b, '\d{{1,3}}(,\d{{3}})+') THEN replace(b, ',', '') WHEN len(b) - len(replace(b, ',', '')) = 1 THEN replace(b, ',', '.') END
+           WHEN len(b) - len(replace(b, '.', '')) > 1 THEN CASE WHEN regexp_full_match(b, '\d{{1,3}}(\.\d{{3}}){{2,}}') THEN replace(b, '.', '') END ELSE b END AS x FROM r)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(count(*) FILTER (able AND regexp_full_match(x, '\d+\.?\d*|\.\d+') AND len(ltrim(split_part(x, '.', 1), '0')) <= 15) AS BIGINT) AS n_numbers
+FROM v GROUP BY doc_id""")
 def parse_amount_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words are never amounts, runs of digits are unless they are too long: tokens of documents of either form."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"[ \n]+")).alias("w")).filter(F.col("w").rlike("^([A-Za-z]{5,}|[0-9]+)$"))
+    """Every token of every document, of whatever form: which are amounts?"""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"[ \n]+")).alias("w")).filter("w != ''")
     return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if(S.parse_amount(F.col("w")).isNotNull()).alias("n_numbers"))
 
 
@@ -78,26 +89,23 @@ def parse_date_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", S.parse_date(text, k != 5).alias("d"))
 
 
-@query("SELECT doc_id, lower(regexp_replace(strip_accents(substring(text, 1, 200)), '[^A-Za-z0-9]+', '', 'g')) AS folded FROM documents")
-def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts' first line of 200 characters without accents, case and punctuation."""
-    return table(spark, sf_dir, "documents").select("doc_id", S.fold(F.substring("text", 1, 200)).alias("folded"))
-
-
 @query("SELECT doc_id, md5(f) AS digest, CAST(length(f) AS BIGINT) AS n_chars FROM (SELECT doc_id, lower(regexp_replace(strip_accents(text), '[^A-Za-z0-9]+', '', 'g')) AS f FROM documents)")
-def fold_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts without accents, case and punctuation, as digest and length."""
     folded = table(spark, sf_dir, "documents").select("doc_id", S.fold(F.col("text")).alias("f"))
     return folded.select("doc_id", F.md5(F.col("f").cast("binary")).alias("digest"), F.length("f").cast("long").alias("n_chars"))
 
 
-@query()
+@query("""
+WITH c AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders), s AS (SELECT o_orderkey, c, format('{:,}', c // 100) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS s FROM c),
+d AS (SELECT o_orderkey, c, CASE o_orderkey % 3 WHEN 0 THEN replace(s, '0', 'O') WHEN 1 THEN replace(s, '5', 'S') ELSE s END AS d FROM s)
+SELECT o_orderkey, CAST(CASE WHEN NOT regexp_matches(d, '^[OS][^0-9][^0-9]') THEN c / 100.0 END AS DOUBLE) AS amount FROM d""")
 def ocr_digit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices with letters for digits, repaired and read."""
+    """Prices with letters for digits, repaired and read. A first letter that no digit is near stays, and the cell unread."""
     o = _orders(spark, sf_dir)
     clean = rendered(F.col("cents"), F.lit(0))
     damaged = F.when(F.col("o_orderkey") % 3 == 0, F.replace(clean, F.lit("0"), F.lit("O"))).when(F.col("o_orderkey") % 3 == 1, F.replace(clean, F.lit("5"), F.lit("S"))).otherwise(clean)
-    return o.select("o_orderkey", damaged.alias("cell"), S.parse_amount(S.repair_ocr_digits(damaged)).alias("amount"))
+    return o.select("o_orderkey", S.parse_amount(S.repair_ocr_digits(damaged)).alias("amount"))
 
 
 MARKS = ["-", "n/a", "N/A", "Néant", " nil ", "0", "x", "xx", "xxx", "", "none", "total", "...", "void", "1-"]
@@ -215,12 +223,14 @@ def ledger_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = rows.select("doc_id", "row_no", "movement", *[S.parse_amount(rendered(F.col(c), F.col("doc_id") % 8)).alias(c) for c in ("debit", "credit", "balance")])
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
     cells = cells.select("doc_id", "row_no", "movement", *[cents(c).alias(c) for c in ("debit", "credit", "balance")])
-    sums = cells.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.sum(F.coalesce("debit", F.lit(0))).alias("debit_cents"), F.sum(F.coalesce("credit", F.lit(0))).alias("credit_cents"))
-    # breaks under either sign, in the same pass over the document's rows
-    found = checks.balance_breaks(cells.select("doc_id", "row_no", "movement", "balance"), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("breaks_plus").alias("p"), F.count_if("breaks_minus").alias("m"))
+    # breaks under either sign, sums and counts in one pass over the document's rows
+    marked, has = checks.marked_breaks(cells, ["doc_id"]), F.col("balance").isNotNull()
+    out = marked.groupBy("doc_id").agg(
+        F.count("*").alias("n_rows"), F.sum(F.coalesce("debit", F.lit(0))).alias("debit_cents"), F.sum(F.coalesce("credit", F.lit(0))).alias("credit_cents"),
+        F.count_if(has).alias("n"), F.least(F.count_if(F.col("breaks_plus")), F.count_if(F.col("breaks_minus"))).alias("n_breaks"),
+    )
     stated = F.col("debit_cents") + F.when(F.col("doc_id") % 11 == 0, 100).otherwise(0)
-    out = sums.join(found, "doc_id", "left").withColumn("n_breaks", F.coalesce(F.least("p", "m"), F.lit(0)))
-    return out.select("doc_id", "n_rows", "debit_cents", "credit_cents", "n_breaks", (F.col("n").isNull() | (F.col("n") < 3) | (F.col("n_breaks") == 0)).alias("balance_ok"), S.close(F.col("debit_cents") / 100, stated / 100).alias("totals_ok"))
+    return out.select("doc_id", "n_rows", "debit_cents", "credit_cents", "n_breaks", ((F.col("n") < 3) | (F.col("n_breaks") == 0)).alias("balance_ok"), S.close(F.col("debit_cents") / 100, stated / 100).alias("totals_ok"))
 
 
 @query("""
@@ -309,16 +319,21 @@ def page_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 0 END AS INTEGER) AS page_no, CAST(2 + o_orderkey % 2 AS INTEGER) AS n_cols, o_orderkey % 4 < 3 AS low, o_orderkey % 7 < 5 AS high FROM orders),
-p AS (SELECT *, lag(n_cols) OVER w AS pc, lag(low) OVER w AS pl FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY page_no))
-SELECT doc_id, page_no, CAST(sum(CASE WHEN pc IS NULL THEN 0 WHEN pc = n_cols AND pl AND high THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page_no) AS INTEGER) AS group_id FROM p""")
+WITH RECURSIVE t AS (SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS page_no, CAST(2 + (o_orderkey // 8) % 2 AS INTEGER) AS n_cols, o_orderkey % 4 < 2 AS low, o_orderkey % 7 < 5 AS high,
+      CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'h' || CAST(o_orderkey % 3 AS VARCHAR) END AS hsig, 'h' || CAST(o_orderkey % 2 AS VARCHAR) AS fsig FROM orders),
+f AS (SELECT doc_id, page_no, n_cols, low, hsig AS sig, 0 AS group_id FROM t WHERE page_no = 1 UNION ALL
+      SELECT doc_id, page_no, n_cols, low, CASE WHEN on_ THEN sig ELSE hsig END, group_id + CASE WHEN on_ THEN 0 ELSE 1 END FROM
+      (SELECT t.*, f.sig, f.group_id, f.n_cols = t.n_cols AND ((f.sig <> '' AND t.fsig = f.sig) OR (f.low AND t.high)) AS on_ FROM f JOIN t ON t.doc_id = f.doc_id AND t.page_no = f.page_no + 1))
+SELECT doc_id, page_no, CAST(group_id AS INTEGER) AS group_id FROM f""")
 def page_continuation_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that go on where the foot of one and the head of the next are used, or where the group's first header returns."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    sig = lambda n: F.concat(F.lit("h"), (k % n).cast("string"))
     t = o.select(
-        F.col("o_custkey").alias("doc_id"), F.row_number().over(w).alias("page_no"), F.lit(0).alias("table_no"), (2 + k % 2).cast("int").alias("n_cols"), F.lit("").alias("header_sig"), F.lit("x").alias("first_sig"),
-        F.when(k % 7 < 5, 60.0).otherwise(400.0).alias("top"), F.when(k % 4 < 3, 800.0).otherwise(500.0).alias("bottom"), F.lit(842.0).alias("page_height"),
+        F.col("o_custkey").alias("doc_id"), F.row_number().over(w).alias("page_no"), F.lit(0).alias("table_no"), F.expr("cast(2 + (o_orderkey div 8) % 2 as int)").alias("n_cols"), F.when(k % 5 == 0, "").otherwise(sig(3)).alias("header_sig"), sig(2).alias("first_sig"),
+        F.when(k % 7 < 5, 60.0).otherwise(400.0).alias("top"), F.when(k % 4 < 2, 800.0).otherwise(500.0).alias("bottom"), F.lit(842.0).alias("page_height"),
     )
     return stitch.continuation_groups(t).select("doc_id", "page_no", "group_id")
 
@@ -403,7 +418,12 @@ def row_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.row_bands(w, rules).select("doc_id", "n", "visual_row")
 
 
-@query()
+@query(WORDS_SQL.replace("WITH w", "WITH RECURSIVE w") + """,
+s AS (SELECT doc_id, n, (y0 + y1) / 2 AS yc, row_number() OVER (PARTITION BY doc_id ORDER BY (y0 + y1) / 2, x0, n) AS i FROM w),
+f AS (SELECT doc_id, i, n, yc AS total, 1 AS many, 0 AS visual_row FROM s WHERE i = 1 UNION ALL
+      SELECT doc_id, i, n, CASE WHEN near THEN total + yc ELSE yc END, CASE WHEN near THEN many + 1 ELSE 1 END, visual_row + CASE WHEN near THEN 0 ELSE 1 END FROM
+      (SELECT s.*, f.total, f.many, f.visual_row, abs(s.yc - f.total / f.many) <= 5.5 AS near FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i + 1))
+SELECT doc_id, n, CAST(visual_row AS INTEGER) AS visual_row FROM f""")
 def rows_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.rows_by_position(_words(spark, sf_dir)).select("doc_id", "n", "visual_row")
 
@@ -416,18 +436,18 @@ def cell_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(WORDS_SQL + """,
-v AS (SELECT doc_id % 40 AS d, doc_id AS r, x0, x1 FROM w), m AS (SELECT d, r, count(*) >= 2 AS multi FROM v GROUP BY d, r),
-k AS (SELECT v.* FROM v JOIN m USING (d, r) WHERE multi OR NOT (SELECT bool_or(multi) FROM m m2 WHERE m2.d = v.d)),
+v AS (SELECT doc_id // 64 AS d, doc_id AS r, x0, x1 FROM w), m AS (SELECT d, r, count(*) >= 2 AS multi FROM v GROUP BY d, r), y AS (SELECT d, bool_or(multi) AS any_ FROM m GROUP BY d),
+k AS (SELECT v.* FROM v JOIN m USING (d, r) JOIN y USING (d) WHERE multi OR NOT any_),
 e AS (SELECT d, min(x0) AS lo, max(x1) AS hi, count(DISTINCT r) AS n FROM k GROUP BY d),
-c AS (SELECT d, x, count(DISTINCT r) AS c FROM (SELECT d, r, unnest(range(CAST(floor(x0) AS BIGINT), CAST(ceil(x1) AS BIGINT))) AS x FROM k) GROUP BY d, x),
-a AS (SELECT d, lo, hi, n, unnest(range(CAST(floor(lo) AS BIGINT), CAST(ceil(hi) AS BIGINT))) AS x FROM e),
+c AS (SELECT d, x, count(DISTINCT r) AS c FROM (SELECT d, r, unnest(range(CAST(floor(x0) AS BIGINT), CAST(least(1001, ceil(x1)) AS BIGINT) + 1)) AS x FROM k) GROUP BY d, x),
+a AS (SELECT d, n, unnest(range(0, 1002)) AS x FROM e),
 f AS (SELECT a.*, a.x - row_number() OVER (PARTITION BY a.d ORDER BY a.x) AS g FROM a LEFT JOIN c ON a.d = c.d AND a.x = c.x WHERE coalesce(c, 0) <= greatest(1, floor(0.06 * n))),
-s AS (SELECT d, lo, hi, min(x) AS p, max(x) + 1 AS q FROM f GROUP BY d, lo, hi, g),
-i AS (SELECT d, count(*) AS n, sum(p + q) AS t FROM s WHERE q - p >= 10 AND p > floor(lo) AND q < ceil(hi) GROUP BY d)
+s AS (SELECT d, min(x) AS p, max(x) AS q FROM f GROUP BY d, g),
+i AS (SELECT d, count(*) AS n, sum(p + q) AS t FROM s WHERE q - p + 1 >= 10 AND p > 0 AND q < 1001 GROUP BY d)
 SELECT CAST(e.d AS BIGINT) AS doc_id, lo, hi, CAST(coalesce(i.n, 0) AS BIGINT) AS n_inner, CAST(coalesce(t, 0) AS BIGINT) AS twice_middles FROM e LEFT JOIN i ON e.d = i.d""")
 def corridor_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as rows of forty documents: which corridors hardly any of them crosses."""
-    w = _words(spark, sf_dir).select((F.col("doc_id") % 40).alias("d"), F.col("doc_id").alias("row"), "x0", "x1")
+    """Orders as the rows of documents of 64: which corridors hardly any of them crosses."""
+    w = _words(spark, sf_dir).select(F.expr("doc_id div 64").alias("d"), F.col("doc_id").alias("row"), "x0", "x1")
     b = geometry.corridors(w, ["d"])
     inner = F.slice("boundaries", 2, F.size("boundaries") - 2)
     return b.select(F.col("d").alias("doc_id"), F.col("boundaries")[0].alias("lo"), F.element_at("boundaries", -1).alias("hi"), F.size(inner).cast("long").alias("n_inner"), F.aggregate(inner, F.lit(0.0), lambda a, x: a + 2 * x).cast("long").alias("twice_middles"))
@@ -494,7 +514,7 @@ def allocation_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, '' AS ISIN, tok || ' ' || replace(printf('%.2f', taux), '.', ',') || '% ' || strftime(d2, '%d%m%Y') AS name, i.code AS issuer, replace(regexp_replace(printf('%.4f', taux), '[.]?0+$', ''), '.', ',') AS rate,
        CAST(q AS BIGINT) AS totalnumberOfCertificates, CAST(0 AS BIGINT) AS totalAmountToBePaid, strftime(d1, '%d/%m/%Y') AS auctionDate, CASE WHEN d2 - d1 <= 365 THEN 'Discount' ELSE 'Coupon' END AS type, strftime(d1, '%d/%m/%Y') AS issueDate,
        strftime(d1, '%d/%m/%Y') AS startDate, strftime(d2, '%d/%m/%Y') AS maturityDate, '' AS issuanceProgramme, CASE WHEN d2 - d1 <= 365 THEN 'certificat de depot inf 1an TF' ELSE 'certificat de deport sup 1an TF' END AS instrument, '' AS guarantor,
-       strftime(d1, '%d/%m/%Y') AS entitlementDate, 'Standard' AS auctionType, i.bic AS BIC, '' AS code, CAST(500 * q AS BIGINT) AS nominalValueAllotted, CAST(q AS BIGINT) AS numberOfCertificates, CAST(0 AS BIGINT) AS amountToBePaid, 'NO' AS client
+       strftime(d1, '%d/%m/%Y') AS entitlementDate, 'Standard' AS auctionType, i.bic AS BIC, '' AS code, CAST(500 * q AS BIGINT) AS nominalValueAllotted, CAST(q AS BIGINT) AS numberOfCertificates, CAST(0 AS BIGINT) AS amountToBePaid, 'NO' AS client, {", ".join(f"'' AS {c}" for c in instruments.CLIENT_COLUMNS)}
 FROM f JOIN (VALUES {", ".join(f"('{t}', '{c}', '{b}')" for t, _, c, b in instruments.ISSUERS)}) i(tok, code, bic) USING (tok)""")
 def declaration_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instruments.to_rows(instruments.with_keys(_facts(spark, sf_dir)).withColumn("isin", F.lit(None).cast("string")))
@@ -514,24 +534,6 @@ def issuer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), token.alias("token"), error.alias("error"))
 
 
-@query("""
-WITH q AS (SELECT 'k' || CAST(o_custkey % 60 AS VARCHAR) AS key, o_orderkey AS seq, 'sheet' || CAST(o_custkey % 3 AS VARCHAR) AS sheet FROM orders), k AS (SELECT key, min(seq) AS seq, min(sheet) AS sheet FROM q GROUP BY key),
-p AS (SELECT 'sheet' || CAST(p_partkey % 3 AS VARCHAR) AS sheet, row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) - 1 AS pos, 'TN' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS code FROM part WHERE p_partkey <= 150),
-l AS (SELECT 'k' || CAST(i AS VARCHAR) AS key, 'TN' || lpad(CAST(3 * i + 1 AS VARCHAR), 10, '0') AS isin FROM (SELECT unnest(range(0, 10)) AS i)),
-n AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY seq, key) AS rk FROM k WHERE key NOT IN (SELECT key FROM l)),
-f AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY pos) AS rk FROM p WHERE code NOT IN (SELECT isin FROM l))
-SELECT k.key, l.isin, false AS is_new FROM k JOIN l USING (key) UNION ALL SELECT n.key, f.code, true FROM n LEFT JOIN f USING (sheet, rk)""")
-def isin_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixty keys on three sheets, ten of them allocated before."""
-    o = table(spark, sf_dir, "orders")
-    text = lambda c: c.cast("string")
-    requests = o.select(F.concat(F.lit("k"), text(F.col("o_custkey") % 60)).alias("key"), F.concat(F.lit("sheet"), text(F.col("o_custkey") % 3)).alias("sheet"), F.col("o_orderkey").alias("seq"))
-    p = table(spark, sf_dir, "part").filter("p_partkey <= 150")
-    pool = code_pool(p.select(F.concat(F.lit("sheet"), text(F.col("p_partkey") % 3)).alias("sheet"), F.col("p_partkey").alias("position"), F.concat(F.lit(" tn"), F.lpad(text(F.col("p_partkey")), 10, "0")).alias("value")))
-    known = spark.range(10).select(F.concat(F.lit("k"), text(F.col("id"))).alias("key"), F.concat(F.lit("TN"), F.lpad(text(3 * F.col("id") + 1), 10, "0")).alias("isin"))
-    return instruments.allocate(requests, pool, known).select("key", "isin", "is_new")
-
-
 @query("""
 WITH k AS (SELECT 'k' || CAST(o_orderkey AS VARCHAR) AS key, o_orderkey AS seq, 'sheet' || CAST(o_custkey % 3 AS VARCHAR) AS sheet FROM orders),
 p AS (SELECT 'sheet' || CAST(p_partkey % 3 AS VARCHAR) AS sheet, row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) - 1 AS pos, 'TN' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS code FROM part),
@@ -539,7 +541,7 @@ l AS (SELECT 'k' || CAST(i AS VARCHAR) AS key, 'TN' || lpad(CAST(3 * i + 1 AS VA
 n AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY seq, key) AS rk FROM k WHERE key NOT IN (SELECT key FROM l)),
 f AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY pos) AS rk FROM p WHERE code NOT IN (SELECT isin FROM l))
 SELECT k.key, l.isin, false AS is_new FROM k JOIN l USING (key) UNION ALL SELECT n.key, f.code, true FROM n LEFT JOIN f USING (sheet, rk)""")
-def isin_allocation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def isin_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A key for every order and all parts as pool: more keys than codes, ten of them allocated before."""
     text = lambda c: c.cast("string")
     requests = table(spark, sf_dir, "orders").select(F.concat(F.lit("k"), text(F.col("o_orderkey"))).alias("key"), F.concat(F.lit("sheet"), text(F.col("o_custkey") % 3)).alias("sheet"), F.col("o_orderkey").alias("seq"))
@@ -562,16 +564,10 @@ def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_sheet(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name", "c_nationkey", "c_mktsegment"))
 
 
-@query("SELECT doc_id % 20 AS doc_id, CAST(0 AS INTEGER) AS col_no, CAST(greatest(10, least(50, max(len(text[1:doc_id % 70])) + 2)) AS INTEGER) AS width FROM documents WHERE doc_id // 20 < 200 GROUP BY doc_id % 20")
-def sheet_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("d"), F.expr("doc_id div 20").alias("row_no"), F.lit(0).alias("col_no"), F.expr("substring(text, 1, cast(doc_id % 70 as int))").alias("raw"))
-    return column_widths(d, ["d"]).withColumnRenamed("d", "doc_id")
-
-
 @query("""
 WITH c AS (SELECT doc_id // 300 AS d, 0 AS col_no, text AS raw FROM documents WHERE doc_id % 300 < 200 UNION ALL SELECT doc_id // 300, 1, source FROM documents WHERE doc_id % 300 < 200)
 SELECT d AS doc_id, CAST(col_no AS INTEGER) AS col_no, CAST(greatest(10, least(50, max(length(raw)) + 2)) AS INTEGER) AS width FROM c GROUP BY d, col_no""")
-def sheet_widths_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sheet_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole cells in tables of 300 rows, whose number grows with the documents; the first 200 rows of each count."""
     d = table(spark, sf_dir, "documents")
     cell = lambda n, c: d.select(F.expr("doc_id div 300").alias("d"), F.expr("doc_id % 300").alias("row_no"), F.lit(n).alias("col_no"), F.col(c).alias("raw"))
@@ -599,7 +595,7 @@ def pages_contributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy(F.expr("o_orderkey div 60"))
     r = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.dense_rank().over(w).alias("page_no"), "o_orderkey")
     pages = r.groupBy("doc_id").agg(F.max("page_no").alias("m")).select("doc_id", F.explode(F.sequence(F.lit(1), F.col("m") + 2)).alias("page_no"), F.lit("digital").alias("kind"))
-    return checks.check_pages(pages, r.filter("o_orderkey % 3 > 0").select("doc_id", "page_no")).select("doc_id", "passed")
+    return checks.check_pages(pages, r.filter("o_orderkey % 3 > 0").select("doc_id", F.lit(0).alias("table_id"), "page_no")).select("doc_id", "passed")
 
 
 @query("SELECT c_custkey AS doc_id, 'table_found' AS id, false AS passed FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0) UNION ALL SELECT c_custkey, 'ocr_unavailable', false FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0) AND c_nationkey > 12")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import scalars as S
+
 BOM = "﻿"
 
 
@@ -26,21 +28,91 @@ def wide(cells: DataFrame, columns: DataFrame, doc_id: object, table_id: int) ->
     return by.orderBy("row_no").select(*[F.coalesce(f"c{k}", F.lit("")).alias(n) for k, n in names])
 
 
-def report(checks: DataFrame, flags: DataFrame) -> DataFrame:
-    """One JSON document per doc_id with its checks in order and its flags."""
-    c = checks.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("table_id", "seq", "id", "passed", "severity", "detail"))), lambda x: x).alias("checks"))
+#: Name that reports are signed with.
+TOOL = "ledgerloom"
+
+
+def report(checks: DataFrame, flags: DataFrame, tables: DataFrame | None = None, documents: DataFrame | None = None, primary: DataFrame | None = None) -> DataFrame:
+    """One JSON document per doc_id (doc_id, report): tool, n_rows and columns of the primary table, document, validation (passed, checks in order, flags), tables, extra_tables.
+
+    tables: doc_id, table_id, n_rows, columns; documents: doc_id and what is known of it; primary: doc_id, table_id. What is
+    not given is left out. Everything is grouped by document.
+    """
+    c = checks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("table_id", "seq", "id", "passed", "severity", "detail"))).alias("checks"))
     f = flags.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("table_id", "row", "column", "reason", "severity", "value"))).alias("flags"))
     passed = ~F.exists("checks", lambda x: ~x["passed"] & (x["severity"] == "error"))
-    return c.join(f, "doc_id", "left").select("doc_id", F.to_json(F.struct(F.lit("ledgerloom").alias("tool"), passed.alias("passed"), "checks", F.coalesce("flags", F.array().cast(f.schema["flags"].dataType)).alias("flags"))).alias("report"))
+    none = F.array().cast(f.schema["flags"].dataType)
+    out = c.join(f, "doc_id", "left").withColumn("validation", F.struct(passed.alias("passed"), "checks", F.coalesce("flags", none).alias("flags")))
+    parts = [F.lit(TOOL).alias("tool")]
+    if tables is not None:
+        first = primary if primary is not None else tables.groupBy("doc_id").agg(F.min("table_id").alias("table_id"))
+        marked = tables.join(first.select("doc_id", F.col("table_id").alias("_first")), "doc_id", "left").withColumn("_main", F.coalesce(F.col("table_id") == F.col("_first"), F.lit(False)))
+        each = F.struct((~F.col("_main")).alias("_rest"), "table_id", "n_rows", "columns")
+        t = marked.groupBy("doc_id").agg(F.sort_array(F.collect_list(each)).alias("_t"))
+        extra = F.transform(F.filter("_t", lambda x: x["_rest"]), lambda x, i: F.struct((i + 1).alias("index"), x["n_rows"].alias("n_rows"), x["columns"].alias("columns")))
+        out = out.join(t, "doc_id", "left").withColumns({"n_rows": F.col("_t")[0]["n_rows"], "columns": F.col("_t")[0]["columns"], "extra_tables": extra})
+        out = out.withColumn("tables", F.transform("_t", lambda x: F.struct(x["table_id"].alias("table_id"), x["n_rows"].alias("n_rows"), x["columns"].alias("columns"))))
+        parts += ["n_rows", "columns"]
+    if documents is not None:
+        about = documents.select("doc_id", F.struct(*[x for x in documents.columns if x != "doc_id"]).alias("document"))
+        out, parts = out.join(about, "doc_id", "left"), [*parts, "document"]
+    parts += ["validation", *(["tables", "extra_tables"] if tables is not None else [])]
+    return out.select("doc_id", F.to_json(F.struct(*parts)).alias("report"))
+
+
+def summary_lines(checks: DataFrame) -> DataFrame:
+    """doc_id and line: the verdict of each document in words."""
+    bad = lambda severity: F.count_if(~F.col("passed") & (F.col("severity") == severity))
+    n = checks.groupBy("doc_id").agg(F.count("*").alias("n"), bad("error").alias("e"), bad("warning").alias("w"))
+    parts = [S.counted(F.col("n"), "check"), S.counted(F.col("e"), "error"), S.counted(F.col("w"), "warning")]
+    return n.select("doc_id", F.concat(F.when(F.col("e") == 0, "PASS").otherwise("FAIL"), F.lit(": "), F.concat_ws(", ", *parts)).alias("line"))
+
+
+def table_file(name: Column, position: Column) -> Column:
+    """The file of a document's table: the primary one, of position 0, has the document's name, others are numbered from 2."""
+    return F.concat(name, F.when(position == 0, ".csv").otherwise(F.concat(F.lit(".table"), (position + 1).cast("string"), F.lit(".csv"))))
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, delimiter: str = ",") -> DataFrame:
+    """What ``export_csv`` wrote: the byte order mark is no part of the first name."""
+    return spark.read.schema(schema).option("header", True).option("sep", delimiter).option("escape", '"').option("enforceSchema", True).csv(path)
+
+
+def monotone(events: DataFrame, keys: list[str], order: str, value: str = "percent") -> DataFrame:
+    """``events`` with a progress that never falls."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn(value, F.max(value).over(w))
+
+
+def expired(jobs: DataFrame, keep: int = 40) -> DataFrame:
+    """Finished jobs (job_id, created, finished) beyond the ``keep`` newest: their files can go. The newest are found by a top-k, not by a sort of all."""
+    done = jobs.filter("finished")
+    newest = done.orderBy(F.desc("created"), F.desc("job_id")).limit(keep)
+    return done.join(F.broadcast(newest.select("job_id")), "job_id", "left_anti")
+
+
+def cache_size(spark: SparkSession, path: str) -> int:
+    """Bytes that a cache folder holds; 0 without one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+
+
+def clear_cache(spark: SparkSession, path: str) -> int:
+    """Delete a cache folder; returns the bytes it held."""
+    size = cache_size(spark, path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return size
 
 
 def export_csv(table: DataFrame, reports: DataFrame, path: str, delimiter: str = ",") -> ExportPaths:
-    """Write a table and its report, both or neither: the report first, so that no table is ever without one."""
+    """Write a table and its report, both or neither: the report first, so that no table is ever without one. A table of one document: one file; ``export_all`` is for many."""
     paths = ExportPaths(f"{path}.csv", f"{path}.report.json")
     reports.select("report").coalesce(1).write.mode("overwrite").text(paths.report)
     first, *rest = table.columns
     marked = table.withColumnRenamed(first, BOM + first)
-    marked.coalesce(1).write.mode("overwrite").option("header", True).option("sep", delimiter).csv(paths.csv)
+    marked.coalesce(1).write.mode("overwrite").option("header", True).option("sep", delimiter).option("escape", '"').csv(paths.csv)
     return paths
 
 
@@ -72,12 +144,15 @@ def highlighted(cells: DataFrame, columns: DataFrame, flags: DataFrame, keys: li
     return named.join(f, [*keys, "row_no", "name"], "left")
 
 
-def preview(rows: DataFrame, keys: list[str], offset: int = 0, limit: int = 500) -> DataFrame:
-    """The rows offset to offset + limit - 1 of each table, and whether there are more."""
-    from pyspark.sql import Window
-
+def preview(rows: DataFrame, keys: list[str], offset: int = 0, limit: int = 500, flags: DataFrame | None = None) -> DataFrame:
+    """The rows offset to offset + limit - 1 of each table, and whether there are more; with flags (keys, row, column, reason, severity), each row's own as a list."""
     more = F.max("row_no").over(Window.partitionBy(*keys)) >= offset + limit
-    return rows.withColumn("truncated", more).filter((F.col("row_no") >= offset) & (F.col("row_no") < offset + limit))
+    part = rows.withColumn("truncated", more).filter((F.col("row_no") >= offset) & (F.col("row_no") < offset + limit))
+    if flags is None:
+        return part
+    shown = flags.filter((F.col("row") >= offset) & (F.col("row") < offset + limit))
+    own = shown.groupBy(*keys, F.col("row").alias("row_no")).agg(F.sort_array(F.collect_list(F.struct("column", "reason", "severity"))).alias("flags"))
+    return part.join(own, [*keys, "row_no"], "left").withColumn("flags", F.coalesce("flags", F.array().cast(own.schema["flags"].dataType)))
 
 
 def write_word_cache(words: DataFrame, path: str) -> None:

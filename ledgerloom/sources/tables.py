@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,8 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str, max_bytes: int = 200 << 20) -> DataFrame:
-    """Binary files with their hash and a verdict on whether they can be read: suffix, magic bytes, size."""
-    raw = spark.read.format("binaryFile").load(path)
+    """Binary files with their hash and a verdict on whether they can be read."""
+    return file_verdicts(spark.read.format("binaryFile").load(path), max_bytes)
+
+
+def file_verdicts(raw: DataFrame, max_bytes: int = 200 << 20) -> DataFrame:
+    """path, source_name, size_bytes, sha256 and problem (null if there is none): suffix, size, magic bytes. raw: path, length, content."""
     problem = (
         F.when(~F.lower("path").endswith(".pdf"), "not a .pdf file")
         .when(F.col("length") == 0, "empty file")
@@ -30,6 +35,22 @@ def files(spark: SparkSession, path: str, max_bytes: int = 200 << 20) -> DataFra
     return raw.select("path", F.element_at(F.split("path", "/"), -1).alias("source_name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), problem.alias("problem"))
 
 
+#: Where a code pool is looked for if it is not named: this variable, then these folders.
+POOL_VARIABLE, POOL_FOLDERS = "LEDGERLOOM_CODE_POOL", (".", "data")
+
+
+def discover_pool(folders: tuple[str, ...] = POOL_FOLDERS) -> str | None:
+    """The file of code cells: what the environment names, else the first CSV or Parquet file by name in the folders, one with ``isin`` in its name before others."""
+    named = os.environ.get(POOL_VARIABLE)
+    if named:
+        return named
+    for folder in folders:
+        found = sorted((p for p in Path(folder).glob("*") if p.suffix.lower() in (".csv", ".parquet")), key=lambda p: ("isin" not in p.name.lower(), p.name))
+        if found:
+            return str(found[0])
+    return None
+
+
 def words(spark: SparkSession, path: str) -> DataFrame:
     """Positioned words from JSON lines or Parquet."""
     return spark.read.schema(WORDS).json(path) if path.endswith((".json", ".jsonl")) else spark.read.schema(WORDS).parquet(path)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from ledgerloom.plans import catalog
+from ledgerloom.plans import catalog, catalog_documents  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -67,3 +67,17 @@ def test_round_trip_of_every_notation(spark, cents):
     df = spark.createDataFrame([(c, n) for c in cents for n in range(8)], "c long, n int")
     bad = df.filter(~S.parse_amount(rendered(F.col("c"), F.col("n"))).eqNullSafe(F.col("c") / 100))
     assert bad.count() == 0
+
+
+def test_functions_for_sql_follow_the_expressions(spark):
+    """Random cells: what the registered functions say is what the expressions say."""
+    import random
+
+    from ledgerloom.functions import registry
+
+    draw = random.Random(7)
+    pieces = ["1", "234", "56", ".", ",", " ", "-", "(", ")", "[", "]", "DR", "CR", "€", "USD", "12", "2025", "/", "avril", "Mar", "O", "S", "l", "％", "½", "0", "x", "n/a"]
+    cells = ["".join(draw.choices(pieces, k=draw.randrange(1, 7))) for _ in range(4000)] + [None, "", "31/02/2025", "4 Mar 25", "(1,234.56) DR", "1.234.567,89", "[DR (12)]", "2025-03-04"]
+    rows = spark.createDataFrame([(c,) for c in cells], "c string").select("c", S.parse_amount(F.col("c")).alias("a"), S.parse_amount(F.col("c"), F.lit(",")).alias("k"), S.parse_date(F.col("c"), F.lit(False)).alias("d"), S.is_blank_marker(F.col("c")).alias("b"), S.repair_ocr_digits(F.col("c")).alias("r"), S.fold(F.col("c")).alias("f"))
+    for r in rows.collect():
+        assert (r.a, r.k, r.d, r.b, r.r, r.f) == (registry.amount(r.c), registry.amount(r.c, ","), registry.date(r.c, False), registry.blank(r.c), registry.repaired(r.c), registry.folded(r.c)), r.c
