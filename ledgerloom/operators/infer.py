@@ -36,8 +36,8 @@ def _separator(point: Column, comma: Column) -> Column:
 
 def decimal_separator(cells: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """``.`` or ``,`` per table, null without evidence or with mixed evidence. Cells that are dates are no evidence. cells: keys, raw."""
-    dates = S.date_readings(F.col("raw"))
-    point, comma = S.decimal_votes(F.when(dates["dmy"].isNull() & dates["mdy"].isNull() | dates.isNull(), F.col("raw")))
+    undated = S.let(S.date_readings(F.col("raw")), lambda r: F.coalesce(r["dmy"], r["mdy"])).isNull()
+    point, comma = S.decimal_votes(F.when(undated, F.col("raw")))
     sums = cells.select(*keys, point.alias("p"), comma.alias("c")).groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("c").alias("c"))
     return sums.select(*keys, _separator(F.col("p"), F.col("c")).alias("decimal"))
 

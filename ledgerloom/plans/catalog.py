@@ -10,6 +10,7 @@ from ..functions import scalars as S
 from ..operators import checks, geometry, infer, instruments, normalize, stitch
 from ..sinks import column_widths, document_sheet, preview, validation_sheet
 from ..sources.tables import code_pool, ledger, rendered, statement_cells, table
+from ..storage import Scratch, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.col("o_orderdate").cast("date").alias("d"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.col("o_orderdate").cast("date").alias("d")))
 
 
 #: The ledger of ``sources.tables.ledger`` in SQL.
@@ -124,8 +125,6 @@ def blank_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decimal_separator_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in English or continental notation, or half in either: the vote finds the separator, and none where evidence is mixed."""
     o = _orders(spark, sf_dir)
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    o = o.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("o_custkey")))
     kind = F.when(F.col("o_custkey") % 3 < 2, F.col("o_custkey") % 3)
     # a mixed document states each amount in both notations
     cells = o.select(F.col("o_custkey").alias("doc_id"), F.explode(F.when(kind.isNull(), F.array(rendered(F.col("cents"), F.lit(0)), rendered(F.col("cents"), F.lit(1)))).otherwise(F.array(rendered(F.col("cents"), kind)))).alias("raw"))
@@ -285,6 +284,7 @@ def flag_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, clean = F.col("o_orderkey") % 10, rendered(F.col("cents"), F.lit(0))
     raw = F.when(k == 0, "see note").when(k == 1, F.concat(F.lit("l,"), F.lpad((F.col("cents") % 1000).cast("string"), 3, "0"), F.lit(".00"))).otherwise(clean)
     cells = o.select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("table_id"), F.col("o_orderkey").alias("row_no"), F.lit(0).alias("col_no"), raw.alias("raw"), F.lit("scanned").alias("kind"), F.when(k == 2, 0.5).otherwise(0.95).alias("conf"))
+    cells = Scratch(spark).keep(cells, "cells")  # read three times
     columns = cells.select("doc_id", "table_id").distinct().select("*", F.lit(0).alias("col_no"), F.lit("Amount").alias("name"), F.lit("amount").alias("kind"))
     votes = cells.select("doc_id", "table_id").distinct().select("*", F.lit(".").alias("decimal"), F.lit(None).cast("boolean").alias("dayfirst"))
     flags = normalize.cell_flags(normalize.typed_cells(cells, columns, votes), columns)

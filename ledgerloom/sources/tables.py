@@ -100,7 +100,8 @@ def cached_words(pages: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFra
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statement per customer, in cents: doc_id, row_no, o_orderkey, date, debit, credit, movement, balance (null where unreadable)."""
     w = Window.partitionBy("doc_id").orderBy("o_orderdate", "o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(
+    # the number is named so that few bytes still come in many partitions: later steps parse every cell
+    rows = table(spark, sf_dir, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("o_custkey")).select(
         F.col("o_custkey").alias("doc_id"), "o_orderkey", "o_orderdate", F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderstatus").alias("status"),
         F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
     )

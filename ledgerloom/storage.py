@@ -23,6 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder[0]
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose rows are dealt over all cores, where it has fewer partitions than there are cores: for small inputs whose rows cost far more to parse than to move. Larger inputs stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
+
+
 class Scratch:
     """The tables that one run writes. ``close`` deletes them; what is still open at exit goes then."""
 
