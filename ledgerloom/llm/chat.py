@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import steps
+
 HEAD, TAIL = "### ", "\n</turn>\n"
 _CONTROL = re.compile(r"(\\*)(###|</turn>)")
 _ESCAPED = re.compile(r"\\(\\*)(###|</turn>)")
@@ -91,7 +93,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in steps(batches, "text"):
             roles = batch.column("role").to_pylist()
             out = [render(r, t) for r, t in zip(roles, batch.column("text").to_pylist(), strict=True)]
             loss = [r == "assistant" for r in roles]

@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,26 +17,15 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 #: Bytes of text that one vectorised step handles; a longer single text is a step of its own.
 STEP_BYTES = 1 << 20
 
-_local_folder: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not _local_folder:
-        _local_folder.append("file://" + tempfile.mkdtemp(prefix="loom-"))
-    return _local_folder[0]
-
-
 #: Bytes of an Arrow batch, and Spark's default of it.
 BATCH_BYTES, SPARK_BATCH_BYTES = "4m", "67108864b"
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -13,7 +13,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     if not small:
         both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    both = both.repartition("u")
+    # least neighbours are aggregated before they are dealt by vertex: a hub costs each task one row; its edges meet its
+    # least neighbour in a join, which broadcasts a small side and splits a hub's partition in a large one
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     joined = both.join(least, "u")
     if small:

@@ -9,21 +9,21 @@ All texts of a step are searched in lockstep, cut into lanes that overlap by m -
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, bounded_batches, received, ship, steps, with_columns, words
+from .common import ALNUM, bounded_batches, materialize, per_row, received, ship, steps, with_columns, words
 
 #: Words of a lane.
 LANE = 512
-#: Characters of benchmark text whose patterns one search holds; a larger benchmark is searched in blocks of items.
-BLOCK_CHARS = 16 << 20
+#: Characters of benchmark text that one search holds, on the driver and in each worker; a larger benchmark is searched in passes, one block of items each.
+BLOCK_CHARS = 4 << 20
 
 
 class Searcher:
@@ -32,12 +32,12 @@ class Searcher:
     def __init__(self, patterns: np.ndarray, m: int, n_codes: int):
         self.m, self.block, self.n_codes = m, min(2, m), n_codes + 1
         self.patterns = patterns
-        best: dict[int, int] = {}
-        for q in range(self.block, m + 1):  # later places give smaller shifts
-            for key in np.unique(self._keys(patterns, np.full(len(patterns), q - 1), np.arange(len(patterns)))).tolist():
-                best[key] = m - q
-        keys = np.array(sorted(best), np.int64)
-        self.keys, self.shifts = keys, np.array([best[x] for x in keys.tolist()], np.int64)
+        every = np.arange(len(patterns))
+        places = range(m, self.block - 1, -1)  # later places first: they give smaller shifts, and the first one found counts
+        keys = [np.unique(self._keys(patterns, np.full(len(patterns), q - 1), every)) for q in places]
+        shifts = np.repeat([m - q for q in places], [len(k) for k in keys])
+        self.keys, first = np.unique(np.concatenate(keys), return_index=True)
+        self.shifts = shifts[first]
         last = self._keys(patterns, np.full(len(patterns), m - 1), np.arange(len(patterns)))
         order = np.argsort(last, kind="stable")
         self.bucket_keys, first = np.unique(last[order], return_index=True)
@@ -94,13 +94,19 @@ class Patterns:
         enc = flat.dictionary_encode() if len(flat) else None
         self.vocabulary = enc.dictionary if enc is not None else pa.array([], pa.large_string())
         code = enc.indices.to_numpy().astype(np.int32) + 1 if enc is not None else np.zeros(0, np.int32)
-        windows: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-        for (item, _), a, b in zip(items, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            row = code[a:b].tolist()
-            m = min(window, len(row))
-            for i in range(len(row) - m + 1 if m else 0):
-                windows[m][tuple(row[i : i + m])].add(str(item))
-        self.searchers = [(Searcher(np.array(list(found), np.int32), m, len(self.vocabulary)), list(found.values())) for m, found in sorted(windows.items())]
+        n = np.diff(offsets)
+        self.searchers = []
+        for m in np.unique(np.minimum(n, window))[np.unique(np.minimum(n, window)) > 0].tolist():
+            of = np.flatnonzero(np.minimum(n, window) == m)
+            places = n[of] - m + 1
+            item = np.repeat(of, places)
+            first = np.arange(places.sum()) - np.repeat(np.cumsum(places) - places, places) + offsets[item]
+            rows = np.stack([code[first + q] for q in range(m)], axis=1)
+            found, pattern = np.unique(rows, axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([pattern.ravel(), item]), axis=1)
+            starts = np.searchsorted(pairs[0], np.arange(len(found) + 1))
+            self.searchers.append((Searcher(found, m, len(self.vocabulary)), starts, pairs[1].astype(np.int32)))
+        self.names = [None if i is None else str(i) for i, _ in items]
 
     def scan(self, flat: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, set]]:
         """Which words lie in an occurrence, and the items found in each text."""
@@ -108,13 +114,13 @@ class Patterns:
         items: dict[int, set] = {}
         if len(flat) and len(self.vocabulary):
             code = pc.fill_null(pc.add(pc.index_in(flat, self.vocabulary.cast(flat.type)), 1), 0).to_numpy(zero_copy_only=False)
-            for searcher, names in self.searchers:
+            for searcher, starts, owner in self.searchers:
                 first, pattern = searcher.find(code, offsets)
                 np.add.at(hit, first, 1)
                 np.add.at(hit, first + searcher.m, -1)
                 row = np.searchsorted(offsets, first, "right") - 1
                 for r, p in np.unique(np.stack([row, pattern]), axis=1).T.tolist() if len(first) else []:
-                    items.setdefault(r, set()).update(names[p])
+                    items.setdefault(r, set()).update(self.names[i] for i in owner[starts[p] : starts[p + 1]].tolist() if self.names[i] is not None)
         return np.cumsum(hit[:-1]) > 0, items
 
 
@@ -122,7 +128,12 @@ def blocks(benchmark: DataFrame) -> list[DataFrame]:
     """The benchmark in parts of about ``BLOCK_CHARS`` characters: one, unless it is larger."""
     chars = benchmark.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     n = -(-chars // BLOCK_CHARS) or 1
-    return [benchmark] if n == 1 else [benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
+    return [benchmark] if n == 1 else [benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
+
+
+def _search(spark: SparkSession, part: DataFrame, window: int) -> Broadcast:
+    """The tables of one block: at most about ``BLOCK_CHARS`` characters of items, or one longer item, pass the driver."""
+    return ship(spark, Patterns([(r.item_id, r.text) for r in part.select("item_id", "text").collect()], window))
 
 
 def _fresh(items: list) -> tuple[int, list[str], str]:
@@ -130,34 +141,86 @@ def _fresh(items: list) -> tuple[int, list[str], str]:
     return len(names), names, hashlib.sha256(",".join(names).encode()).hexdigest()
 
 
+ADDED = "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
+
+
+def _with_results(batch: pa.RecordBatch, offsets: np.ndarray, hit: np.ndarray, items: dict[int, set]) -> pa.RecordBatch:
+    n_hit = per_row(hit.astype(np.int64), offsets)
+    n, names, digest = zip(*(_fresh(items.get(r, ())) for r in range(batch.num_rows)), strict=True)
+    return with_columns(batch, n_words=pa.array(np.diff(offsets)), n_hit=pa.array(n_hit), n_items=pa.array(n, pa.int64()), items=pa.array(names, pa.list_(pa.string())), items_sha256=pa.array(digest), contaminated=pa.array(n_hit > 0))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items (sorted item ids as strings), items_sha256 and contaminated.
 
     Words are runs of 0-9, a-z (A-Z lower-cased) and all beyond ASCII, of whole texts. An item's windows are its
     ``window`` consecutive words, or all of a shorter item; a word in any occurrence of a window is hit. Null and
-    wordless texts have no words, null and wordless items no windows; an empty benchmark hits nothing. Rows are kept
-    as they are, repeated ones too; columns of these names are replaced.
+    wordless texts have no words, null and wordless items no windows; an empty benchmark hits nothing; an item without
+    an id hits words but is not among the items. Rows are kept as they are, repeated ones too; columns of these names
+    are replaced. A benchmark of one block is searched in one pass; of a larger one, each block takes a pass of its own.
     """
-    added = ["n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"]
-    docs = docs.drop(*added)
+    docs = docs.drop(*[c.split()[0] for c in ADDED.split(", ")])
     spark = docs.sparkSession
-    bounded_batches(docs.sparkSession)
-    searches = [ship(spark, Patterns([(r.item_id, r.text) for r in part.select("item_id", "text").collect()], window)) for part in blocks(benchmark)]  # a part's size is bounded
+    bounded_batches(spark)
+    parts = blocks(benchmark)
+    if len(parts) > 1:
+        return _in_passes(docs, parts, window)
+    shipped = _search(spark, parts[0], window)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        own = [received(x) for x in searches]
+        own = received(shipped)
+        for batch in steps(batches, "text"):
+            flat, offsets = words(batch.column("text"), ALNUM)
+            yield _with_results(batch, offsets, *own.scan(flat, offsets))
+
+    return docs.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], ADDED]))
+
+
+def _in_passes(docs: DataFrame, parts: list[DataFrame], window: int) -> DataFrame:
+    """The same over several blocks: each pass writes the runs of hit words of the rows it hits, which are joined to the rows at the end. Driver and workers hold one block at a time."""
+    own = docs.columns
+
+    def number(batches: Iterator[pa.RecordBatch]):
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            yield with_columns(batch, _row=pa.array(at + np.arange(batch.num_rows)))
+            at += batch.num_rows
+
+    form = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    numbered = materialize(docs.mapInArrow(number, ", ".join([*form, "_row long"])), "numbered")
+    found = None
+    for part in parts:
+        shipped = _search(docs.sparkSession, part, window)
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped):
+            search = received(shipped)
+            for batch in steps(batches, "text"):
+                flat, offsets = words(batch.column("text"), ALNUM)
+                hit, items = search.scan(flat, offsets)
+                rows = np.flatnonzero(per_row(hit.astype(np.int64), offsets))
+                runs = []
+                for r in rows.tolist():
+                    edge = np.diff(np.concatenate([[0], hit[offsets[r] : offsets[r + 1]].view(np.int8), [0]]))
+                    runs.append(np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)]).T.astype("<i8").tobytes())
+                yield pa.RecordBatch.from_pydict({"_row": batch.column("_row").take(pa.array(rows)), "runs": pa.array(runs, pa.binary()), "found": pa.array([sorted(items.get(r, ())) for r in rows.tolist()], pa.list_(pa.string()))})
+
+        one = materialize(numbered.select("_row", "text").mapInArrow(run, "_row long, runs binary, found array<string>"), "block-hits")
+        shipped.destroy()  # its results are written
+        found = one if found is None else found.unionByName(one)
+    merged = found.groupBy("_row").agg(F.collect_list("runs").alias("_runs"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("_found"))  # of one text, a list a block
+
+    def join(batches: Iterator[pa.RecordBatch]):
         for batch in steps(batches, "text"):
             flat, offsets = words(batch.column("text"), ALNUM)
-            hit, items = np.zeros(len(flat), bool), {}
-            for search in own:
-                one, found = search.scan(flat, offsets)
-                hit |= one
-                for r, names in found.items():
-                    items.setdefault(r, set()).update(names)
-            total = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = total[offsets[1:]] - total[offsets[:-1]]
-            n, names, digest = zip(*(_fresh(items.get(r, ())) for r in range(batch.num_rows)), strict=True)
-            yield with_columns(batch, n_words=pa.array(np.diff(offsets)), n_hit=pa.array(n_hit), n_items=pa.array(n, pa.int64()), items=pa.array(names, pa.list_(pa.string())), items_sha256=pa.array(digest), contaminated=pa.array(n_hit > 0))
-
-    form = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"])
-    return docs.mapInArrow(run, form)
+            edge, items = np.zeros(len(flat) + 1, np.int64), {}
+            for r, (runs, names) in enumerate(zip(batch.column("_runs").to_pylist(), batch.column("_found").to_pylist(), strict=True)):
+                for x in runs or ():
+                    a, b = np.frombuffer(x, "<i8").reshape(-1, 2).T + offsets[r]
+                    np.add.at(edge, a, 1)
+                    np.add.at(edge, b, -1)
+                items[r] = names or ()
+            yield _with_results(batch.select(own), offsets, np.cumsum(edge[:-1]) > 0, items)
+
+    return numbered.join(merged, "_row", "left").mapInArrow(join, ", ".join([*form, ADDED]))

@@ -14,15 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, per_row, received, ship, steps, with_columns
 
 DIMS = 1 << 15
 ORDERS = (2, 3)
-#: Rows of the training sample, and how many languages a model tells apart at most.
-SAMPLE_ROWS, MAX_LANGUAGES = 4000, 64
+#: The training sample, a bound on the fit alone: rows in all, of any language at least and at most, and different features of rows in all. Every language that has a row has its share, whatever their number.
+SAMPLE_ROWS, LEAST_ROWS, MOST_ROWS, SAMPLE_FEATURES = 4000, 50, 1000, 1 << 22
 #: Scale of the features: shares of single n-grams are small.
 SCALE = 64.0
 UNKNOWN = "und"
@@ -72,7 +72,7 @@ def n_grams(text: pa.Array, table: np.ndarray) -> tuple[list[np.ndarray], np.nda
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """lang, the features of the whole text and their counts; texts without letters are left out."""
+    """lang, the features of the whole text and their counts (16 and 32 bits each); texts without letters are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         table = letter_table()
@@ -82,11 +82,11 @@ def features(docs: DataFrame) -> DataFrame:
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 own = np.concatenate([g[a:b] for g in grams])
                 k, n = np.unique(own[own >= 0], return_counts=True)
-                keys.append(k)
-                counts.append(n.astype(np.int32))
-            yield pa.RecordBatch.from_pydict({"h": batch.column("h"), "lang": batch.column("lang"), "keys": pa.array(keys, pa.list_(pa.int32())), "counts": pa.array(counts, pa.list_(pa.int32()))}).filter(pa.array(letters))
+                keys.append(k.astype("<u2").tobytes())
+                counts.append(n.astype("<u4").tobytes())
+            yield pa.RecordBatch.from_pydict({"h": batch.column("h"), "lang": batch.column("lang"), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())}).filter(pa.array(letters))
 
-    return docs.select("h", "lang", "text").mapInArrow(run, "h long, lang string, keys array<int>, counts array<int>")
+    return docs.select("h", "lang", "text").mapInArrow(run, "h long, lang string, keys binary, counts binary")
 
 
 @dataclass
@@ -128,8 +128,9 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, be
         if not out:
             df[x[1]] += 1
     idf = np.log((1 + (~held).sum()) / (1 + df)) + 1
-    value = [SCALE * idf[k] * n / max(n.sum(), 1) for _, k, n in rows]
-    y = np.array([languages.index(x[0]) for x in rows])
+    place = {x: i for i, x in enumerate(languages)}
+    value = lambda i: SCALE * idf[rows[i][1]] * rows[i][2] / max(rows[i][2].sum(), 1)
+    y = np.array([place[x[0]] for x in rows])
     z, g2 = np.zeros((DIMS, n_lang)), np.zeros((DIMS, n_lang))
     bz, bg = np.zeros(n_lang), np.zeros(n_lang)
 
@@ -138,7 +139,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, be
 
     for _ in range(epochs):
         for i in np.flatnonzero(~held):
-            k, v = rows[i][1], value[i]
+            k, v = rows[i][1], value(i)
             w, b = weights(z[k], g2[k], l1), weights(bz, bg, 0.0)
             p = softmax(v @ w + b)
             p[y[i]] -= 1
@@ -148,7 +149,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, be
             bz += p - (np.sqrt(bg + p * p) - np.sqrt(bg)) / alpha * b
             bg += p * p
     w, b = weights(z, g2, l1), weights(bz, bg, 0.0)
-    logits = np.array([value[i] @ w[rows[i][1]] + b for i in np.flatnonzero(held)]).reshape(-1, n_lang)
+    logits = np.array([value(i) @ w[rows[i][1]] + b for i in np.flatnonzero(held)]).reshape(-1, n_lang)
     best, temperature = np.inf, 1.0
     for t in np.geomspace(0.25, 8, 61) if len(logits) else []:
         loss = -np.log(np.maximum(softmax(logits / t)[np.arange(len(logits)), y[held]], 1e-12)).mean()
@@ -158,16 +159,25 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, be
 
 
 def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model from at most ``sample_rows`` of the rows with a non-null lang that ``learn`` admits, those of least hashed doc_id; None without any."""
-    ids = F.xxhash64(F.col("doc_id"))
-    rows = docs.filter(learn & F.col("lang").isNotNull())
-    cut = rows.select(ids.alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    if cut is None:
+    """A model from a sample of the rows with a non-null lang that ``learn`` admits; None without any.
+
+    Of each language, the rows of least hashed doc_id, as many as its share of ``sample_rows`` and ``SAMPLE_FEATURES``: a rare
+    language is learnt as well as a frequent one. Ties and repeated rows are cut by their features, so that a run gives
+    what another gives. Only hashes are ranked, and each task passes on no more of a language than the sample takes.
+    """
+    rows = docs.filter(learn & F.col("lang").isNotNull()).select(F.xxhash64("doc_id").alias("h"), "lang", F.col("text").cast("string").alias("text"))
+    n = rows.select("lang").distinct().count()
+    if not n:
         return None
-    found = features(rows.filter(ids <= cut).select(ids.alias("h"), "lang", "text")).orderBy("h", "lang", "keys", "counts").limit(sample_rows)  # repeated ids may exceed the sample
-    rows = [(r.lang, np.array(r.keys, np.int64), np.array(r.counts, float)) for r in found.collect()]
-    top = sorted({r[0] for r in rows}, key=lambda x: (-sum(r[0] == x for r in rows), x))[:MAX_LANGUAGES]
-    rows = [r for r in rows if r[0] in top]
+    share = min(MOST_ROWS, max(LEAST_ROWS, sample_rows // n))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    cuts = rows.select("lang", "h").withColumn("_r", first).filter(F.col("_r") <= share).groupBy("lang").agg(F.max("h").alias("cut"))
+    found = features(rows.join(cuts, "lang").filter("h <= cut").select("h", "lang", "text"))
+    of = Window.partitionBy("lang").orderBy("h", "keys", "counts")
+    found = found.withColumn("_r", F.row_number().over(of)).filter(F.col("_r") <= share)  # repeated ids may exceed the share
+    before = F.sum(F.length("keys") / 2).over(of.rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("_n", before).filter((F.col("_r") == 1) | (F.col("_n") <= SAMPLE_FEATURES // n)).orderBy("h", "lang", "keys", "counts")
+    rows = [(r.lang, np.frombuffer(r.keys, "<u2").astype(np.int32), np.frombuffer(r.counts, "<u4").astype(np.float32)) for r in found.select("h", "lang", "keys", "counts").collect()]
     return train(rows) if rows else None
 
 

@@ -38,22 +38,39 @@ STRETCH = 1 << 16
 BLOCK = 4096
 
 
+# The settings of a tokenizer for which words can be encoded one by one. White space is dropped and nothing is matched across it, ASCII case is folded.
+WORDWISE_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+WORDWISE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def wordwise(settings: dict) -> bool:
+    """Do a tokenizer's own settings (its JSON) say that a text's ids are those of its words in turn?"""
+    steps_ = (settings.get("normalizer") or {}).get("normalizers") or []
+    parts = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    blanks = [x for x in steps_ if x.get("type") == "Replace" and x.get("pattern") == {"Regex": "\\s+"} and x.get("content") == " "]
+    split = parts[0].get("type") == "Split" and parts[0].get("pattern") == {"Regex": WORDWISE_PATTERN} and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
+    return [x.get("type") for x in steps_] == WORDWISE_NORMALIZERS and len(blanks) == 1 and split and not settings.get("truncation")
+
+
 class WordEncoder:
-    """Encodes texts by their distinct words.
+    """Encodes texts by their distinct words where the tokenizer's settings allow it, else text by text.
 
-    The tokenizer drops white space and matches nothing across it, so a text's ids are those of its
-    words in turn; a word's ids do not depend on ASCII case, nor on points and commas behind a letter.
+    Where they do, a text's ids are those of its words in turn; a word's ids do not depend on ASCII case, nor on points
+    and commas behind a letter. Ids have 16 bits, or 32 if the vocabulary is larger.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids must fit in 16 bits")
+        with open(path, encoding="utf-8") as f:
+            self.by_word = wordwise(json.load(f))
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.item = array(self.code).itemsize
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -81,7 +98,7 @@ class WordEncoder:
     def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            self.known.update(zip(part, [array("H", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
+            self.known.update(zip(part, [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
 
     def _learn_letters(self, new: list[str], together: int = 64) -> None:
         """Words of letters alone are a stretch each for the tokenizer: many are encoded as one text and told apart by their places in it. A text whose stretches are not its words is left."""
@@ -89,11 +106,14 @@ class WordEncoder:
         for part, x in zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
             place = np.array(x.word_ids)
             if len(place) and place[-1] == len(part) - 1 and (np.diff(place) <= 1).all() and place[0] == 0:
-                ids, ends = array("H", x.ids).tobytes(), (2 * np.searchsorted(place, np.arange(len(part) + 1))).tolist()
+                ids, ends = array(self.code, x.ids).tobytes(), (self.item * np.searchsorted(place, np.arange(len(part) + 1))).tolist()
                 self.known.update({w: ids[a:b] for w, a, b in zip(part, ends[:-1], ends[1:], strict=True)})
 
     def __call__(self, text: pa.Array, end_id: int) -> list[bytes]:
-        """The ids (16-bit) of each text, its end id included."""
+        """The ids of each text, its end id included."""
+        if not self.by_word:
+            found = self.tokenizer.encode_batch_fast(pc.fill_null(text, "").to_pylist(), add_special_tokens=False)
+            return [array(self.code, [*x.ids, end_id]).tobytes() for x in found]
         flat, offsets = words(text)
         code, distinct = codes(flat)
         distinct = distinct.cast(pa.large_string())
@@ -104,7 +124,7 @@ class WordEncoder:
         (stem_code, stems), (tail_code, tails) = codes(stem), codes(tail)
         stem_ids, tail_ids = self._ids(stems.to_pylist()), self._ids(tails.to_pylist())
         ids = [stem_ids[a] + tail_ids[b] for a, b in zip(stem_code.tolist(), tail_code.tolist(), strict=True)]
-        flat_ids, end = list(map(ids.__getitem__, code.tolist())), array("H", [end_id]).tobytes()
+        flat_ids, end = list(map(ids.__getitem__, code.tolist())), array(self.code, [end_id]).tobytes()
         return [b"".join(flat_ids[a:b]) + end for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
@@ -118,7 +138,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, gri
         seen = np.zeros(capacity // grid + 2, np.int64)
         for batch in steps(batches, "text", 4 << 20):
             ids = encoder(batch.column("text"), end_id)
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // encoder.item
             rest = n % capacity
             klass = -(-rest // grid)
             order = np.argsort(klass, kind="stable")
@@ -132,7 +152,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, gri
             fulls += int(full.sum())
             crcs, rests = [], []
             for x, r in zip(ids, rest.tolist(), strict=True):
-                wide = np.frombuffer(x, "<u2").astype("<u4")
+                wide = np.frombuffer(x, f"<u{encoder.item}").astype("<u4")
                 crcs.append([zlib.crc32(wide[i : i + capacity]) for i in range(0, len(wide) - r, capacity)])
                 rests.append(zlib.crc32(wide[len(wide) - r :]))
             yield pa.RecordBatch.from_pydict({
@@ -227,18 +247,21 @@ def plan(histogram: dict[int, int], capacity: int, grid: int) -> Plan:
     return Plan(base, rows)
 
 
-def _running(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over all smaller keys; keys are small integers, summed in blocks first."""
-    block = df.withColumn("_block", F.expr(f"{key} div {BLOCK}"))
-    sums = block.groupBy("_block").agg(F.sum(value).alias("_sum"))
-    before = sums.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return block.withColumn(out, F.coalesce(F.sum(value).over(inner), F.lit(0))).join(before, "_block").withColumn(out, F.col(out) + F.col("_before")).drop("_block", "_before")
+def _running(df: DataFrame, key: str, value: str, out: str, levels: int = 2) -> DataFrame:
+    """``df`` with the sum of ``value`` over all smaller keys; keys are small integers. Sums of blocks are summed in blocks of their own, so that no window holds more than ``BLOCK`` rows until ``levels`` are used up."""
+    if not levels:
+        return df.withColumn(out, F.coalesce(F.sum(value).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    block, before = f"_block{levels}", f"_before{levels}"
+    rows = df.withColumn(block, F.expr(f"{key} div {BLOCK}"))
+    sums = _running(rows.groupBy(block).agg(F.sum(value).alias("_sum")), block, "_sum", before, levels - 1).select(block, before)
+    inner = Window.partitionBy(block).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(out, F.coalesce(F.sum(value).over(inner), F.lit(0))).join(sums, block).withColumn(out, F.col(out) + F.col(before)).drop(block, before)
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        crc = [zlib.crc32(np.frombuffer(ids, "<u2")[s : s + n].astype("<u4")) for ids, s, n in zip(batch.column("ids").to_pylist(), batch.column("start").to_pylist(), batch.column("length").to_pylist(), strict=True)]
+        rows = zip(*(batch.column(c).to_pylist() for c in ("ids", "start", "length", "doc_tokens")), strict=True)
+        crc = [zlib.crc32(np.frombuffer(ids, f"<u{len(ids) // all_}")[s : s + n].astype("<u4")) for ids, s, n, all_ in rows]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         yield pa.RecordBatch.from_arrays([pa.array(crc, pa.int64()) if x == "ids_crc32" else batch.column(x) for x in names], names=names)
 
@@ -250,7 +273,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     """(pieces, encoded): where each stretch of ids goes, and the table of ids that they index.
 
     docs: doc_id, text. ``pieces`` has one row per piece: doc_id, start and length in the document's ids, ids_crc32 of them
-    (little-endian 32-bit), doc_tokens, sequence_id and offset there. ``encoded`` has doc_id, n and ids (little-endian 16-bit).
+    (little-endian 32-bit), doc_tokens, sequence_id and offset there. ``encoded`` has doc_id, n and ids (little-endian, 16-bit,
+    or 32-bit for a vocabulary of more than 65,536). Null texts hold the end id alone; repeated rows and rows without a
+    doc_id are documents of their own, which ``doc_id`` does not tell apart; an empty table gives no piece; further
+    columns, of whatever name, are ignored.
     """
     spark = docs.sparkSession
     encoded = materialize(encode(docs, tokenizer_path, end_id, capacity, grid), "ids")
@@ -311,12 +337,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
 
 def sequences(pieces: DataFrame, encoded: DataFrame) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids (array). ``doc_id`` must be unique here."""
-    part = pieces.join(encoded.select("doc_id", "ids"), "doc_id").select("sequence_id", "offset", F.expr("substring(ids, cast(start * 2 + 1 as int), cast(length * 2 as int))").alias("ids"))
-    joined = part.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("x"))  # a sequence's pieces only
+    part = pieces.join(encoded.select("doc_id", "ids", "n"), "doc_id").select("sequence_id", "offset", F.expr("substring(ids, cast(start * (length(ids) div n) + 1 as int), cast(length * (length(ids) div n) as int))").alias("ids"), F.expr("cast(length(ids) div n as int)").alias("item"))
+    joined = part.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids", "item"))).alias("x"))  # a sequence's pieces only
 
     def read(batches):
         for batch in batches:
-            ids = [np.concatenate([np.frombuffer(y["ids"], "<u2") for y in x]).astype(np.int32) for x in batch.column("x").to_pylist()]
+            ids = [np.concatenate([np.frombuffer(y["ids"], f"<u{y['item']}") for y in x]).astype(np.int32) for x in batch.column("x").to_pylist()]
             yield pa.RecordBatch.from_pydict({"sequence_id": batch.column("sequence_id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     return joined.mapInArrow(read, "sequence_id long, ids array<int>")

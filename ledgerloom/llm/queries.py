@@ -28,7 +28,7 @@ def op1_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    held_out = F.expr(f"{text_crc()} % 5 = 0")
+    held_out = F.expr(f"coalesce({text_crc()} % 5 = 0, false)")
     model, x = quality.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(~held_out))
     return quality.scored(x, model).select("doc_id", held_out.alias("held_out"), "score", F.expr("cast(score >= 0.3 as int)").alias("predicted"))
 
@@ -69,7 +69,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     docs = table(spark, sf_dir, "documents")
-    held_out = F.expr(f"{text_crc()} % 4 = 2")
+    held_out = F.expr(f"coalesce({text_crc()} % 4 = 2, false)")
     model = langid.fit(docs, ~held_out)
     found = langid.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -2,8 +2,9 @@
 
 All documents of a step share one suffix array whose first symbol is the document, so that nothing matches across
 documents. Prefix doubling sorts it, refining only what still ties; the ranks of each round give the longest common
-prefix of neighbours by binary descent. Intervals of common prefixes are the maximal repeated substrings; their
-occurrences' spans are united for the covered share, the longest gives the longest repeat.
+prefix of neighbours by binary descent. A word's longest match is the larger common prefix with either neighbour: so the
+occurrences of the maximal repeated substrings are found without building their intervals. Their spans are united for
+the covered share, the longest gives the longest repeat.
 """
 
 from __future__ import annotations
@@ -26,6 +27,33 @@ MOST_COVERED, MOST_LONGEST = 25, 100
 LEAST_WORDS, MOST_REPEATED = 20, 30
 
 
+#: Words up to which ranks of all levels are kept; beyond, common prefixes are counted in text order, in memory of one array.
+RANKED_WORDS = 1 << 20
+
+
+def _common_prefixes(code: np.ndarray, offsets: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """Of each suffix but the first in ``sa``, the words it shares with the one before: each follows from its left neighbour in the text, less one."""
+    n = len(code)
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    own = owners(offsets)
+    before[own[np.maximum(before, 0)] != own] = -1  # the first suffix of a text
+    out, ends = np.zeros(n, np.int64), offsets[1:][own]
+    word, prev, end, common = memoryview(code), memoryview(before), memoryview(ends), memoryview(out)
+    k = 0
+    for i in range(n):
+        j = prev[i]
+        if j < 0:
+            k = 0
+            continue
+        most = min(end[i] - i, end[j] - j)
+        while k < most and word[i + k] == word[j + k]:
+            k += 1
+        common[i] = k
+        k = max(k - 1, 0)
+    return out[sa[1:]]
+
+
 def longest_matches(code: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
     """For each word, how many words from it on occur elsewhere in its text too; 0 where fewer than ``least``."""
     n = len(code)
@@ -41,7 +69,8 @@ def longest_matches(code: np.ndarray, offsets: np.ndarray, least: int) -> np.nda
     rank = np.empty(n + 1, np.int64)  # of a suffix: the place of the first that ties with it
     rank[n] = -1
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    ranks, h = [rank.copy()], 1
+    few = n <= RANKED_WORDS
+    ranks, h = [rank.astype(np.int32)] if few else [], 1
     alone = new & np.append(new[1:], True)
     at = np.flatnonzero(~alone)  # places in sa that still tie
     while len(at):
@@ -55,9 +84,17 @@ def longest_matches(code: np.ndarray, offsets: np.ndarray, least: int) -> np.nda
         fresh = np.ones(len(at), bool)
         fresh[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (second[1:] < 0)
         rank[suffix] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
-        ranks.append(rank.copy())
+        if few:
+            ranks.append(rank.astype(np.int32))
         h *= 2
         at = at[~(fresh & np.append(fresh[1:], True))]
+    if not few:
+        del key, new, alone, rank
+        i, j, common = sa[1:], sa[:-1], _common_prefixes(code, offsets, sa)
+        common[common < least] = 0
+        np.maximum.at(out, i, common)
+        np.maximum.at(out, j, common)
+        return out
     # neighbours that share at least the largest power of two up to ``least`` words; at the last level none do
     level = min(int(least).bit_length() - 1, len(ranks) - 1)
     pairs = np.flatnonzero(ranks[level][sa[1:]] == ranks[level][sa[:-1]])

@@ -3,7 +3,8 @@
 Two smoothed variable-order Markov models, of accepted and of rejected URLs, give each character's probability after
 contexts of 0 to ``ORDER - 1`` characters: every order is interpolated with the next shorter one. Their counts are
 gathered from all training URLs, without collisions or a limit on their number. A URL's score is the difference of its
-log-likelihoods, over its length; the limit is calibrated on the training URLs' scores.
+log-likelihoods, over its length. The limit is calibrated on hosts that the calibrated models have not seen; the final
+models then learn from all.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, materialize, owners, per_row, steps, summed_arrays, text_buffer, with_columns
+from .common import LOWER, discard, materialize, owners, steps, summed_arrays, text_buffer, with_columns
 
 ORDER, STRENGTH = 5, 2.0
 #: Bins of the scores that the limit is chosen from, over -MOST..MOST nats a character.
 BINS, MOST = 2000, 10.0
+#: One host in so many calibrates the limit.
+FOLDS = 5
 START = 2
 
 #: (host suffix, start of the path, verdict)
@@ -147,7 +150,8 @@ def _scored(blocks: DataFrame, grams: DataFrame, counts: DataFrame) -> DataFrame
         gram, ratio = (known.column(c).to_numpy() for c in ("gram", "ratio"))
         order = np.argsort(gram)
         logs = ratio[order][np.searchsorted(gram[order], found)] if len(found) else np.zeros(0)
-        return rows.drop_columns(["_block", "_url"]).append_column("url_score", pa.array(per_row(logs, offsets) / np.maximum(np.diff(offsets), 1)))
+        total = np.bincount(owners(offsets), logs, len(offsets) - 1)  # each URL by itself, so that equal ones get equal scores
+        return rows.drop_columns(["_block", "_url"]).append_column("url_score", pa.array(total / np.maximum(np.diff(offsets), 1)))
 
     form = _form(blocks.drop("_block", "_url"), "url_score double")
     return blocks.groupBy("_block").cogroup(ratios.groupBy("_block")).applyInArrow(score, form)
@@ -156,16 +160,27 @@ def _scored(blocks: DataFrame, grams: DataFrame, counts: DataFrame) -> DataFrame
 def fit(urls: DataFrame, url: str, accepted: Column) -> MarkovPair | None:
     """Models of all rows of ``urls``: those where ``accepted`` is true, and those where it is false; null rows teach nothing. None unless both kinds occur.
 
-    Counts are exact and kept in a table that grows with the URLs; scores are counted in fixed bins.
+    Counts are exact and kept in a table that grows with the URLs; scores are counted in fixed bins. The limit comes from
+    one host in ``FOLDS``, scored by models of the other hosts, so that it does not rest on URLs the models know by heart; where
+    either fold lacks one kind, all URLs serve for both.
     """
-    rows = urls.select(F.col(url).alias("_url"), accepted.alias("accepted")).filter("_url is not null and accepted is not null")
+    held = F.pmod(F.xxhash64(host_of(F.col(url))), F.lit(FOLDS)) == 0
+    rows = urls.select(F.col(url).alias("_url"), accepted.alias("accepted"), held.alias("held")).filter("_url is not null and accepted is not null")
     blocks = _blocks(rows)
-    grams = _grams(blocks, F.col("accepted"))
-    counts = materialize(grams.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url_counts")
-    either = counts.agg(F.max("good"), F.max("bad")).first()
-    if not either[0] or not either[1]:
-        discard(blocks, grams, counts)
+    kinds = blocks.groupBy("held", "accepted").count().collect()
+    if len({r.accepted for r in kinds}) < 2:
+        discard(blocks)
         return None
+    parts = len(kinds) == 4
+    grams = _grams(blocks, F.col("accepted"))
+    total = lambda g: g.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    counts = materialize(total(grams), "url_counts")
+    if parts:
+        own, unseen = _grams(blocks.filter("not held"), F.col("accepted")), blocks.filter("held")
+        known, asked = materialize(total(own), "url_known"), _grams(unseen, F.lit(None))
+        scores = _scored(unseen, asked, known)
+    else:
+        scores = _scored(blocks, grams, counts)
 
     def tally(batches: Iterator[pa.RecordBatch], own: np.ndarray) -> None:
         for batch in batches:
@@ -174,8 +189,8 @@ def fit(urls: DataFrame, url: str, accepted: Column) -> MarkovPair | None:
             rejected = (~batch.column("accepted").to_numpy(zero_copy_only=False)).astype(np.int64)
             own[: 2 * BINS] += np.bincount(rejected * BINS + bin_, minlength=2 * BINS)
 
-    good, bad = summed_arrays(_scored(blocks, grams, counts), ["url_score", "accepted"], tally, 2 * BINS).reshape(2, BINS)
-    discard(blocks, grams)
+    good, bad = summed_arrays(scores, ["url_score", "accepted"], tally, 2 * BINS).reshape(2, BINS)
+    discard(blocks, grams, *([own, known, asked] if parts else []))
     # the limit of best balanced accuracy; of a run of equally good ones, the middle
     lost, caught = np.concatenate([[0], np.cumsum(good)]) / good.sum(), np.concatenate([[0], np.cumsum(bad)]) / bad.sum()
     best = np.flatnonzero(caught - lost >= (caught - lost).max() - 1e-12)

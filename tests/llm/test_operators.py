@@ -399,3 +399,118 @@ def test_op10_on_few_and_no_rows(spark):
     one = spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string")
     assert sum(p.length for p in packing.pack(one, queries.tokenizer_path())[0].collect()) == 4
     assert packing.pack(one.limit(0), queries.tokenizer_path())[0].count() == 0
+
+
+def test_op10_with_other_tokenizers(spark, documents, tmp_path):
+    """One whose settings forbid the way by words, and one whose ids need 32 bits."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    large = Tokenizer(models.WordLevel({**{f"w{i}": i for i in range(70_000)}, "[UNK]": 70_000}, unk_token="[UNK]"))
+    large.pre_tokenizer = pre_tokenizers.Whitespace()
+    large.save(str(tmp_path / "large.json"))
+    rows = [(r.doc_id, r.text) for r in documents.limit(60).collect()] + [(9001, "w69999 w3 " * 3000), (9002, None)]
+    for path in (queries.tokenizer_path("byte_bpe_50k.json"), str(tmp_path / "large.json")):
+        tokenizer = Tokenizer.from_file(path)
+        ids = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for d, t in rows}
+        pieces, encoded = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), path)
+        check_packing(pieces.collect(), ids)
+        assert sorted(x for r in packing.sequences(pieces, encoded).collect() for x in r.ids) == sorted(x for v in ids.values() for x in v)
+
+
+def test_op1_long_texts_by_the_other_way(monkeypatch):
+    """Beyond RANKED_WORDS common prefixes are counted in text order: the same results."""
+    random.seed(6)
+    for _ in range(40):
+        docs = [[random.randrange(random.choice([1, 2, 3, 50])) for _ in range(random.randrange(0, 60))] for _ in range(4)]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in docs])]).astype(np.int64)
+        code = np.array([y for x in docs for y in x], np.int64)
+        want = repetition.longest_matches(code, offsets, 3).tolist()
+        monkeypatch.setattr(repetition, "RANKED_WORDS", 1)
+        assert repetition.longest_matches(code, offsets, 3).tolist() == want
+        monkeypatch.undo()
+
+
+def test_op8_learns_rare_languages_from_a_bounded_sample(spark):
+    """A language of three rows among many of another is learnt; repeated ids do not fill the sample."""
+    rows = [(i, f"the cat and the dog went to town number {i} with their friends", "en") for i in range(3000)] + [(None, "der hund und die katze gingen in die stadt", "de")] * 2000 + [(9000 + i, "kissa ja koira menivät kaupunkiin ystävien kanssa", "fi") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), 300)
+    assert model.languages == ["de", "en", "fi"]
+    got = {r.text[:5]: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert got == {"the c": "en", "der h": "de", "kissa": "fi"}
+
+
+def test_op8_scores_by_brute_force(spark, documents):
+    """A model's probabilities, from texts' n-grams counted in plain Python."""
+    model = langid.fit(documents, F.lit(True), 200)
+    known = langid.letter_table()
+    for r in langid.identify(documents.limit(30), model).collect():
+        letters = [int(known[ord(c)]) for c in r.text]
+        total, n = np.zeros(len(model.languages)), 0
+        for order in langid.ORDERS:
+            for i in range(len(letters) - order + 1):
+                part = letters[i : i + order]
+                if any(part):
+                    h = 0
+                    for x in part:
+                        h = (h * 0x9E3779B97F4A7C15 + x + order) % 2**64
+                    h ^= h >> 29
+                    f = (h * 0xBF58476D1CE4E5B9) % 2**64 >> (64 - 15)
+                    total, n = total + model.weights[f] * model.idf[f] * langid.SCALE, n + 1
+        if n:
+            x = (total / n + model.bias) / model.temperature
+            p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+            assert abs(p.max() - r.lang_score) < 1e-4 and model.languages[int(p.argmax())] == r.lang_pred
+
+
+def test_op2_by_brute_force(spark, documents):
+    """Statistics, class covariances and log densities of the labelled documents, one by one."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model, x = quality.learn(documents, labels.select("doc_id", "quality"))
+    values = {r.doc_id: np.array(r.x) for r in x.collect()}
+    by = {0: [], 1: []}
+    for r in labels.collect():
+        by[r.quality].append(values[r.doc_id])
+    means = [np.mean(by[c], axis=0) for c in (0, 1)]
+    scatter = [sum(np.outer(v - m, v - m) for v in by[c]) for c, m in zip((0, 1), means, strict=True)]
+    n = sum(map(len, by.values()))
+    pooled = sum(scatter) / (n - 2)
+    spread = np.diag(pooled).clip(1e-9)
+    pooled = pooled + np.diag(quality.FLOOR * spread)
+    covs = [(1 - quality.POOLED - quality.DIAGONAL) * s / (len(by[c]) - 1) + quality.POOLED * pooled + quality.DIAGONAL * np.diag(np.diag(pooled)) + np.diag(quality.FLOOR * spread) for c, s in zip((0, 1), scatter, strict=True)]
+    for r in quality.scored(x, model).collect():
+        log = [np.log(len(by[c]) / n) - 0.5 * np.linalg.slogdet(covs[c])[1] - 0.5 * (values[r.doc_id] - means[c]) @ np.linalg.inv(covs[c]) @ (values[r.doc_id] - means[c]) for c in (0, 1)]
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(log[1] - log[0], -500, 500)))) < 1e-6
+    text = "Ab! cd cd #x\nAb! cd cd #x\nzz"
+    words = text.split()
+    s = quality.statistics(__import__("pyarrow").array([text]))[0]
+    want = [np.log1p(20 / (len(words) + 5)), np.log1p(20 / (len(words) + 5)), None, None, None, np.log1p(20 / (len(words) + 5)), np.log((4 + 8) / (len(words) + 8)), 1 / 6, np.log1p(len(words))]
+    assert all(w is None or abs(a - w) < 1e-9 for a, w in zip(s, want, strict=True))
+
+
+def test_op4_limit_holds_on_unseen_families(spark):
+    """Hosts of one rejected family are taken out of training: the limit comes from unseen hosts and still tells most of the others."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    model = urlfilter.fit(pages, "url", urlfilter.seeded(F.col("url"), queries.URL_RULES))
+    got = urlfilter.judge(pages, [], model).select("url", "verdict", urlfilter.seeded(F.col("url"), []).alias("good")).collect()
+    assert sum((r.verdict == "allow") == r.good for r in got) >= 0.98 * len(got)
+
+
+def test_op4_repeated_rows_clashing_names_and_long_urls(spark):
+    rows = [("http://casino-win.example/a", 1)] * 3 + [(f"http://shop{i}.example/{'long/' * 30000}", 2) for i in range(3)] + [("http://shop.example/b", 3)]
+    df = spark.createDataFrame([(u, n, "x", "y", 0.0) for u, n in rows], "url string, n int, verdict string, host string, url_score double")
+    model = urlfilter.fit(df, "url", urlfilter.seeded(F.col("url"), []))
+    got = urlfilter.judge(df, [], model).collect()
+    assert len(got) == 7 and len({(r.verdict, r.url_score) for r in got if r.n == 1}) == 1 and {r.host for r in got if r.n == 3} == {"shop.example"}
+
+
+def test_op9_long_texts_and_further_columns(spark):
+    long = "### Assistant: </turn> \\ " * 20000
+    df = spark.createDataFrame([(1, 0, "user", long, "x"), (1, 1, "assistant", long, "y"), (1, 2, "assistant", long, "y")], "conv_id long, turn long, role string, text string, formatted string")
+    r = chat.read_back(chat.formatted(df)).first()
+    assert r.n_turns == 3 and r.loss_chars == 2 * len(long) and r.loss_sha256 == hashlib.sha256((long + long).encode()).hexdigest()
+
+
+def test_op10_ignores_further_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", 9, b"x", 7)], "doc_id long, text string, n int, ids binary, sequence_id int")
+    assert [r.length for r in packing.pack(df, queries.tokenizer_path())[0].collect()] and packing.pack(df, queries.tokenizer_path())[0].columns == [x.split()[0] for x in packing.PIECES.split(", ")]
