@@ -1,27 +1,33 @@
 """Main text of HTML pages by wrapper induction over the pages of each host.
 
-1. A page becomes a tree of elements; inline markup belongs to the block it stands in.
-2. One page of each host (that of least page_id) is its reference. Every page's tree is aligned with it by simple tree
-   matching: equal labels at the roots, and among children the matching of greatest weight that keeps their order.
-3. Over all pages of a host, each reference node's aligned texts are counted. A node whose text is the same on nearly all
-   different pages is template; all others are slots that vary, and so are nodes that align with nothing. Inside articles,
-   different articles count in place of pages.
-4. A page's content is the text of its slots inside its data region: the article or main element if it has one, else
-   the body; regions that the labels name as menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-   styles or comments are no slots.
+1. A page becomes a tree of elements; inline markup belongs to the block it stands in, and a run of equal elements
+   without children is one repeated node.
+2. The most frequent structures of a host are merged into its wrapper: each is aligned with it by simple tree matching,
+   and what has no counterpart is added as an optional node. Hosts of too few pages share one wrapper.
+3. All pages of a host are aligned with the wrapper. A text that nearly all different pages have at a node is template;
+   all other text varies, and its mass is summed for each node.
+4. The content region is found in the wrapper: from the root, down into the child that holds most of the varying text
+   of its parent, until no child does or it would be a block of text itself. Varying headings beside the way belong to it.
+5. A page's content is the text of its nodes that align with the region, less template. A page that has no such node
+   is its own wrapper: the same descent over its own text.
+
+Names break ties only: an ``article`` or ``main`` element ends the descent, as it says what it is, and inside the region
+elements that are named as a whole as menus, forms, adverts, notices or comments are none of the article.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as html_lib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, steps
+from .common import discard, materialize, steps
 from .urlfilter import host_of
 
 #: Element names of HTML, by how they are read.
@@ -29,46 +35,62 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Elements and words in class, id and role that are no content.
+#: Elements, and words in class, id and role, that are no part of an article. A name counts if all its words do: ``cookie-notice`` does, ``related-work`` does not.
 NO_CONTENT = frozenset("head nav header footer aside form script style noscript template title button select option textarea input svg iframe object dialog menu".split())
-NO_CONTENT_WORDS = frozenset("ad ads advert advertisement adverts banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disqus form menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
-NO_CONTENT_TOKENS = frozenset("header footer masthead site-header site-footer page-header page-footer main-header main-footer global-header global-footer".split())
+NO_CONTENT_WORDS = frozenset("ad ads advert advertisement adverts banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disqus form menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget masthead".split())
+BESIDE_WORDS = frozenset("area bar block body bottom box container content footer global header inner left link links list main outer page right section site top wrap wrapper".split())
+SITE_WORDS = frozenset("header footer".split())
 #: Of these words, those that tell that an article or main element is none.
 NOT_AN_ARTICLE = frozenset("ad ads advert advertisement comment comments promo related replies sponsored".split())
 ROLES = frozenset("banner complementary contentinfo dialog form navigation search alert".split())
 REGION = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of running text: beside the way down, below the body, they belong to the content.
+PROSE = HEADINGS | frozenset("p blockquote pre".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_DIGITS = re.compile(r"\d+")
 _ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
-#: Share of a host's different pages, in percent, and their least number, at which an equal text makes a node template.
+#: Structures that a wrapper is merged from, and the pages that a host must have for one of its own.
+REFERENCES, LEAST_PAGES = 8, 3
+#: Share of a host's different pages, in percent, and their least number, at which an equal text at a node is template.
 TEMPLATE_PERCENT, TEMPLATE_PAGES = 60, 3
-#: The same for nodes inside an article or main element, of all the host's different articles: copies of one article count once.
-ARTICLE_PERCENT, ARTICLE_PAGES = 95, 20
-#: Most of an article's text, in percent, that these nodes may hold together; beyond it a host's articles are near copies.
-ARTICLE_SHARE = 50
-#: In place of a node's number: a row of the whole article.
-ARTICLE = -1
-#: Rows that a host's reference is copied to, so that a large host's pages are dealt over several tasks.
-SALTS = 16
-
+#: The same inside the content region, and the most of its text, in percent, that template may hold in an article or main element, and in others: beyond it, a host's articles are near copies.
+REGION_PERCENT, REGION_PAGES, ARTICLE_SHARE, REGION_SHARE = 95, 20, 50, 90
+#: Share of its parent's varying text, in percent, that a child must hold to be gone into; an article or main element must hold more than any other child.
+DOMINANT = 60
+#: Cells of one matching table; longer lists of children are matched by the places of equal labels. Levels of a tree that are aligned.
+CELLS, LEVELS = 1 << 16, 200
+#: Bytes of wrappers that are broadcast; more are merged with the pages, dealt by host and salt.
+BROADCAST_BYTES, SALTS = 16 << 20, 16
+#: In place of a text: the page has the repeated node.
+PRESENT = 0
 
 class Node:
     """An element: label (name and first class), children, and its own text in pieces between them (as (child index, text))."""
 
-    __slots__ = ("attributes", "children", "label", "name", "own", "size")
+    __slots__ = ("attributes", "children", "label", "name", "own")
 
     def __init__(self, name: str, attributes: dict[str, str]):
         self.name, self.attributes = name, attributes
         first = attributes.get("class", "").split()[:1] or [attributes.get("id", "")]
-        self.label = f"{name}.{first[0]}" if first[0] else name
+        self.label = f"{name}.{_DIGITS.sub('#', first[0])}" if first[0] else name
         self.children: list[Node] = []
         self.own: list[tuple[int, str]] = []
-        self.size = 1
 
     def text(self) -> str:
         return " ".join("".join(t for _, t in self.own).split())
 
+    def whole_text(self) -> str:
+        """Its own text and that of all below it."""
+        out, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            out.append(node.text())
+            todo.extend(reversed(node.children))
+        return " ".join(x for x in out if x)
+
 
 def parse(source: str) -> Node:
     """The tree of a page; broken markup is read leniently, character references are decoded. Line breaks are white space."""
@@ -132,7 +154,6 @@ def parse(source: str) -> Node:
             continue
         stack.append(node)
         raw = name if name in RAW else None
-    _measure(root)
     return root
 
 
@@ -146,56 +167,122 @@ def _close(stack: list[Node], name: str, *until: str) -> None:
             return
 
 
-def _measure(root: Node) -> None:
-    order = [root]
-    for node in order:
-        order.extend(node.children)
-    for node in reversed(order):
-        node.size = 1 + sum(c.size for c in node.children)
-
-
 def excluded(name: str, attributes: dict[str, str]) -> bool:
-    """Does an element's name, class, id or role name it as no content?"""
+    """Does an element's name, or a class, id or role as a whole, say that it is no part of an article?"""
     if name in NO_CONTENT:
         return True
     if not attributes or name in ("html", "body"):
         return False
     if attributes.get("role", "").lower() in ROLES:
         return True
-    tokens = [t for k in ("class", "id") for t in attributes.get(k, "").lower().split()]
-    if any(t in NO_CONTENT_TOKENS for t in tokens):
-        return True
-    named = NOT_AN_ARTICLE if name in REGION else NO_CONTENT_WORDS
-    return any(w in named for t in tokens for w in re.split(r"[^a-z0-9]+", t))
+    for token in (t for k in ("class", "id") for t in attributes.get(k, "").lower().split()):
+        parts = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+        if name in REGION:
+            if parts and all(w in NOT_AN_ARTICLE or w in BESIDE_WORDS for w in parts) and any(w in NOT_AN_ARTICLE for w in parts):
+                return True
+        elif parts and all(w in NO_CONTENT_WORDS or w in BESIDE_WORDS for w in parts) and (any(w in NO_CONTENT_WORDS for w in parts) or any(w in SITE_WORDS for w in parts)):
+            return True
+    return False
 
 
-def align(page: Node, reference: Node) -> list[tuple[Node, Node]]:
-    """Aligned nodes by simple tree matching, from the roots down.
+class View:
+    """A node as it is aligned: one element, or a run of equal ones without children (``members``). ``number`` is its place in page order."""
 
-    Children are matched in order so that the aligned labels weigh most (a longest common subsequence, weighed by
-    the smaller subtree); what both lists begin and end with alike is matched without a table.
-    """
-    out, todo = [], [(page, reference)]
+    __slots__ = ("children", "cut", "label", "leaf", "members", "name", "number")
+
+    def __init__(self, label: str, leaf: bool, members: list[Node]):
+        self.label, self.leaf, self.members = label, leaf, members
+        self.name = label.split(".", 1)[0]
+        self.children: list[View] = []
+        self.number, self.cut = -1, False
+
+    def texts(self) -> list[str]:
+        return [t for t in (m.whole_text() if self.cut else m.text() for m in self.members) if t]
+
+
+def view_of(root: Node) -> View:
+    """The tree as it is aligned; below ``LEVELS`` levels nothing is."""
+    top = View(root.label, False, [root])
+    todo = [(top, root, 0)]
     while todo:
-        a, b = todo.pop()
-        out.append((a, b))
-        x, y, lo = a.children, b.children, 0
-        n, m = len(x), len(y)
-        while lo < n and lo < m and x[lo].label == y[lo].label:
-            todo.append((x[lo], y[lo]))
-            lo += 1
-        while n > lo and m > lo and x[n - 1].label == y[m - 1].label:
-            n, m = n - 1, m - 1
-            todo.append((x[n], y[m]))
-        if lo == n or lo == m:
+        view, node, level = todo.pop()
+        if level == LEVELS:
+            view.cut = True  # what is below counts as its text
             continue
-        x, y = x[lo:n], y[lo:m]
+        for child in node.children:
+            leaf, last = not child.children, view.children[-1] if view.children else None
+            if leaf and last is not None and last.leaf and last.label == child.label:
+                last.members.append(child)
+                continue
+            view.children.append(own := View(child.label, leaf, [child]))
+            if not leaf:
+                todo.append((own, child, level + 1))
+    return top
+
+
+def number(tree: View) -> list[View]:
+    """The nodes in page order, numbered."""
+    out, todo = [], [tree]
+    while todo:
+        view = todo.pop()
+        view.number = len(out)
+        out.append(view)
+        todo.extend(reversed(view.children))
+    return out
+
+
+def packed(tree: View) -> str:
+    """A tree's structure as text: depth, leaf or not, and label of each node in page order."""
+    out, todo = [], [(tree, 0)]
+    while todo:
+        view, depth = todo.pop()
+        out.append(f"{depth}{'-' if view.leaf else '+'}{view.label}")
+        todo.extend((c, depth + 1) for c in reversed(view.children))
+    return "\n".join(out)
+
+
+def unpacked(text: str) -> View:
+    path: list[View] = []
+    for line in text.split("\n"):
+        depth, leaf, label = re.fullmatch(r"(\d+)([-+])(.*)", line, re.S).groups()
+        view = View(label, leaf == "-", [])
+        del path[int(depth) :]
+        if path:
+            path[-1].children.append(view)
+        path.append(view)
+    return path[0]
+
+
+class Matcher:
+    """Simple tree matching of two trees: a pair of nodes with equal labels scores one and the best matching, in order, of its children; others score nothing."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[int, int], int] = {}
+
+    def score(self, a: View, b: View) -> int:
+        if a.label != b.label:
+            return 0
+        key = (id(a), id(b))
+        if key not in self.known:
+            self.known[key] = 1 + sum(self.score(p, q) for p, q in self.children(a, b))
+        return self.known[key]
+
+    def children(self, a: View, b: View) -> list[tuple[View, View]]:
+        """The pairs of children in the best matching that keeps their order."""
+        x, y = a.children, b.children
+        if not x or not y:
+            return []
+        mine, theirs = [v.label for v in x], [v.label for v in y]
+        if mine == theirs and len(set(mine)) == len(mine):
+            return list(zip(x, y, strict=True))  # no other matching is as large at any pair
+        if len(x) * len(y) > CELLS:
+            return _by_place(x, y)
         best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i, p in enumerate(x):
             row, above = best[i + 1], best[i]
             for j, q in enumerate(y):
-                row[j + 1] = max(above[j + 1], row[j], above[j] + min(p.size, q.size) if p.label == q.label else 0)
-        i, j = len(x), len(y)
+                row[j + 1] = max(above[j + 1], row[j], above[j] + self.score(p, q) if p.label == q.label else 0)
+        out, i, j = [], len(x), len(y)
         while i and j:
             if best[i][j] == best[i - 1][j]:
                 i -= 1
@@ -203,44 +290,89 @@ def align(page: Node, reference: Node) -> list[tuple[Node, Node]]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                todo.append((x[i], y[j]))
+                out.append((x[i], y[j]))
+        return out[::-1]
+
+
+def _by_place(x: list[View], y: list[View]) -> list[tuple[View, View]]:
+    """Equal labels in order, each with the next one of its kind that the other list has: no table for very long lists."""
+    places: dict[str, list[int]] = {}
+    for j, v in enumerate(y):
+        places.setdefault(v.label, []).append(j)
+    out, at = [], -1
+    for v in x:
+        later = places.get(v.label, [])
+        k = bisect.bisect_right(later, at)
+        if k < len(later):
+            at = later[k]
+            out.append((v, y[at]))
     return out
 
 
-def has_text(node: Node) -> bool:
-    return any(not t.isspace() for _, t in node.own)
+def align(page: View, wrapper: View) -> list[tuple[View, View]]:
+    """Aligned nodes, from the roots down."""
+    matcher, out, todo = Matcher(), [], [(page, wrapper)]
+    while todo:
+        a, b = todo.pop()
+        out.append((a, b))
+        todo.extend(matcher.children(a, b))
+    return out
 
 
-def numbered(root: Node) -> tuple[dict[int, int], dict[int, bool]]:
-    """For each node (by identity): its number in page order, and whether it is inside an article or main element."""
-    number, inside, todo = {}, {}, [(root, False)]
-    while todo:
-        node, region = todo.pop()
-        region = region or node.name in REGION
-        number[id(node)], inside[id(node)] = len(number), region
-        todo.extend((c, region) for c in reversed(node.children))
-    return number, inside
+def merge(wrapper: View, other: View) -> None:
+    """Add to ``wrapper`` what ``other`` has beyond it: each node behind the last one before it that aligns."""
+    for a, b in align(other, wrapper):
+        partner = {id(p): q for p, q in Matcher().children(a, b)}
+        at = 0
+        for child in a.children:
+            if id(child) in partner:
+                at = next(i for i, v in enumerate(b.children) if v is partner[id(child)]) + 1
+            else:
+                b.children.insert(at, child)
+                at += 1
+
+
+def find_region(tree: View, mass: dict[int, int]) -> list[int]:
+    """Numbers of the nodes that are the content region of a numbered tree; ``mass``: varying text of each node. Empty without any."""
+    nodes = number(tree)
+    below = [mass.get(v.number, 0) for v in nodes]
+    for v in reversed(nodes):
+        below[v.number] += sum(below[c.number] for c in v.children)
+    if not below[0]:
+        return []
+    beside, at, inside = [], tree, False
+    while at.name not in REGION and at.children:
+        best = max(at.children, key=lambda c: below[c.number])
+        own = mass.get(best.number, 0)
+        if best.name not in REGION and (100 * below[best.number] < DOMINANT * below[at.number] or 2 * own > below[best.number]):
+            break  # no child holds it all, or the one that does is a block of text
+        kinds = PROSE if inside else HEADINGS
+        beside += [c.number for c in at.children if c is not best and c.leaf and c.name in kinds and mass.get(c.number, 0)]
+        inside = inside or at.name == "body"
+        at = best
+    return sorted([*beside, at.number])
 
 
-def outermost(page: Node, name: str) -> list[Node]:
-    """The elements of that name that neither one of the same name nor an excluded element holds."""
-    out, todo = [], [page]
-    while todo:
-        node = todo.pop()
-        if node.name == name:
-            out.append(node)
-        else:
-            todo.extend(c for c in reversed(node.children) if not excluded(c.name, c.attributes))
-    return out
+def hash_text(text: str) -> int:
+    import xxhash
 
+    return (xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)) or 1
 
-def regions(page: Node) -> list[Node]:
-    """The article elements of a page, or else its main elements."""
-    return outermost(page, "article") or outermost(page, "main")
 
+def own_mass(view: View) -> dict[int, int]:
+    """Text of each node of one page that is not excluded by its name: the mass where there is no wrapper."""
+    mass, todo = {}, [view]
+    while todo:
+        v = todo.pop()
+        kept = [m for m in v.members if not excluded(m.name, m.attributes)]
+        if kept:
+            mass[v.number] = sum(len(m.whole_text() if v.cut else m.text()) for m in kept)
+            todo.extend(v.children)
+    return mass
 
-def content(page: Node, template: set[int]) -> str:
-    """The text of the slots in the data region: blocks in page order, one space between; ``template``: identities of nodes that are none."""
+
+def content(region: list[Node], template: dict[int, set[int]]) -> str:
+    """The text of the region's nodes: blocks in page order, one space between. template: hashes of a node's (by identity) texts that are none."""
     blocks: list[str] = []
     pieces: list[str] = []
 
@@ -249,12 +381,14 @@ def content(page: Node, template: set[int]) -> str:
             blocks.append(text)
         pieces.clear()
 
-    for region in regions(page) or [page]:
-        todo = [(region, 0, 0)]  # (node, next child, next piece of its own text)
+    for top in region:
+        if excluded(top.name, top.attributes):
+            continue
+        todo = [(top, 0, 0)]  # (node, next child, next piece of its own text)
         while todo:
             node, child, piece = todo.pop()
             while piece < len(node.own) and node.own[piece][0] <= child:
-                if id(node) not in template:
+                if id(node) not in template or hash_text(node.text()) not in template[id(node)]:
                     pieces.append(node.own[piece][1])
                 piece += 1
             if child < len(node.children):
@@ -270,112 +404,208 @@ def content(page: Node, template: set[int]) -> str:
     return " ".join(blocks)
 
 
-def _salted(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
-
-
-def _with_reference(pages: DataFrame, references: DataFrame) -> DataFrame:
-    """Pages with their host's reference; both are dealt by host and salt, so that a large host is spread."""
-    copies = references.select("host", "reference", *[c for c in references.columns if c == "template"], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-    # no hint: the planner checks their size, broadcasts few references and merges many, dealt by host and salt
-    return _salted(pages).join(copies, ["host", "_salt"], "left")
-
-
-class _References:
-    """The last few references parsed, by host, as (tree, numbers, inside an article); rows of a host are near each other."""
+@dataclass
+class Wrapper:
+    """A host's wrapper: its tree, the numbers of its region, and texts (hashes) at its nodes that are template."""
+
+    tree: View
+    region: list[int]
+    template: dict[int, set[int]]
+
+
+def main_text(source: str, wrapper: Wrapper | None) -> str:
+    """A page's content: where its nodes align with the wrapper's region, else by its own text."""
+    page = view_of(parse(source))
+    nodes = number(page)
+    found: list[View] = []
+    template: dict[int, set[int]] = {}
+    if wrapper is not None and wrapper.region:
+        region = set(wrapper.region)
+        for a, b in align(page, wrapper.tree):
+            if b.number in region:
+                found.append(a)
+            if b.number in wrapper.template:
+                template.update({id(m): wrapper.template[b.number] for m in a.members})
+        if not any(b.leaf is False or len(wrapper.region) == 1 for b in found):
+            found = []  # a heading alone is no region
+    if not found:
+        found = [nodes[i] for i in find_region(page, own_mass(page))]
+    found.sort(key=lambda v: v.number)
+    return content([m for v in found for m in v.members], template)
+
+
+def _with_wrapper(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """Pages with their host's wrapper, or the shared one. wrappers: host, wrapper and more; their size decides how they meet."""
+    size = wrappers.agg(F.sum(F.length("wrapper")).alias("n")).first().n or 0
+    shared = wrappers.filter("host = ''").select(*[F.col(c).alias(f"_{c}") for c in wrappers.columns if c != "host"])  # one row
+    own = wrappers.filter("host != ''")
+    if size <= BROADCAST_BYTES:
+        joined = pages.join(F.broadcast(own), "host", "left")
+    else:
+        copies = own.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = pages.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS))).join(copies.hint("merge"), ["host", "_salt"], "left").drop("_salt")
+    joined = joined.join(F.broadcast(shared), F.lit(True), "left")
+    has = F.col("wrapper").isNotNull()
+    rows = joined.withColumn("host", F.when(has, F.col("host")).otherwise(""))
+    for c in wrappers.columns:
+        if c != "host":
+            rows = rows.withColumn(c, F.when(has, F.col(c)).otherwise(F.col(f"_{c}"))).drop(f"_{c}")
+    return rows
+
+
+class _Wrappers:
+    """The last few wrappers, by host; rows bring theirs along."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple] = {}
+        self.known: dict[str, Wrapper | None] = {}
 
-    def __call__(self, host: str, source: str) -> tuple[Node, dict[int, int], dict[int, bool]]:
+    def __call__(self, host: str, tree: str | None, region: list | None = None, template: list | None = None) -> Wrapper | None:
         if host not in self.known:
-            if len(self.known) > 64:
+            if len(self.known) > 256:
                 self.known.clear()
-            tree = parse(source)
-            self.known[host] = (tree, *numbered(tree))
+            self.known[host] = self._read(tree, region, template)
         return self.known[host]
 
+    @staticmethod
+    def _read(tree: str | None, region: list | None, template: list | None) -> Wrapper | None:
+        if not tree:
+            return None
+        out = Wrapper(unpacked(tree), list(region or []), {})
+        number(out.tree)
+        for x in template or []:
+            out.template.setdefault(x["node"], set()).add(x["text"])
+        return out
+
+
+def structures(pages: DataFrame) -> DataFrame:
+    """The wrapper tree of each host with enough pages, and of the others together (host ''): host and wrapper (packed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in steps(batches, "html"):
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([packed(view_of(parse(x))) for x in batch.column("html").to_pylist()], pa.string())], names=["host", "wrapper"])
+
+    found = pages.select("host", "html").mapInArrow(run, "host string, wrapper string").groupBy("host", "wrapper").agg(F.count("*").alias("n"))
+    found = materialize(found, "structures")
+    large = found.groupBy("host").agg(F.sum("n").alias("pages")).filter((F.col("pages") >= LEAST_PAGES) & (F.col("host") != "")).select("host")
+    few = found.join(large, "host", "left_anti").groupBy("wrapper").agg(F.sum("n").alias("n")).select(F.lit("").alias("host"), "wrapper", "n")
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "wrapper"))
+    best = found.join(large, "host", "left_semi").select("host", "wrapper", "n").unionByName(few).withColumn("_r", rank).filter(F.col("_r") <= REFERENCES)
+    lists = best.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("_r", "wrapper"))).alias("w"))  # a few structures
+
+    def together(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            trees = []
+            for own in batch.column("w").to_pylist():
+                tree = unpacked(own[0]["wrapper"])
+                for x in own[1:]:
+                    merge(tree, unpacked(x["wrapper"]))
+                trees.append(packed(tree))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees, pa.string())], names=["host", "wrapper"])
+
+    out = materialize(lists.mapInArrow(together, "host string, wrapper string"), "wrapper-trees")
+    discard(found)
+    return out
+
+
+WRAPPERS = "host string, wrapper string, region array<int>, template array<struct<node: int, text: long>>"
+
 
 def induce(pages: DataFrame) -> DataFrame:
-    """The wrapper of each host: host, reference (html) and template (numbers of the reference's nodes that are template).
+    """The wrapper of each host: host, wrapper (its packed tree), region (numbers of its nodes) and template (node, text).
 
-    pages: page_id, host, html. Texts are counted over all pages of the host; equal pages count once, and inside articles
-    pages of equal article text do.
+    pages: page_id, host, html. Texts are counted over all pages of the host; pages with the same longest block, copies of
+    an article under whatever menus, count once.
     """
     some = pages.filter("html is not null and html != ''")
-    references = materialize(some.groupBy("host").agg(F.min_by("html", F.struct("page_id", "html")).alias("reference")), "references")
+    trees = structures(some)
 
     def texts(batches: Iterator[pa.RecordBatch]):
-        reference = _References()
+        wrapper_of = _Wrappers()
         for batch in steps(batches, "html"):
             out: list[tuple] = []
-            for host, source, own in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference")), strict=True):
-                tree, number, inside = reference(host, own)
-                page = parse(source)
-                whole = hash_text(source)
-                article = hash_text(content(page, set())) if regions(page) else None
-                if article is not None:
-                    out.append((host, ARTICLE, True, 0, 0, article))
-                for a, b in align(page, tree):
-                    if has_text(a):
-                        text, region = a.text(), inside[id(b)]
-                        out.append((host, number[id(b)], region, hash_text(text), len(text), article if region and article is not None else whole))
+            for host, source, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
+                wrapper = wrapper_of(host, tree)
+                page = view_of(parse(source))
+                key = hash_text(max((t for v in number(page) for t in v.texts()), key=len, default=""))
+                for a, b in align(page, wrapper.tree):
+                    own = a.texts()
+                    out += [(host, b.number, hash_text(t), len(t), key) for t in own]
+                    if own and b.leaf:
+                        out.append((host, b.number, PRESENT, 0, key))
                 if len(out) > 50_000:
                     yield _columns(out)
                     out = []
             if out:
                 yield _columns(out)
 
-    form = "host string, node int, inside boolean, text long, length int, page long"
-    found = _with_reference(some, references).select("host", "html", "reference").mapInArrow(texts, form)
-    # equal pages, or articles, count once
-    once = found.distinct().groupBy("host", "node", "inside", "text").agg(F.count("*").alias("n"), F.max("length").alias("length"))
-    nodes = once.groupBy("host", "node", "inside").agg(F.max_by(F.struct("n", "length"), F.struct("n", "length")).alias("top"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("length")).alias("chars"))
-    nodes = nodes.select("host", "node", "inside", F.col("top.n").alias("most"), "top.length", "n", "chars")
-    hosts = nodes.filter("inside").groupBy("host").agg(F.max(F.when(F.col("node") == ARTICLE, F.col("n"))).alias("articles"), F.sum("chars").alias("chars"))
-    fixed = nodes.filter(f"inside and node != {ARTICLE}").join(hosts.withColumnRenamed("chars", "all_chars"), "host").filter(f"articles >= {ARTICLE_PAGES} and 100 * most >= {ARTICLE_PERCENT} * articles")
-    few = fixed.groupBy("host").agg(F.collect_list("node").alias("node"), F.sum("length").alias("length"), F.first("articles").alias("articles"), F.first("all_chars").alias("chars"))
-    few = few.filter(f"100 * length * articles <= {ARTICLE_SHARE} * chars").select("host", F.explode("node").alias("node"))
-    around = nodes.filter(f"not inside and n >= {TEMPLATE_PAGES} and 100 * most >= {TEMPLATE_PERCENT} * n").select("host", "node")
-    templates = around.unionByName(few).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))  # nodes of one page
-    return materialize(references.join(templates, "host", "left").select("host", "reference", F.coalesce("template", F.array().cast("array<int>")).alias("template")), "wrappers")
+    found = _with_wrapper(some, trees).select("host", "html", "wrapper").mapInArrow(texts, "host string, node int, text long, length int, page long")
+    once = materialize(found.distinct().groupBy("host", "node", "text").agg(F.count("*").alias("n"), F.max("length").alias("length")), "slots")
+    present = F.max(F.when(F.col("text") == PRESENT, F.col("n")))
+    nodes = once.groupBy("host", "node").agg(F.coalesce(present, F.sum("n")).alias("pages"), F.sum(F.col("n") * F.col("length")).alias("chars"))
+    same = once.filter(f"text != {PRESENT} and n >= {TEMPLATE_PAGES}").join(nodes.select("host", "node", "pages"), ["host", "node"]).filter(f"100 * n >= {TEMPLATE_PERCENT} * pages")
+    same = same.groupBy("host", "node").agg(F.sum(F.col("n") * F.col("length")).alias("fixed"), F.collect_list(F.struct("text", "n", "length")).alias("same"))  # texts that most pages share
+    facts = nodes.join(same, ["host", "node"], "left").groupBy("host").agg(F.collect_list(F.struct("node", "pages", "chars", "fixed", "same")).alias("facts"))  # a row per node of one wrapper
+
+    def decide(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            regions, templates = [], []
+            for tree, known in zip(batch.column("wrapper").to_pylist(), batch.column("facts").to_pylist(), strict=True):
+                region, template = settled(unpacked(tree), known or [])
+                regions.append(region)
+                templates.append(template)
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("wrapper"), pa.array(regions, pa.list_(pa.int32())), pa.array(templates, pa.list_(pa.struct([("node", pa.int32()), ("text", pa.int64())])))], names=["host", "wrapper", "region", "template"])
+
+    out = materialize(trees.join(facts, "host", "left").mapInArrow(decide, WRAPPERS), "wrappers")
+    discard(trees, once)
+    return out
 
 
-def hash_text(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+def settled(tree: View, facts: list[dict]) -> tuple[list[int], list[dict]]:
+    """(region, template) of a wrapper from what its nodes hold: node, pages, chars, fixed and same (text, n, length)."""
+    inside, nodes = set(), number(tree)
+    named, todo = set(), [(tree, False)]
+    while todo:
+        v, own = todo.pop()
+        own = own or v.name in REGION
+        named |= {v.number} if own else set()
+        todo.extend((c, own) for c in v.children)
+    # what an article element holds is content also where copies repeat it
+    region = find_region(tree, {x["node"]: x["chars"] - (0 if x["node"] in named else x["fixed"] or 0) for x in facts})
+    todo = [nodes[i] for i in region]
+    while todo:
+        v = todo.pop()
+        inside.add(v.number)
+        todo.extend(v.children)
+    within = [x for x in facts if x["node"] in inside]
+    pages = max((x["pages"] for x in within), default=0)
+    fixed = [(x["node"], t) for x in within for t in x["same"] or [] if t["n"] >= REGION_PAGES and 100 * t["n"] >= REGION_PERCENT * pages]
+    share = ARTICLE_SHARE if any(nodes[i].name in REGION for i in region) else REGION_SHARE
+    if 100 * sum(t["n"] * t["length"] for _, t in fixed) > share * sum(x["chars"] for x in within):
+        fixed = []  # near copies of one article
+    return region, [{"node": node, "text": t["text"]} for node, t in fixed]
 
 
 def _columns(rows: list[tuple]) -> pa.RecordBatch:
-    host, node, inside, text, length, page = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int32()), pa.array(inside), pa.array(text, pa.int64()), pa.array(length, pa.int32()), pa.array(page, pa.int64())], names=["host", "node", "inside", "text", "length", "page"])
+    host, node, text, length, page = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int32()), pa.array(text, pa.int64()), pa.array(length, pa.int32()), pa.array(page, pa.int64())], names=["host", "node", "text", "length", "page"])
 
 
-def extract(pages: DataFrame, host: Column | None = None) -> DataFrame:
+def extract(pages: DataFrame, host: Column | None = None, wrappers: DataFrame | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each row of ``pages`` (page_id, url, html).
 
-    Null and empty pages have an empty text. Pages without a host form one group. A host with few pages has no
-    template: all its nodes are slots. Repeated rows get equal texts, an empty table gives none, further columns are
-    ignored.
+    Null and empty pages have an empty text. Pages without a host, and hosts of fewer than ``LEAST_PAGES`` pages, share one
+    wrapper. Repeated rows get equal texts, an empty table gives none, further columns are ignored. wrappers: those of
+    ``induce`` (by default induced from these pages).
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string"), (host if host is not None else host_of(F.col("url"))).alias("host"))
-    wrappers = induce(rows)
+    known = wrappers if wrappers is not None else induce(rows)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        reference = _References()
+        wrapper_of = _Wrappers()
         for batch in steps(batches, "html"):
-            texts = []
-            for name, source, own, template in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference", "template")), strict=True):
-                if not source:
-                    texts.append("")
-                    continue
-                page, nodes = parse(source), set()
-                if template:
-                    fixed, (tree, number, _) = set(template), reference(name, own)
-                    nodes = {id(a) for a, b in align(page, tree) if number[id(b)] in fixed}
-                texts.append(content(page, nodes))
+            columns = (batch.column(c).to_pylist() for c in ("host", "html", "wrapper", "region", "template"))
+            texts = [main_text(source, wrapper_of(name, tree, region, template)) if source else "" for name, source, tree, region, template in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    found = _with_reference(rows, wrappers).select("page_id", "url", "html", "host", "reference", "template").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
-    return materialize(found, "texts")  # in small batches: pages come with their reference
+    found = _with_wrapper(rows, known).select("page_id", "url", "html", "host", "wrapper", "region", "template").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return materialize(found, "texts")  # in small batches: pages come with their wrapper
