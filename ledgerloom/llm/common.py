@@ -188,34 +188,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def summed_arrays(df: DataFrame, columns: list[str], count: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], size: int, pieces: int = 32) -> np.ndarray:
-    """The sum over all rows of a fixed-size array of counts: each partition fills its own, pieces are added in two levels. The driver gets ``size`` numbers, whatever the input."""
+def summed_arrays(df: DataFrame, columns: list[str], count: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], size: int, pieces: int = 32, merge: np.ufunc = np.add, dtype: type = np.int64) -> np.ndarray:
+    """The sum (or ``merge``) over all rows of a fixed-size array: each partition fills its own, pieces are merged in two levels. The driver gets ``size`` numbers, whatever the input."""
     step = -(-size // pieces)
 
     def fill(batches):
         from pyspark import TaskContext
 
-        own = np.zeros(step * pieces, np.int64)
+        own = np.zeros(step * pieces, dtype)
         count(batches, own)
-        if own.any():
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(range(pieces), pa.int32()), "part": pa.array([part] * pieces, pa.int32()), "counts": [zlib.compress(own[i * step : (i + 1) * step].tobytes(), 1) for i in range(pieces)]})
+        part = TaskContext.get().partitionId()
+        used = [i for i in range(pieces) if own[i * step : (i + 1) * step].any()]
+        for i in used:
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int32()), "part": pa.array([part], pa.int32()), "counts": [zlib.compress(own[i * step : (i + 1) * step].tobytes(), 1)]})
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(step, np.int64)
+        total = np.zeros(step, dtype)
         for batch in batches:
-            for x in batch.column("counts").to_pylist():
-                total += np.frombuffer(zlib.decompress(x), np.int64)
+            for x in batch.column("counts"):
+                merge(total, np.frombuffer(zlib.decompress(x.as_buffer()), dtype), out=total)
         yield pa.RecordBatch.from_pydict({"piece": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "counts": [zlib.compress(total.tobytes(), 1)]})
 
     form = "piece int, part int, counts binary"
     found = df.select(*columns).mapInArrow(fill, form)
     found = found.groupBy("piece", (F.col("part") / 64).cast("int").alias("some")).applyInArrow(add, form).groupBy("piece").applyInArrow(add, form)
-    out = np.zeros(step * pieces, np.int64)
+    out = np.zeros(step * pieces, dtype)
     with small_batches(df.sparkSession):
         rows = found.collect()
     for row in rows:
-        out[row.piece * step : (row.piece + 1) * step] = np.frombuffer(zlib.decompress(row.counts), np.int64)
+        out[row.piece * step : (row.piece + 1) * step] = np.frombuffer(zlib.decompress(row.counts), dtype)
     return out[:size]
 
 

@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, codes, discard, materialize, mix, owners, per_row, steps, summed_arrays, words
 from .components import components
 
-#: Counters of the frequency sketch, and of the filter of wanted documents.
-SKETCH, WANTED = 1 << 22, 1 << 20
+#: Counters of the frequency sketch. It orders shingles, and any order gives the same links.
+SKETCH = 1 << 22
+#: Bits of the filter of wanted documents: so many for each, within these bounds. Beyond, more documents than wanted are read again; links stay the same.
+WANTED_BITS, WANTED_LEAST, WANTED_MOST = 16, 1 << 20, 1 << 28
 #: A shingle is frequent if its counter exceeds the median by so many times the lower spread, which frequent shingles do not widen.
 SPREADS = 3
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
@@ -90,7 +92,7 @@ def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest (d1, d2) of the set, and its prefix; none where no other set can be similar."""
+    """doc_id, n_shingles, a 128-bit digest (d1, d2) of the set, and its prefix; none where no other set can be similar. Written."""
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -110,37 +112,45 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order][inside].view(np.int64)))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": count.astype(np.int64), "d1": d1, "d2": d2, "prefix": prefix})
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
+    out = materialize(docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "prefixes")
+    levels.destroy()
+    return out
 
 
 def _wanted(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, set) of the documents in ``ids``, read again from their texts, and of a few more: a fixed-size filter picks them before anything is shuffled."""
+    """(doc_id, set) of the documents in ``ids``, read again from their texts, and of a few more: a filter sized by their number picks them before anything is shuffled. Written."""
+    bits = min(WANTED_MOST, max(WANTED_LEAST, 1 << (WANTED_BITS * ids.count()).bit_length()))
 
-    def slot(x: np.ndarray) -> np.ndarray:
-        return (mix(x.astype(np.int64).view(np.uint64)) % np.uint64(WANTED)).astype(np.int64)
+    def slot(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = mix(x.astype(np.int64).view(np.uint64)) % np.uint64(bits)
+        return (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
 
     def count(batches, own):
         for batch in batches:
-            own[slot(batch.column("id").to_numpy())] = 1
+            at, bit = slot(batch.column("id").to_numpy())
+            np.bitwise_or.at(own, at, bit)
 
-    has = docs.sparkSession.sparkContext.broadcast(summed_arrays(ids, ["id"], count, WANTED) > 0)
+    has = docs.sparkSession.sparkContext.broadcast(summed_arrays(ids, ["id"], count, bits // 8, merge=np.bitwise_or, dtype=np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            kept = batch.filter(pa.array(has.value[slot(pc.fill_null(batch.column("doc_id"), 0).to_numpy())]))
+            at, bit = slot(pc.fill_null(batch.column("doc_id"), 0).to_numpy())
+            kept = batch.filter(pa.array(has.value[at] & bit > 0))
             for part in steps([kept], "text"):
                 s, _, row = shingles(part.column("text"), k)
                 offsets = pa.array(8 * np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32))
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "set": pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets.buffers()[1], pa.py_buffer(s)])})
 
-    return docs.mapInArrow(run, "doc_id long, set binary")
+    out = materialize(docs.mapInArrow(run, "doc_id long, set binary"), "sets")
+    has.destroy()
+    return out
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, as a table of edges (u, v)."""
     pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    sets = materialize(_wanted(docs, ids, k), "sets")
+    sets = _wanted(docs, ids, k)
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
 
     def similar(batches: Iterator[pa.RecordBatch]):
@@ -188,15 +198,17 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     their component_id is null. An empty table gives none; further columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    own = materialize(_prefixes(docs, k, percent), "prefixes")
+    own = _prefixes(docs, k, percent)
     reps = own.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     reps = materialize(reps.select("*", F.xxhash64("prefix").alias("p1"), F.xxhash64("prefix", F.lit(1)).alias("p2")), "reps")
     viable = reps.filter("size(prefix) > 0 and rep is not null")
     grouped = materialize(viable.select("rep", "n", "p1", "p2").join(viable.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid")), ["n", "p1", "p2"]).select("rep", "n", "gid"), "groups")
 
-    postings = viable.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix")).select(F.posexplode("prefix").alias("pos", "tok"), "gid", "n").repartition("tok")
+    postings = viable.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix")).select(F.posexplode("prefix").alias("pos", "tok"), "gid", "n")
+    postings = materialize(postings, "postings")  # lists are counted before entries are dealt by them: a long list is one row of each task
     lists = postings.groupBy("tok").agg(F.count("*").alias("many"), F.min("gid").alias("anchor"), F.min_by("n", "gid").alias("anchor_n")).filter("many > 1")
     index = materialize(postings.join(lists, "tok").select("tok", "pos", "gid", "n", "anchor", "anchor_n"), "index")
+    discard(postings)
 
     prefix = f"(%s - ({percent} * %s + 99) div 100 + 1)"
     rest = lambda n: f"({n} - {prefix % (n, n)})"  # noqa: E731  what is behind the prefix
@@ -224,6 +236,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = links.unionByName(row_reps.join(split, "doc_id").select("u", F.col("rep").alias("v")))
     known = components(links)
     final = reps.select("n", "d1", "d2", "rep").join(known, reps.rep == known.node, "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    return own.select("doc_id", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    some = own.filter("n > 0").select("doc_id", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return some.unionByName(own.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
