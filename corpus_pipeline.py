@@ -1,12 +1,15 @@
 """A training corpus from raw documents: language, quality, near duplicates, benchmark leaks, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns the columns of
-documents; the last returns the packed pieces. Null and empty texts are rejected by the first stage (no language).
+documents; the last returns the packed pieces. Null and empty texts are rejected by the first stage (no language); very long
+texts are steps of their own in each. Scores do not tie with a limit in ways that matter: a row at the limit stays.
+Repeated rows get equal verdicts, and one of them stays in the third stage. Further columns, also ones with names
+that operators add, are carried through and never read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, jaccard, langid, packing, quality
@@ -28,11 +31,28 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document of least doc_id; of its repeated rows, the least. Rows without a doc_id stay once per text."""
-    stay = jaccard.classes(docs, k=5, percent=80).filter("doc_id = component_id").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
-    kept = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").withColumn("_one", one).filter("_one = 1").select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    """One row of each class of near duplicates: that of least doc_id.
+
+    Rows that share a doc_id, or have none, are documents of their own by their texts: such rows, few in a sound table, are
+    numbered outside of the range of ids and written once; equal and similar texts among them and with all others are
+    found like any. Ties cannot occur, repeated rows are copies, further columns of whatever name stay.
+    """
+    odd = materialize(docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").select("doc_id"), "odd-ids")
+    if odd.isEmpty():
+        return docs.join(_stay(docs.select("doc_id", "text")), "doc_id", "left_semi").select(*docs.columns)
+    known = F.broadcast(odd.filter("doc_id is not null")) if odd.count() < 1_000_000 else odd.filter("doc_id is not null")
+    plain = docs.filter("doc_id is not null").join(known, "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.join(known, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))  # rows with an id come first, and stay
+    ends = docs.agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("lo"), F.coalesce(F.max("doc_id"), F.lit(0)).alias("hi")).first()
+    outside = F.lit(ends.hi) + 1 + F.monotonically_increasing_id() if ends.hi < 1 << 61 else F.lit(ends.lo) - 1 - F.monotonically_increasing_id()
+    numbered = materialize(rest.withColumn("_number", outside), "odd-rows")
+    stay = _stay(plain.select("doc_id", "text").unionByName(numbered.select(F.col("_number").alias("doc_id"), "text")))
+    kept = plain.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    return kept.unionByName(numbered.join(stay.withColumnRenamed("doc_id", "_number"), "_number", "left_semi").select(*docs.columns))
+
+
+def _stay(rows: DataFrame) -> DataFrame:
+    return jaccard.classes(rows, k=5, percent=80).filter("doc_id = component_id").select("doc_id")
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
