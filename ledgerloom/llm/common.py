@@ -92,13 +92,19 @@ def release(spark: SparkSession) -> None:
         pass
 
 
-def _trim() -> None:
-    """Give memory that Python and Arrow have freed back to the system: idle workers stay small."""
+def trim() -> None:
+    """Give memory that Python and Arrow have freed back to the system: idle workers, and the driver between steps, stay small."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Between steps of a long run: plans, broadcasts and shuffle files that nothing holds any more are collected, so that a driver needs what one step needs."""
+    spark.sparkContext._jvm.System.gc()
+    trim()
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold at most ``limit`` bytes in ``column`` (one row at least): bounds a worker's memory."""
     for batch in batches:
@@ -110,7 +116,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
             to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
-    _trim()
+    trim()
 
 
 def text_buffer(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -217,6 +223,8 @@ def summed_arrays(df: DataFrame, columns: list[str], count: Callable[[Iterator[p
         rows = found.collect()
     for row in rows:
         out[row.piece * step : (row.piece + 1) * step] = np.frombuffer(zlib.decompress(row.counts), dtype)
+    del rows
+    trim()
     return out[:size]
 
 

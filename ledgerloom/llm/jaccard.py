@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, codes, discard, materialize, mix, owners, per_row, steps, summed_arrays, words
+from .common import LOWER, codes, discard, materialize, mix, owners, per_row, settle, steps, summed_arrays, words
 from .components import components
 
 #: Counters of the frequency sketch. It orders shingles, and any order gives the same links.
@@ -218,6 +218,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     first = first.select(F.col("gid").alias("a"), F.col("anchor").alias("b")).unionByName(grouped.filter("rep != gid").select(F.col("rep").alias("a"), F.col("gid").alias("b")))
     links = verified(docs, first, k, percent)
     known = materialize(components(links), "classes")
+    settle(docs.sparkSession)
 
     comp = F.coalesce("component", "rep").alias("comp")
     members = grouped.join(known, grouped.rep == known.node, "left").select("rep", "gid", "n", comp)
@@ -229,6 +230,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     p, q = members.select(F.col("sid").alias("p"), F.col("rep").alias("a")), members.select(F.col("sid").alias("q"), F.col("rep").alias("b"))
     links = links.unionByName(verified(docs, more.join(p, "p").join(q, "q"), k, percent))
     discard(index, grouped, members, by_token, by_group)
+    settle(docs.sparkSession)
 
     # rows of one doc_id with different texts
     row_reps = own.filter("n > 0").select("doc_id", "n", "d1", "d2").join(reps.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"])

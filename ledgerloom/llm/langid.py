@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, per_row, received, ship, steps, with_columns
+from .common import bounded_batches, discard, materialize, per_row, received, ship, steps, trim, with_columns
 
 DIMS = 1 << 15
 ORDERS = (2, 3)
 #: The training sample, a bound on the fit alone: rows in all, of any language at least and at most, and different features of rows in all. Every language that has a row has its share, whatever their number.
 SAMPLE_ROWS, LEAST_ROWS, MOST_ROWS, SAMPLE_FEATURES = 4000, 50, 1000, 1 << 22
+#: Languages up to which their cuts are broadcast.
+BROADCAST_LANGUAGES = 10_000
 #: Scale of the features: shares of single n-grams are small.
 SCALE = 64.0
 UNKNOWN = "und"
@@ -161,24 +163,32 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, be
 def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model from a sample of the rows with a non-null lang that ``learn`` admits; None without any.
 
-    Of each language, the rows of least hashed doc_id, as many as its share of ``sample_rows`` and ``SAMPLE_FEATURES``: a rare
-    language is learnt as well as a frequent one. Ties and repeated rows are cut by their features, so that a run gives
-    what another gives. Only hashes are ranked, and each task passes on no more of a language than the sample takes.
+    Of each language, the rows of least hash (of doc_id and text), as many as its share of ``sample_rows`` and
+    ``SAMPLE_FEATURES``: a rare language is learnt as well as a frequent one. Counts of languages say how low a hash must be to
+    come into question; only those rows, some times the sample, are ranked. Ties and repeated rows are cut by their
+    features, so that a run gives what another gives.
     """
-    rows = docs.filter(learn & F.col("lang").isNotNull()).select(F.xxhash64("doc_id").alias("h"), "lang", F.col("text").cast("string").alias("text"))
-    n = rows.select("lang").distinct().count()
+    rows = docs.filter(learn & F.col("lang").isNotNull()).select(F.xxhash64("doc_id", "text").alias("h"), "lang", F.col("text").cast("string").alias("text"))
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")), "languages")
+    n = counts.count()
     if not n:
+        discard(counts)
         return None
     share = min(MOST_ROWS, max(LEAST_ROWS, sample_rows // n))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    cuts = rows.select("lang", "h").withColumn("_r", first).filter(F.col("_r") <= share).groupBy("lang").agg(F.max("h").alias("cut"))
+    low = F.lit(float(-(1 << 63))) + F.least(F.lit(1.0), F.lit(4.0 * share) / F.col("n")) * float((1 << 64) - (1 << 12))
+    cuts = counts.select("lang", F.greatest("least", low.cast("long")).alias("cut"))
+    cuts = F.broadcast(cuts) if n <= BROADCAST_LANGUAGES else cuts  # a row per language: texts stay where they are
     found = features(rows.join(cuts, "lang").filter("h <= cut").select("h", "lang", "text"))
     of = Window.partitionBy("lang").orderBy("h", "keys", "counts")
     found = found.withColumn("_r", F.row_number().over(of)).filter(F.col("_r") <= share)  # repeated ids may exceed the share
     before = F.sum(F.length("keys") / 2).over(of.rowsBetween(Window.unboundedPreceding, 0))
     found = found.withColumn("_n", before).filter((F.col("_r") == 1) | (F.col("_n") <= SAMPLE_FEATURES // n)).orderBy("h", "lang", "keys", "counts")
     rows = [(r.lang, np.frombuffer(r.keys, "<u2").astype(np.int32), np.frombuffer(r.counts, "<u4").astype(np.float32)) for r in found.select("h", "lang", "keys", "counts").collect()]
-    return train(rows) if rows else None
+    model = train(rows) if rows else None
+    del rows
+    discard(counts)
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, least: float | None = None) -> DataFrame:

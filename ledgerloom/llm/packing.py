@@ -27,15 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import codes, materialize, steps, words
+from .common import codes, materialize, settle, steps, words
 
 ENCODED = "row long, part int, doc_id long, n long, ids binary, full_crcs array<long>, rest_crc long, klass int, rank long, full_rank long"
 #: Words whose ids a worker keeps; beyond it starts anew.
 CACHE_WORDS = 500_000
 #: Width of the stretches that gaps and filling documents are matched in.
 STRETCH = 1 << 16
-#: Sequences or partitions whose running sums one window holds.
-BLOCK = 4096
+#: Sequences or partitions whose running sums one window holds: a hundred thousand such windows make a last one of as many rows.
+BLOCK = 1 << 16
 
 
 # The settings of a tokenizer for which words can be encoded one by one. White space is dropped and nothing is matched across it, ASCII case is folded.
@@ -247,15 +247,13 @@ def plan(histogram: dict[int, int], capacity: int, grid: int) -> Plan:
     return Plan(base, rows)
 
 
-def _running(df: DataFrame, key: str, value: str, out: str, levels: int = 2) -> DataFrame:
-    """``df`` with the sum of ``value`` over all smaller keys; keys are small integers. Sums of blocks are summed in blocks of their own, so that no window holds more than ``BLOCK`` rows until ``levels`` are used up."""
-    if not levels:
-        return df.withColumn(out, F.coalesce(F.sum(value).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    block, before = f"_block{levels}", f"_before{levels}"
-    rows = df.withColumn(block, F.expr(f"{key} div {BLOCK}"))
-    sums = _running(rows.groupBy(block).agg(F.sum(value).alias("_sum")), block, "_sum", before, levels - 1).select(block, before)
-    inner = Window.partitionBy(block).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(out, F.coalesce(F.sum(value).over(inner), F.lit(0))).join(sums, block).withColumn(out, F.col(out) + F.col(before)).drop(block, before)
+def _running(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all smaller keys; keys are small integers, summed in blocks first: the last window holds a row for each ``BLOCK`` keys."""
+    block = df.withColumn("_block", F.expr(f"{key} div {BLOCK}"))
+    sums = block.groupBy("_block").agg(F.sum(value).alias("_sum"))
+    before = sums.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return block.withColumn(out, F.coalesce(F.sum(value).over(inner), F.lit(0))).join(before, "_block").withColumn(out, F.col(out) + F.col("_before")).drop("_block", "_before")
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]):
@@ -283,6 +281,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     meta = encoded.drop("ids", "full_crcs").withColumn("rest", F.expr(f"n % {capacity}"))
     histogram = {r["rest"]: r["count"] for r in meta.filter("rest > 0").groupBy("rest").count().collect()}
     chosen = plan(histogram, capacity, grid)
+    settle(spark)
 
     # ranks over all partitions, from counts of (partition, class)
     before = Window.partitionBy("klass").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
