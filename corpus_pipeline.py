@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, jaccard, langid, packing, quality
-from ledgerloom.llm.common import materialize, table
+from ledgerloom.llm.common import materialize, settle, table
 from ledgerloom.llm.queries import text_crc, tokenizer_path
 
 #: A document stays if its language is at least so probable, and its quality score at least so high.
@@ -21,11 +21,13 @@ LANGUAGE_SCORE, QUALITY_SCORE = 0.35, 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     model = langid.fit(docs, F.expr(f"{text_crc()} % 4 != 2"))
     return langid.identify(docs, model, LANGUAGE_SCORE).select(*docs.columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     model, _ = quality.learn(docs, table(spark, sf_dir, "labels").filter(f"{text_crc()} % 5 != 0"))
     return quality.accepted(docs, model, QUALITY_SCORE).select(*docs.columns)
 
@@ -37,6 +39,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered outside of the range of ids and written once; equal and similar texts among them and with all others are
     found like any. Ties cannot occur, repeated rows are copies, further columns of whatever name stay.
     """
+    settle(spark)
     odd = materialize(docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").select("doc_id"), "odd-ids")
     if odd.isEmpty():
         return docs.join(_stay(docs.select("doc_id", "text")), "doc_id", "left_semi").select(*docs.columns)
@@ -56,10 +59,12 @@ def _stay(rows: DataFrame) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return packing.pack(docs, tokenizer_path())[0]
 
 
