@@ -165,7 +165,7 @@ def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> Model
 
     Of each language, the rows of least hash (of doc_id and text), as many as its share of ``sample_rows`` and
     ``SAMPLE_FEATURES``: a rare language is learnt as well as a frequent one. Counts of languages say how low a hash must be to
-    come into question; only those rows, some times the sample, are ranked. Ties and repeated rows are cut by their
+    come into question; only those rows, about twice the sample, are ranked. Ties and repeated rows are cut by their
     features, so that a run gives what another gives.
     """
     rows = docs.filter(learn & F.col("lang").isNotNull()).select(F.xxhash64("doc_id", "text").alias("h"), "lang", F.col("text").cast("string").alias("text"))
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> Model
         discard(counts)
         return None
     share = min(MOST_ROWS, max(LEAST_ROWS, sample_rows // n))
-    low = F.lit(float(-(1 << 63))) + F.least(F.lit(1.0), F.lit(4.0 * share) / F.col("n")) * float((1 << 64) - (1 << 12))
+    low = F.lit(float(-(1 << 63))) + F.least(F.lit(1.0), F.lit(2.0 * share) / F.col("n")) * float((1 << 64) - (1 << 12))
     cuts = counts.select("lang", F.greatest("least", low.cast("long")).alias("cut"))
     cuts = F.broadcast(cuts) if n <= BROADCAST_LANGUAGES else cuts  # a row per language: texts stay where they are
     found = features(rows.join(cuts, "lang").filter("h <= cut").select("h", "lang", "text"))
