@@ -1,12 +1,15 @@
 """License scan with MinHash bands over overlapping text windows, in DataFrame functions alone.
 
-Texts become arrays of hashed word shingles. A window is 1, 2 or 4 consecutive shingles, one starts at each; its MinHash
-under each band's hash function is the least of the windows that halve it, so all windows cost a few passes over the
-array. A template's own windows, of about half its length, are looked up the same way: a document's band
-values that occur among a template's retrieve it. Settings: with ``BANDS`` bands of one row, windows of Jaccard
-similarity j collide with probability 1 - (1 - j) ** BANDS, and a window of the template that survives unchanged always
-does, as some must where four fifths of the shingles follow each other. Retrieved templates are then verified by the
-exact containment of their shingles in a stretch of the document of the template's length.
+Texts become arrays of hashed word shingles. For a template of n shingles, a window is n consecutive shingles of a text
+(all of a shorter one); one starts at each shingle. A window that holds the asked share of the template has at least
+Jaccard similarity j = t / (n + d - t) with it, of d distinct shingles, t of them asked for: 2/3 for long templates at 80
+percent. Bands have one row, so that such a window misses all of b bands with probability (1 - j) ** b; each template has as many
+bands as bring this to ``MISS`` or less. A template of up to four shingles must be whole (j = 1) and is never missed.
+
+A band's value is the shingle of least hash, so the index holds one shingle for each template and band: texts without
+any of them are left at once. In the others a window meets a band where a run of n shingles, none of lesser hash, holds
+that shingle: one pass, whatever n. Retrieved templates are then verified by the exact containment of their
+shingles, as text, in a stretch of their length.
 """
 
 from __future__ import annotations
@@ -14,10 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of a shingle, bands, and the least share of a template's shingles, in percent.
-SHINGLE, BANDS, PERCENT = 5, 2, 80
-#: Sizes of windows, in shingles.
-WINDOWS = (1, 2, 4)
+#: Words of a shingle, the least share of a template's shingles in percent, and how likely a window with just that share may be missed.
+SHINGLE, PERCENT, MISS = 5, 80, 1e-4
+#: Characters of all templates together: they are a literal of the plan. More are an error, not left out.
+TEMPLATE_CHARACTERS = 1 << 24
 
 #: Public license notices, by identifier.
 TEMPLATES = [
@@ -44,73 +47,84 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
-def _hashes(df: DataFrame) -> DataFrame:
-    """``df`` (words) with h1: hashes of its shingles, and a column m{band}_{window} of band values for each band and window size."""
-    i = "i"
-    parts = ", ".join(f"element_at(words, {i} + {k})" for k in range(1, SHINGLE + 1))
-    df = df.withColumn("m1_1", F.expr(f"if(size(words) < {SHINGLE}, cast(array() as array<bigint>), transform(sequence(0, size(words) - {SHINGLE}), {i} -> xxhash64({parts})))"))
-    for band in range(2, BANDS + 1):
-        df = df.withColumn(f"m{band}_1", F.expr(f"transform(m1_1, x -> xxhash64(x, {band}))"))
-    for band in range(1, BANDS + 1):
-        for a, b in zip(WINDOWS[:-1], WINDOWS[1:], strict=True):
-            at = f"m{band}_{a}"
-            df = df.withColumn(f"m{band}_{b}", F.expr(f"zip_with({at}, slice({at}, {b - a + 1}, size({at})), (x, y) -> least(x, y))"))
-    return df
+def _hashed() -> Column:
+    """Hashes of the shingles of the column ``words``."""
+    parts = ", ".join(f"element_at(words, i + {k})" for k in range(1, SHINGLE + 1))
+    return F.expr(f"if(size(words) < {SHINGLE}, cast(array() as array<bigint>), transform(sequence(0, size(words) - {SHINGLE}), i -> xxhash64({parts})))")
 
 
-def window_of(n_shingles: int) -> int:
-    """The window size for a template: the largest that is at most half of it, rounded up."""
-    return max(w for w in WINDOWS if w <= max(1, (n_shingles + 1) // 2))
+def _shingled(words_: str) -> str:
+    return f"transform(sequence(1, size({words_}) - {SHINGLE - 1}), j -> array_join(slice({words_}, j, {SHINGLE}), ' '))"
 
 
-def _template_keys(spark: SparkSession, templates: list[tuple[str, str]]) -> list[dict]:
-    """For each template: its distinct shingles, window size, and the band values of all its full windows."""
-    rows = _hashes(spark.createDataFrame(templates, "id string, text string").withColumn("words", words(F.col("text")))).collect()
-    out = []
-    for r in rows:
-        shingles = [" ".join(r.words[i : i + SHINGLE]) for i in range(len(r.words) - SHINGLE + 1)]
-        if shingles:
-            w = window_of(len(shingles))
-            keys = {f"m{band}_{w}": r[f"m{band}_{w}"][: len(shingles) - w + 1] for band in range(1, BANDS + 1)}
-            out.append({"id": r.id, "shingles": list(dict.fromkeys(shingles)), "n": len(shingles), "keys": keys})
-    return sorted(out, key=lambda t: t["id"])
+TEMPLATE = "array<struct<id: string, words: string, n: int, least: int, keys: array<bigint>>>"
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
+def index(templates: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
+    """id, words (joined), n (shingles), least (distinct shingles asked for) and keys (a band's shingle of least hash) of each template (id, text) of a shingle or more."""
+    t = templates.select(F.col("id").cast("string"), words(F.col("text").cast("string")).alias("words")).withColumn("h", _hashed()).filter("size(h) > 0 and id is not null")
+    t = t.withColumn("n", F.size("h")).withColumn("d", F.size(F.array_distinct("h"))).withColumn("least", F.expr(f"cast(greatest(1, ({percent} * d + 99) div 100) as int)"))
+    t = t.withColumn("bands", F.expr(f"if(least >= n, 1, cast(ceil(ln({miss!r}D) / ln(1 - least / (n + d - least))) as int))"))
+    keys = "transform(sequence(1, bands), b -> array_min(transform(h, x -> struct(xxhash64(x, b) as g, x as x))).x)"
+    return t.select("id", F.array_join("words", " ").alias("words"), "n", "least", F.expr(keys).alias("keys"))
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | DataFrame = TEMPLATES, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """``docs`` with licenses, the sorted ids of the templates found in its whole text, and n_licenses.
 
     A template is found where some stretch of as many consecutive shingles as it has holds ``percent`` of its distinct
-    5-word shingles. Templates are a parameter of fixed size; those of fewer than five words cannot be found. Null, empty
-    and shorter texts hold none; repeated rows get equal results, an empty table stays empty; columns of these names
-    are replaced.
+    5-word shingles. Templates, (id, text) as a list or a table, are a parameter of bounded size (``TEMPLATE_CHARACTERS``,
+    an error beyond); those of fewer than five words cannot be found, nor those without id or text; ids that repeat are
+    one license with several texts. Null, empty and shorter texts hold none; repeated rows get equal results, an empty
+    table stays empty; columns of these names are replaced.
     """
-    known = _template_keys(docs.sparkSession, templates)
+    spark = docs.sparkSession
+    known = _bounded(index(templates if isinstance(templates, DataFrame) else spark.createDataFrame(templates, "id string, text string"), percent, miss))
     names = docs.drop("licenses", "n_licenses").columns
-    if not known:
-        return docs.select(*names, F.array().cast("array<string>").alias("licenses"), F.lit(0).cast("long").alias("n_licenses"))
-    rows = docs.select(F.struct(*names).alias("_row"), words(F.col("text").cast("string")).alias("words"))
-    columns = sorted({c for t in known for c in t["keys"]})
-    values = {c: sorted({v for t in known for v in t["keys"].get(c, [])}) for c in columns}
-    literal = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
-    rows = _hashes(rows).select("_row", "words", *[F.array_intersect(c, literal(values[c])).alias(c) for c in columns])
-    rows = rows.withColumn("met", F.expr(" + ".join(f"size({c})" for c in columns)))
-    # only where a band value met: shingles as text, for the exact check
-    rows = rows.withColumn("shingles", F.expr(f"if(met > 0, transform(sequence(1, size(words) - {SHINGLE - 1}), i -> array_join(slice(words, i, {SHINGLE}), ' ')), cast(array() as array<string>))"))
-
-    def found(t: dict) -> Column:
-        retrieved = F.lit(False)
-        for c, keys in t["keys"].items():
-            retrieved = retrieved | F.arrays_overlap(c, literal(keys))
-        own = F.array(*map(F.lit, t["shingles"]))
-        least = -(-percent * len(t["shingles"]) // 100)
-        contained = F.exists(F.sequence(F.lit(1), F.greatest(F.size("shingles"), F.lit(1))), lambda i: F.size(F.array_intersect(F.slice("shingles", i, t["n"]), own)) >= least)
-        return F.when((F.col("met") > 0) & retrieved & contained, F.lit(t["id"]))
-
-    hits = F.when(F.col("met") > 0, F.array_compact(F.array(*map(found, known)))).otherwise(F.array().cast("array<string>"))
+    rows = docs.select(F.struct(*names).alias("_row"), words(F.col("text").cast("string")).alias("words")).withColumn("h", _hashed())
+    keys = F.array_distinct(F.flatten(F.transform(known, lambda t: t["keys"])))
+    rows = rows.withColumn("met", F.array_intersect("h", keys))
+    # only where a band's shingle occurs: shingles as text, for the exact check
+    rows = rows.withColumn("shingles", F.expr(f"if(size(met) > 0, {_shingled('words')}, cast(array() as array<string>))"))
+
+    def meets(t: Column, key: Column, band: Column) -> Column:
+        """Some window of the template's length has this band's value."""
+        own, long = F.xxhash64(key, band), F.least(t["n"], F.size("h"))
+        start = F.struct(F.lit(0).alias("run"), F.lit(False).alias("has"), F.lit(False).alias("met"))
+
+        def step(s: Column, x: Column) -> Column:
+            g = F.xxhash64(x, band)
+            run, has = F.when(g < own, 0).otherwise(s["run"] + 1), F.when(g < own, False).otherwise(s["has"] | (g == own))
+            return F.struct(run.alias("run"), has.alias("has"), (s["met"] | (has & (run >= long))).alias("met"))
+
+        return F.aggregate("h", start, step, lambda s: s["met"])
+
+    def retrieved(t: Column) -> Column:
+        bands = F.sequence(F.lit(1), F.size(t["keys"]))
+        return F.arrays_overlap("met", t["keys"]) & F.exists(bands, lambda b: F.array_contains(F.col("met"), F.element_at(t["keys"], b)) & meets(t, F.element_at(t["keys"], b), b))
+
+    def contained(t: Column) -> Column:
+        parts = F.split(t["words"], " ")
+        own = F.transform(F.sequence(F.lit(1), F.size(parts) - (SHINGLE - 1)), lambda j: F.array_join(F.slice(parts, j, SHINGLE), " "))
+        stretch = lambda i, some: F.array_contains(some, F.element_at("shingles", i)) & (F.size(F.array_intersect(F.slice("shingles", i, t["n"]), some)) >= t["least"])
+        anywhere = lambda some: (F.size(some) >= t["least"]) & F.exists(F.sequence(F.lit(1), F.size("shingles")), lambda i: stretch(i, some))
+        return F.exists(F.array(F.array_intersect("shingles", own)), anywhere)  # what the text has of the template, evaluated once
+
+    found = F.transform(F.filter(known, lambda t: retrieved(t) & contained(t)), lambda t: t["id"])
+    hits = F.when(F.size("met") > 0, F.array_sort(F.array_distinct(found))).otherwise(F.array().cast("array<string>"))
     out = rows.select("_row", hits.alias("licenses"))
     return out.select("_row.*", "licenses", F.size("licenses").cast("long").alias("n_licenses"))
 
 
+def _bounded(templates: DataFrame) -> Column:
+    """The indexed templates as one literal; its size is checked before anything is collected."""
+    size = templates.agg(F.coalesce(F.sum(F.length("words")), F.lit(0)).alias("x")).first().x
+    if size > TEMPLATE_CHARACTERS:
+        raise ValueError(f"templates of {size} characters, more than {TEMPLATE_CHARACTERS}")
+    text = templates.agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "words", "n", "least", "keys")))).alias("x")).first().x
+    return F.from_json(F.lit(text or "[]"), TEMPLATE)
+
+
 def _sql() -> str:
     values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in TEMPLATES)
     split = rf"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{BREAK}'), lambda x: x <> '')"

@@ -123,6 +123,54 @@ def test_op3_on_odd_rows(spark, odd):
     assert licenses.scan(df, [("short", "two words")]).filter("n_licenses > 0").count() == 0
 
 
+def test_op3_many_full_templates(spark):
+    """Three hundred templates of up to 400 words as a table, in whole, edited and marginal copies: equal to brute force over all stretches."""
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(500)]
+    templates = [(f"t{i:03}", rnd.choices(vocabulary, k=rnd.choice([5, 8, 12, 40, 150, 400]))) for i in range(300)]
+    shingled = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    texts = []
+    for _ in range(120):
+        noise, (_, t) = rnd.choices(vocabulary, k=rnd.randrange(60)), rnd.choice(templates)
+        t = list(t)
+        for at in rnd.sample(range(len(t)), min(len(t), rnd.choice([0, 0, 1, 2, len(t) // 25, len(t) // 20]))):
+            t[at] = "edited"
+        if rnd.random() < 0.3:
+            half = len(t) // 2
+            t = t[half:] + t[:half]
+        if rnd.random() < 0.3:
+            t = t[: len(t) * rnd.choice([82, 85, 95]) // 100]
+        texts.append(noise + t + rnd.choices(vocabulary, k=rnd.randrange(60)))
+    sets = [(i, set(shingled(t)), len(t) - 4) for i, t in templates]
+    want = {}
+    for d, w in enumerate(texts):
+        s = shingled(w)
+        want[d] = [i for i, own, n in sets if own & set(s) and any(100 * len(own & set(s[at : at + n])) >= 80 * len(own) for at in range(len(s)))]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, " ".join(t)) for i, t in templates] + [(None, "one two three four five"), ("none", None), ("short", "two words")], "id string, text string")
+    found = licenses.scan(df, known)
+    assert {r.doc_id: r.licenses for r in found.collect()} == want and sum(map(len, want.values())) > 60
+    # the plan holds the templates as one literal: its expressions do not grow with them
+    lambdas = lambda x: x._jdf.queryExecution().executedPlan().toString().count("lambdafunction(")
+    assert lambdas(found) == lambdas(licenses.scan(df))
+
+
+def test_op3_bands_keep_their_promise(spark):
+    for r in licenses.index(spark.createDataFrame(licenses.TEMPLATES, "id string, text string")).collect():
+        j = r.least / (2 * r.n - r.least)
+        assert (1 - j) ** len(r["keys"]) <= licenses.MISS
+
+
+def test_op3_template_bounds(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "Released under the MIT License"), (None, None)], "doc_id long, text string")
+    assert licenses.scan(df, []).filter("n_licenses > 0").count() == 0
+    twice = licenses.scan(df, [("MIT", "Released under the MIT License"), ("MIT", "released UNDER the mit license")])
+    assert sorted(r.n_licenses for r in twice.collect()) == [0, 1]
+    monkeypatch.setattr(licenses, "TEMPLATE_CHARACTERS", 10)
+    with pytest.raises(ValueError):
+        licenses.scan(df)
+
+
 def test_op3_stays_in_the_engine(documents):
     plan = licenses.scan(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
