@@ -32,6 +32,8 @@ from .common import codes, materialize, settle, steps, words
 ENCODED = "row long, part int, doc_id long, n long, ids binary, full_crcs array<long>, rest_crc long, klass int, rank long, full_rank long"
 #: Words whose ids a worker keeps; beyond it starts anew.
 CACHE_WORDS = 500_000
+#: Words whose ids are laid end to end at once.
+GATHERED = 1 << 17
 #: Width of the stretches that gaps and filling documents are matched in.
 STRETCH = 1 << 16
 #: Sequences or partitions whose running sums one window holds: a hundred thousand such windows make a last one of as many rows.
@@ -124,8 +126,22 @@ class WordEncoder:
         (stem_code, stems), (tail_code, tails) = codes(stem), codes(tail)
         stem_ids, tail_ids = self._ids(stems.to_pylist()), self._ids(tails.to_pylist())
         ids = [stem_ids[a] + tail_ids[b] for a, b in zip(stem_code.tolist(), tail_code.tolist(), strict=True)]
-        flat_ids, end = list(map(ids.__getitem__, code.tolist())), array(self.code, [end_id]).tobytes()
-        return [b"".join(flat_ids[a:b]) + end for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        ids.append(array(self.code, [end_id]).tobytes())
+        return self._joined(ids, np.insert(code, offsets[1:], len(ids) - 1), offsets[1:] + np.arange(1, len(offsets)))
+
+    def _joined(self, ids: list[bytes], code: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The ids of texts whose words are ``code``, up to each of ``ends``: gathered from one array, ``GATHERED`` words at a time."""
+        pool = np.frombuffer(b"".join(ids), f"<u{self.item}")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.item
+        first = np.cumsum(size) - size
+        parts, before = [], np.zeros(len(code) + 1, np.int64)
+        np.cumsum(size[code], out=before[1:])
+        for at in range(0, len(code), GATHERED):
+            part = code[at : at + GATHERED]
+            places = np.repeat(first[part] - (before[at : at + len(part)] - before[at]), size[part])
+            parts.append(pool[places + np.arange(len(places))].tobytes())
+        all_, cuts = b"".join(parts), (self.item * before[np.concatenate([[0], ends])]).tolist()
+        return [all_[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, grid: int) -> DataFrame:
