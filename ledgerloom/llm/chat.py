@@ -157,3 +157,18 @@ def read_back(turns: DataFrame) -> DataFrame:
             yield pack([*out, now.row()])
 
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, READ)
+
+
+#: The whole digest in DuckDB: a text is escaped where the parser would end a turn inside it, or take a backslash from it.
+SQL = r"""
+WITH hard AS (SELECT '\### Assistant: </turn> ok' AS text),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', text FROM hard UNION ALL SELECT -7, 1, 'assistant', text FROM hard),
+f AS (SELECT *, len(text) + CASE WHEN regexp_matches(text, '\\(###|</turn>)') OR contains(chr(10) || text || chr(10), chr(10) || '</turn>' || chr(10)) THEN len(regexp_extract_all(text, '###|</turn>')) ELSE 0 END AS content,
+             4 + len(role) + len(regexp_extract_all(role, '[\\\n]')) + 9 AS marks FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(marks + content + CASE WHEN text = '' THEN 0 ELSE 1 END) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""

@@ -224,3 +224,17 @@ def _in_passes(docs: DataFrame, parts: list[DataFrame], window: int) -> DataFram
             yield _with_results(batch.select(own), offsets, np.cumsum(edge[:-1]) > 0, items)
 
     return numbered.join(merged, "_row", "left").mapInArrow(join, ", ".join([*form, ADDED]))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS m
+      FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+pattern AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, m, array_to_string(w[j:j + m - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS j FROM b)),
+window_ AS (SELECT r, j, m, array_to_string(w[j:j + m - 1], ' ') AS s FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS j FROM d, (SELECT DISTINCT m FROM pattern))),
+found AS (SELECT r, j, m, item FROM window_ JOIN pattern USING (m, s)),
+hit AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(j, j + m)) AS k FROM (SELECT DISTINCT r, j, m FROM found)) GROUP BY r),
+items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS x FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items.x, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""

@@ -242,3 +242,17 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return some.unionByName(own.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+#: The classes of 3-word shingles at 90 percent. Documents with equal sets stand for each other before shingles are joined.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) AS i FROM d)),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS x FROM s GROUP BY doc_id),
+reps AS (SELECT n, x, min(doc_id) AS rep FROM sets GROUP BY n, x),
+r AS (SELECT rep, n, g FROM reps JOIN s ON s.doc_id = rep),
+links AS (SELECT a.rep AS u, b.rep AS v FROM r a JOIN r b ON a.g = b.g AND a.rep <> b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+          GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT rep AS u, rep AS v FROM reps UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v),
+least_ AS (SELECT u, min(v) AS c FROM reach GROUP BY u)
+SELECT d.doc_id, CAST(coalesce(sets.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(least_.c, d.doc_id) AS BIGINT) AS component_id
+FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN reps ON reps.n = sets.n AND reps.x = sets.x LEFT JOIN least_ ON least_.u = reps.rep
+"""

@@ -106,4 +106,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op1_repetition_rules": repetition.SQL,
     "op3_license_scan": licenses.SQL,
+    "op5_jaccard_join": jaccard.SQL,
+    "op6_decontamination": decontaminate.SQL,
+    "op9_chat_formatting": chat.SQL,
 }
