@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import sys
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -105,8 +106,14 @@ def settle(spark: SparkSession) -> None:
     trim()
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold at most ``limit`` bytes in ``column`` (one row at least): bounds a worker's memory."""
+#: The module under which a Python worker keeps what serves its later tasks.
+KEPT = "_loom_encoders"
+
+
+def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold at most ``limit`` bytes in ``column`` (one row at least): bounds a worker's memory. Unless told to ``keep`` them, a worker gives up what it kept for tasks of another kind."""
+    if not keep:
+        sys.modules.pop(KEPT, None)
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8
         ends = np.cumsum(size)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import codes, materialize, settle, steps, words
+from .common import KEPT, codes, materialize, settle, steps, words
 
 ENCODED = "row long, part int, doc_id long, n long, ids binary, full_crcs array<long>, rest_crc long, klass int, rank long, full_rank long"
 #: Words whose ids a worker keeps; beyond it starts anew.
@@ -81,7 +81,7 @@ class WordEncoder:
         import sys
         import types
 
-        kept = sys.modules.setdefault("_loom_encoders", types.ModuleType("_loom_encoders")).__dict__
+        kept = sys.modules.setdefault(KEPT, types.ModuleType(KEPT)).__dict__
         if path not in kept:
             kept[path] = cls(path)
         return kept[path]
@@ -152,7 +152,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, gri
 
         part, row, fulls, encoder = TaskContext.get().partitionId(), 0, 0, WordEncoder.of_worker(tokenizer_path)
         seen = np.zeros(capacity // grid + 2, np.int64)
-        for batch in steps(batches, "text", 4 << 20):
+        for batch in steps(batches, "text", 4 << 20, keep=True):
             ids = encoder(batch.column("text"), end_id)
             n = np.fromiter(map(len, ids), np.int64, len(ids)) // encoder.item
             rest = n % capacity
