@@ -239,13 +239,88 @@ def value_below(anchor: DataFrame, words: DataFrame, height: DataFrame, keys: li
     return near.withColumn("_r", rank).filter("_r = 1").select(*[F.col(f"a.{k}") for k in keys], "a.fact", "w.text", "w.confidence")
 
 
-def facts(words: DataFrame, pages: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """The facts of declaration pages that have all of rate, quantity and both dates. pages: keys, height."""
-    lined = lines(words, keys)
-    below = value_below(anchors(heading_candidates(lined, keys), keys), words, pages, keys)
-    title = words.filter(F.upper("text").contains("DECLARATION")).groupBy(*keys).agg(F.min_by("text", F.struct("y0", "x0")).alias("title"))
-    of = lambda fact: F.max(F.when(F.col("fact") == fact, F.col("text")))
-    raw = below.groupBy(*keys).agg(*[of(f).alias(f) for f in dict.fromkeys(f for f, _ in NEEDLES)], F.min("confidence").alias("confidence")).join(title, keys, "left")
+#: The facts, in the order in which ``_below`` gives their words.
+FACTS = list(dict.fromkeys(fact for fact, _ in NEEDLES))
+
+
+def _share(a0: float, a1: float, b0: float, b1: float) -> float:
+    narrow = min(a1 - a0, b1 - b0)
+    return max(0.0, min(a1, b1) - max(a0, b0)) / narrow if narrow > 0 else 0.0
+
+
+def _headings(x0: list, y0: list, x1: list, y1: list, folded: list) -> dict[str, tuple]:
+    """``lines``, ``heading_candidates`` and ``anchors`` of one page whose words are sorted by centre: for each fact that has a heading, x0, x1 and bottom."""
+    tall = [b - a for a, b in zip(y0, y1, strict=True)]
+    heights = sorted(h for h in tall if h == h)
+    limit = LINE_TOLERANCE * heights[len(heights) // 2] if heights else float("inf")
+    by_line: list[list[int]] = []
+    for i in range(len(x0)):
+        if not i or (y0[i] + y1[i]) / 2 - (y0[i - 1] + y1[i - 1]) / 2 > limit:
+            by_line.append([])
+        by_line[-1].append(i)
+    best: dict[str, tuple] = {}
+
+    def meet(f: str, parts: int, left: float, top: float, right: float, bottom: float) -> None:
+        for rank, (fact, needle) in enumerate(NEEDLES):
+            at = f.find(needle)
+            if at >= 0:
+                width, size, whole = right - left, len(needle), len(f)
+                found = (-(size / whole), rank, parts, top, left + width * at / whole, left + width * (at + size) / whole, bottom)
+                if fact not in best or found < best[fact]:
+                    best[fact] = found
+
+    for i, f in enumerate(folded):
+        meet(f or "", 1, x0[i], y0[i], x1[i], y1[i])
+    for upper, lower in zip(by_line, by_line[1:], strict=False):
+        for i in upper:
+            for j in lower:
+                if -0.5 * tall[i] <= y0[j] - y1[i] <= 1.4 * tall[i] and _share(x0[i], x1[i], x0[j], x1[j]) >= 0.30:
+                    meet((folded[i] or "") + (folded[j] or ""), 2, min(x0[i], x0[j]), y0[i], max(x1[i], x1[j]), y1[j])
+    return {fact: found[4:] for fact, found in best.items()}
+
+
+def _below(x0: list, y0: list, x1: list, y1: list, text: list, folded: list, height: float) -> list[int]:
+    """``value_below`` of one page: the place of each fact's word among the page's, -1 where there is none."""
+    heads, out = _headings(x0, y0, x1, y1, folded), []
+    for fact in FACTS:
+        best = None
+        if fact in heads:
+            left, right, bottom = heads[fact]
+            for i in range(len(x0)):
+                if y0[i] >= bottom - 2 and y0[i] - bottom <= 0.10 * height and (share := _share(left, right, x0[i], x1[i])) >= 0.30:
+                    rank = (y0[i], -share, x0[i], text[i] is not None, text[i] or "", i)
+                    best = rank if best is None or rank < best else best
+        out.append(-1 if best is None else best[-1])
+    return out
+
+
+def _pages_of_words(words: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each page with words: keys, _words (its words from top to bottom), title, _wide (the share of words that are wider than high) and _height. Heights come as further rows, not by a join: words that lie by document stay there."""
+    box = ["x0", "y0", "x1", "y1", "confidence"]
+    yc = (F.col("y0") + F.col("y1")) / 2
+    word = F.struct(yc.alias("yc"), "x0", "text", "y0", "x1", "y1", "confidence")
+    rows = words.select(*keys, F.col("text").cast("string").alias("text"), *[F.col(c).cast("double").alias(c) for c in box], F.lit(True).alias("_word"), F.lit(None).cast("double").alias("_height"))
+    rows = rows.unionByName(pages.select(*keys, F.lit(None).cast("string").alias("text"), *[F.lit(None).cast("double").alias(c) for c in box], F.lit(False).alias("_word"), F.col("height").cast("double").alias("_height")))
+    heads = F.when(F.upper("text").contains("DECLARATION"), F.struct("y0", "x0", "text"))
+    wide = F.avg((F.col("x1") - F.col("x0") > F.col("y1") - F.col("y0")).cast("double"))
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("_word"), word))).alias("_words"), F.min(heads)["text"].alias("title"), wide.alias("_wide"), F.max("_height").alias("_height"))  # a page's words
+
+
+def _facts_of_pages(grouped: DataFrame, keys: list[str]) -> DataFrame:
+    """``facts`` of what ``_pages_of_words`` gives: headings and values are found in the arrays, so that words are dealt out once and no join is planned for each step."""
+
+    @F.pandas_udf("array<int>")
+    def places(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, text: pd.Series, folded: pd.Series, height: pd.Series) -> pd.Series:
+        rows = zip(x0, y0, x1, y1, text, folded, height, strict=True)
+        return pd.Series([_below(*[v.tolist() for v in box], list(t), list(f), h) for *box, t, f, h in rows], dtype=object)
+
+    once = places.asNondeterministic()  # else filters on what it found run it again
+    of = lambda name: F.transform("_words", lambda w: w[name])
+    folded = F.transform("_words", lambda w: S.fold(w["text"]))
+    found = grouped.filter((F.size("_words") > 0) & F.col("_height").isNotNull()).dropna(subset=keys)
+    found = found.withColumn("_at", once(of("x0"), of("y0"), of("x1"), of("y1"), of("text"), folded, "_height"))
+    word = lambda i: F.when(F.col("_at")[i] >= 0, F.get("_words", F.col("_at")[i]))
+    raw = found.select(*keys, "title", *[word(i)["text"].alias(fact) for i, fact in enumerate(FACTS)], F.array_min(F.array(*[word(i)["confidence"] for i in range(len(FACTS))])).alias("confidence"))
     comma = lambda c: S.parse_amount(F.col(c), F.lit(","))
     out = raw.select(
         *keys, "title", F.coalesce(S.first_percent(F.col("taux")), S.first_percent(F.col("libelle"))).alias("taux"), S.first_int(F.col("quantite")).alias("quantite"),
@@ -255,14 +330,18 @@ def facts(words: DataFrame, pages: DataFrame, keys: list[str] = PAGE) -> DataFra
     return out.dropna(subset=["taux", "quantite", "date_souscription", "date_remboursement"])
 
 
+def facts(words: DataFrame, pages: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """The facts of declaration pages that have all of rate, quantity and both dates. pages: keys, height."""
+    return _facts_of_pages(_pages_of_words(words, pages, keys), keys)
+
+
 def declaration_facts(words: DataFrame, pages: DataFrame) -> DataFrame:
     """The facts of each declaration page, from the first of its rotated readings that gives them. words: readings with rotation; pages: doc_id, page_no, rotation, height.
 
     A reading is tried only if enough of its words are wider than high.
     """
     keys = [*PAGE, "rotation"]
-    wide = words.groupBy(*keys).agg(F.avg((F.col("x1") - F.col("x0") > F.col("y1") - F.col("y0")).cast("double")).alias("_w")).filter(F.col("_w") >= WIDE_SHARE).select(*keys)
-    found = facts(words.join(wide, keys), pages, keys)
+    found = _facts_of_pages(_pages_of_words(words, pages, keys).filter(F.col("_wide") >= WIDE_SHARE), keys)
     order = F.array_position(F.array(*map(F.lit, ROTATIONS)), F.col("rotation"))
     first = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.when(order > 0, order).otherwise(len(ROTATIONS) + 1), "rotation"))
     return found.withColumn("_r", first).filter("_r = 1").drop("_r")

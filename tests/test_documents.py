@@ -158,3 +158,26 @@ def test_functions_by_name(spark):
     registry.register(spark)
     got = spark.sql("SELECT nfkc('ﬁn ①') AS n, parse_amount('(1,234.50)') AS a, parse_amount('1.234', ',') AS c, parse_cell_date('4 avril 2025') AS d, is_blank_marker('n/a') AS b, repair_ocr_digits('1,2S4.56') AS r, fold_text('Débit (TND)') AS f").first()
     assert (got.n, got.a, got.c, str(got.d), got.b, got.r, got.f) == ("fin 1", -1234.5, 1234.0, "2025-04-04", True, "1,254.56", "debittnd")
+
+
+def test_declaration_facts_deal_out_words_once(spark):
+    """No join is planned between the steps: there were 15, with 31 exchanges, which the driver kept each time it planned anew."""
+    from ledgerloom.operators import geometry
+
+    words = spark.createDataFrame([], "doc_id string, page_no int, rotation int, text string, x0 double, y0 double, x1 double, y1 double, confidence double")
+    pages = spark.createDataFrame([], "doc_id string, page_no int, rotation int, height double")
+    plan = geometry.declaration_facts(words, pages)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan
+
+
+def test_declaration_facts_of_a_lone_reading_without_height(spark):
+    """A reading without a height gives nothing, as before; the other reading of the page is taken."""
+    from ledgerloom.operators import geometry
+
+    from test_statements import WORDS
+
+    rows = [("d", 1, r, t, *map(float, b.split(",")), 0.98) for r in (270, 90) for t, b in (x.split("|") for x in WORDS.split(";"))]
+    words = spark.createDataFrame(rows, "doc_id string, page_no int, rotation int, text string, x0 double, y0 double, x1 double, y1 double, confidence double")
+    pages = spark.createDataFrame([("d", 1, 90, 1650.0), ("d", 1, 270, None)], "doc_id string, page_no int, rotation int, height double")
+    got = geometry.declaration_facts(words, pages).collect()
+    assert [(r.rotation, r.taux, r.quantite, r.confidence) for r in got] == [(90, 8.0, 10, 0.98)]
