@@ -55,8 +55,9 @@ def from_facts(facts: DataFrame, pool: DataFrame | None = None, ledger: DataFram
     else:
         detail = F.when(has & F.col("is_new"), F.concat("isin", F.lit(" newly taken from the pool."))).when(has, F.concat("isin", F.lit(" already held by this instrument."))).otherwise(F.coalesce("issuer_error", F.lit("The sheet has no free code left.")))
         told = _check(out, 0, "isin_allocated", has, F.when(has, "info").otherwise("error"), detail)
-    own = instruments.reconcile(out).select("doc_id", F.lit(0).alias("table_id"), F.lit(1).alias("seq"), "id", "passed", F.when(F.col("passed"), "info").otherwise("error").alias("severity"), F.lit("").alias("detail"))
-    read = out.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("confidence").alias("c"))
+    # what follows needs no code: without the allocation its plan is a scan, not one more allocation each
+    own = instruments.reconcile(keyed).select("doc_id", F.lit(0).alias("table_id"), F.lit(1).alias("seq"), "id", "passed", F.when(F.col("passed"), "info").otherwise("error").alias("severity"), F.lit("").alias("detail"))
+    read = keyed.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("confidence").alias("c"))
     found = _check(read, 2, "declaration_read", F.lit(True), F.lit("info"), F.concat(S.counted(F.col("n"), "declaration row"), F.lit(", least confidence "), F.round(F.col("c") * 100).cast("int").cast("string"), F.lit("%.")))
-    open_ = checks.unresolved_mapping(out.select("doc_id").distinct())
+    open_ = checks.unresolved_mapping(keyed.select("doc_id").distinct())
     return Declarations(out, instruments.to_rows(out, config=config), told.unionByName(own).unionByName(found).unionByName(open_), allocated)

@@ -181,3 +181,13 @@ def test_declaration_facts_of_a_lone_reading_without_height(spark):
     pages = spark.createDataFrame([("d", 1, 90, 1650.0), ("d", 1, 270, None)], "doc_id string, page_no int, rotation int, height double")
     got = geometry.declaration_facts(words, pages).collect()
     assert [(r.rotation, r.taux, r.quantite, r.confidence) for r in got] == [(90, 8.0, 10, 0.98)]
+
+
+def test_declaration_checks_allocate_once(spark):
+    """Only the check of the code itself needs the allocation; all four branches repeated it, which the driver planned and kept."""
+    facts = spark.createDataFrame([("d", 1, 0.9, "DECLARATION CIL", 5.0, 2, None, None, None, None)], "doc_id string, page_no int, confidence double, title string, taux double, quantite int, date_souscription date, date_remboursement date, prix_unitaire double, montant double")
+    pool = spark.createDataFrame([("compagnie internationale de leasing emetteur cd", 0, "c0")], "sheet string, position int, code string")
+    done = declarations.from_facts(facts, pool)
+    planned = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("row_number(")
+    assert 0 < planned(done.checks) <= planned(done.allocated)
+    assert {(r.id, r.detail) for r in done.checks.filter("id = 'isin_allocated'").collect()} == {("isin_allocated", "c0 newly taken from the pool.")}
