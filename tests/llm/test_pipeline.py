@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against brute-force versions on the smallest tables."""
 
+from pathlib import Path
 
 from test_operators import SF, brute_classes, brute_hits, check_packing
 
@@ -76,3 +77,10 @@ def test_stages_on_odd_rows(spark):
         wide = materialize(out, "odd")
     pieces = corpus_pipeline.packed(spark, wide, SF)
     assert sum(r.length for r in pieces.collect()) > 0
+
+
+def test_written_tables_are_data_only(spark):
+    out = materialize(spark.range(10), "bare")
+    names = [p.name for p in Path(out._loom_path.removeprefix("file://")).iterdir() if not p.name.endswith(".crc")]
+    assert names and all(n.startswith("part-") for n in names)
+    assert out.count() == 10
