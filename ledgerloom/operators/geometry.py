@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from statistics import median
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import placing
 
 #: Width that x is scaled to; the share of rows that may cross a corridor; its least width, in pixels and as a share.
 PAGE_WIDTH, CROSSING, GAP_PIXELS, GAP_SHARE = 1000, 0.06, 6, 0.010
@@ -143,116 +142,39 @@ def assign_cells(words: DataFrame, keys: list[str]) -> DataFrame:
     return placed.groupBy(*keys, "visual_row", "col_no").agg(text.alias("raw"), F.min("confidence").alias("conf"))
 
 
-def _by_rules(centre: list, rules: list) -> list[int]:
-    """``row_bands`` of one page: the row of each word, -1 outside."""
-    ys = sorted(rules)
-    bands = [sum(y <= c for y in ys) for c in centre]
-    rank = {b: i for i, b in enumerate(sorted({b for b in bands if 0 < b < len(ys)}))}
-    return [rank.get(b, -1) for b in bands]
-
-
-def _by_place(centre: list, limit: float) -> list[int]:
-    """Rows from top to bottom: a word joins the row whose mean centre is within ``limit``."""
-    rows, at, total, n = [], -1, 0.0, 0
-    for y in centre:
-        if at < 0 or abs(y - total / n) > limit:
-            at, total, n = at + 1, 0.0, 0
-        total, n = total + y, n + 1
-        rows.append(at)
-    return rows
-
-
-def _band(centre: list, rows: list[int]) -> tuple[int, int] | None:
-    """``longest_run`` of ``in_body`` of one page: first and last row of the longest run on the median pitch."""
-    total, n = [0.0] * (rows[-1] + 1), [0] * (rows[-1] + 1)
-    for y, r in zip(centre, rows, strict=True):
-        total[r], n[r] = total[r] + y, n[r] + 1
-    means = [t / k for t, k in zip(total, n, strict=True)]
-    if len(means) < 5:
-        return None
-    pitch = [b - a for a, b in zip(means, means[1:], strict=False)]
-    mid = median(pitch)
-    near = [abs(p - mid) <= PITCH * mid for p in pitch]
-    best, start, last = None, None, None
-    for r in range(len(means)):
-        if (r and near[r - 1]) or (r < len(near) and near[r]):
-            if start is None or r - last > 2:
-                start = r
-            last = r
-            if best is None or last - start > best[1] - best[0]:
-                best = (start, last)
-    return best if best and best[1] - best[0] + 1 >= 3 else None
-
-
-def placed_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
-    """A row for each page that has words: its columns of ``pages``, _words (from top to bottom) and _at: for each word -1 where it is in no row, else four times its row, plus two in the table's body, plus one in the table.
-
-    words: doc_id, page_no, text, x0, y0, x1, y1, confidence; pages: doc_id, page_no, width, height, kind, x_rules, y_rules. Rows lie
-    between a page's rules, or go by position; without rules the body is the longest run of rows on a regular pitch, and
-    the table that and one row above. Pages without a clear pitch keep all rows. Pages come as further rows of one grouping,
-    not by a join: words that lie by document stay there.
-    """
-    about = [c for c in pages.columns if c not in PAGE]
-    word = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("yc"), "x0", "text", "x1", "y0", "y1", "confidence")
-    page = F.struct(*about)
-    rows = words.withColumn("_w", word).select(*PAGE, "_w", F.lit(None).cast(pages.select(page.alias("p")).schema["p"].dataType).alias("_p"))
-    rows = rows.unionByName(pages.select(*PAGE, F.lit(None).cast(rows.schema["_w"].dataType).alias("_w"), page.alias("_p")))
-    grouped = rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list("_w")).alias("_words"), F.first("_p", ignorenulls=True).alias("_p"))  # a page's words
-    grouped = grouped.filter((F.size("_words") > 0) & F.col("_p").isNotNull()).dropna(subset=PAGE).select(*PAGE, "_words", "_p.*")
-
-    @F.pandas_udf("array<int>")
-    def place(centres: pd.Series, tops: pd.Series, bottoms: pd.Series, rules: pd.Series) -> pd.Series:
-        out = []
-        for ys, top, bottom, lines in zip(centres, tops, bottoms, rules, strict=True):
-            centre = ys.tolist()
-            if lines is not None and len(lines) >= RULES:
-                out.append([-1 if r < 0 else 4 * r + 3 for r in _by_rules(centre, lines.tolist())])
-                continue
-            high = [h for h in (bottom - top).tolist() if h > 0]
-            at = _by_place(centre, ROW_TOLERANCE * median(high) if high else 12.0)
-            a, b = _band(centre, at) or (0, at[-1])
-            out.append([4 * r + 2 * (a <= r <= b) + (a - 1 <= r <= b) for r in at])
-        return pd.Series(out, dtype=object)
-
-    of = lambda name: F.transform("_words", lambda w: w[name].cast("double"))
-    once = place.asNondeterministic()  # else filters on what it found run it again
-    return grouped.withColumn("_at", once(of("yc"), of("y0"), of("y1"), F.transform("y_rules", lambda y: y.cast("double"))))
+#: What ``page_rows`` gets of a chunk's rows, beside document and page.
+TABLES = "row_no int, cells array<string>, confs array<double>, kind string, grid boolean, top double, bottom double, page_height double"
 
 
 def page_rows(words: DataFrame, pages: DataFrame) -> DataFrame:
     """Positioned words as the engine's page rows: doc_id, page_no, table_no, row_no, cells, confs, kind, extractor, top, bottom, page_height.
 
-    Columns are shared by a document's pages: the bodies of all pages without vertical rules are scaled to one width and
-    swept once per document. A digital page gives a table if it has two rows and two columns; a scanned one always.
-    words and pages as in ``placed_pages``; pages' rules may be null. Pages are placed twice, for the sweep and for the
-    cells: that takes time, but neither disk nor another deal of the words.
+    words: doc_id, page_no, text, x0, y0, x1, y1, confidence; pages: doc_id, page_no, width, height, kind, x_rules, y_rules (both null
+    or arrays). Rows lie between a page's rules, or go by position; without rules the body is the longest run of rows on a regular
+    pitch, and the table that and one row above. Pages without a clear pitch keep all rows. Columns are shared by a document's
+    pages: the bodies of all pages without vertical rules are scaled to one width and swept once per document. A digital page
+    gives a table if it has two rows and two columns; a scanned one always.
+
+    Words are sorted by document once and placed many pages at a time (``placing``), a document's pages by one task. Pages and
+    each of their rules come as further rows, not by a join and not as nested columns that all words would carry: words that lie by document stay there.
     """
-    placed = placed_pages(words, pages)
-    each = F.explode(F.arrays_zip("_words", "_at")).alias("_z")
-    scale = F.lit(float(PAGE_WIDTH)) / F.col("width")
-    pooled = placed.filter(~ruled(F.col("x_rules")) & (F.col("width") > 0)).select(*PAGE, scale.alias("_s"), each).filter((F.col("_z._at") >= 0) & (F.col("_z._at") % 4 >= 2))
-    pooled = pooled.select("doc_id", F.struct("page_no", F.floor(F.col("_z._at") / 4).alias("visual_row")).alias("row"), (F.col("_z._words.x0") * F.col("_s")).alias("x0"), (F.col("_z._words.x1") * F.col("_s")).alias("x1"))
-    shared = corridors(pooled, ["doc_id"]).select("doc_id", F.col("boundaries").alias("_shared"))
-    table = placed.join(shared, "doc_id", "left")
-    scaled = F.transform("_shared", lambda b: b * F.col("width") / PAGE_WIDTH)
-    table = table.withColumn("boundaries", F.when(ruled(F.col("x_rules")), F.sort_array("x_rules")).otherwise(scaled)).filter("boundaries is not null")
-    inside = F.filter(F.arrays_zip("_words", "_at"), lambda z: (z["_at"] >= 0) & (z["_at"] % 2 == 1))
-    table = table.withColumn("_z", inside).filter(F.size("_z") > 0)
-    edge = lambda name: F.transform("_z", lambda z: z["_words"][name])
-    of_page = [*PAGE, "top", "bottom", "page_height", "kind", "_n", "_grid"]
-    table = table.select(
-        *PAGE, F.array_min(edge("y0")).alias("top"), F.array_max(edge("y1")).alias("bottom"), F.col("height").alias("page_height"), "kind", (F.size("boundaries") - 1).alias("_n"), ruled(F.col("x_rules")).alias("_grid"),
-        "boundaries", F.explode("_z").alias("_z"),
-    ).select(*of_page, "boundaries", F.floor(F.col("_z._at") / 4).cast("int").alias("visual_row"), "_z._words.*")
-    cells = assign_cells(table, of_page).groupBy(*of_page, "visual_row").agg(F.map_from_entries(F.collect_list(F.struct("col_no", F.struct("raw", "conf")))).alias("_c"))
-    columns = F.sequence(F.lit(0), F.col("_n") - 1)
-    at = lambda i: F.try_element_at(F.col("_c"), i)
-    rows = cells.withColumn("cells", F.transform(columns, lambda i: F.coalesce(at(i)["raw"], F.lit("")))).withColumn("confs", F.transform(columns, lambda i: F.coalesce(at(i)["conf"], F.lit(1.0))))
-    rows = rows.filter(F.exists("cells", lambda c: F.trim(c) != "")).withColumn("_rows", F.count("*").over(Window.partitionBy(*PAGE)))
-    rows = rows.filter((F.col("kind") == "scanned") | ((F.col("_rows") >= 2) & (F.col("_n") >= 2)))
-    extractor = F.when(F.col("kind") != "scanned", "text-columns").when(F.col("_grid"), "ocr-grid").otherwise("ocr-columns")
-    order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("visual_row")) - 1
-    return rows.select(*PAGE, F.lit(0).alias("table_no"), order.alias("row_no"), "cells", "confs", "kind", extractor.alias("extractor"), "top", "bottom", "page_height")
+    box = ["x0", "y0", "x1", "y1", "confidence"]
+    no, part = F.lit(None).cast("double"), lambda kind, x, y=None, text=None: F.struct(F.lit(kind).alias("_part"), (F.lit(None).cast("string") if text is None else text.cast("string")).alias("text"), x.cast("double").alias("x0"), (F.lit(None) if y is None else y).cast("double").alias("y0"))
+    rules = lambda name, kind: F.coalesce(F.transform(name, lambda x: part(kind, x)), F.array().cast("array<struct<_part:int,text:string,x0:double,y0:double>>"))
+    parts = F.concat(F.array(part(placing.ABOUT, F.col("width"), F.col("height"), F.col("kind"))), rules("x_rules", placing.X_RULE), rules("y_rules", placing.Y_RULE))
+    rows = pages.select(*PAGE, F.explode(parts).alias("_z")).select(*PAGE, "_z._part", "_z.text", "_z.x0", "_z.y0", no.alias("x1"), no.alias("y1"), no.alias("confidence"))
+    rows = rows.unionByName(words.select(*PAGE, F.lit(placing.WORD).alias("_part"), F.col("text").cast("string").alias("text"), *[F.col(c).cast("double").alias(c) for c in box]))
+    order = Window.partitionBy("doc_id").orderBy("page_no", "_part", "x0", "text")  # a document's words lie together; the number says where it begins
+    rows = rows.dropna(subset=PAGE).withColumn("_i", F.row_number().over(order))
+    settings = {"width": PAGE_WIDTH, "crossing": CROSSING, "gap": max(GAP_PIXELS, int(GAP_SHARE * PAGE_WIDTH)), "tolerance": ROW_TOLERANCE, "pitch": PITCH, "rules": RULES, "chunk": placing.CHUNK, "long": placing.LONG}
+
+    def run(batches):
+        return placing.page_tables(batches, settings)
+
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*PAGE).schema)
+    found = rows.mapInArrow(run, f"{keys}, {TABLES}")
+    extractor = F.when(F.col("kind") != "scanned", "text-columns").when(F.col("grid"), "ocr-grid").otherwise("ocr-columns")
+    return found.select(*PAGE, F.lit(0).alias("table_no"), "row_no", "cells", "confs", "kind", extractor.alias("extractor"), "top", "bottom", "page_height")
 
 
 def choose_rotation(rotations: DataFrame, keys: list[str] = PAGE) -> DataFrame:

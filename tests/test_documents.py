@@ -207,3 +207,157 @@ def test_page_rows_keep_no_words_on_disk(spark, monkeypatch):
     plan = geometry.page_rows(words, pages)._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
     assert dealt and not any("page_no" in line.split("hashpartitioning(")[1] for line in dealt)
+
+
+def _page_by_hand(words, width, x_rules, y_rules):
+    """(row, in the body, in the table) of each word of one page, a word at a time."""
+    from statistics import median
+
+    words = sorted(words, key=lambda w: ((w[2] + w[4]) / 2, w[1], w[0]))
+    ys = [(w[2] + w[4]) / 2 for w in words]
+    if y_rules and len(y_rules) >= 3:
+        bands = [sum(r <= y for r in y_rules) for y in ys]
+        rank = {b: i for i, b in enumerate(sorted({b for b in bands if 0 < b < len(y_rules)}))}
+        return [(w, rank[b], True, True) for w, b in zip(words, bands, strict=True) if b in rank]
+    high = [w[4] - w[2] for w in words if w[4] > w[2]]
+    limit, rows, own = 0.55 * median(high) if high else 12.0, [], []
+    for y in ys:
+        if not own or abs(y - sum(own) / len(own)) > limit:
+            own = []
+            rows.append(own)
+        own.append(y)
+    at = [i for i, r in enumerate(rows) for _ in r]
+    means = [sum(r) / len(r) for r in rows]
+    first, last = 0, len(rows) - 1
+    if len(rows) >= 5:
+        pitch = [b - a for a, b in zip(means, means[1:], strict=False)]
+        near = [abs(p - median(pitch)) <= 0.18 * median(pitch) for p in pitch]
+        true = [r for r in range(len(rows)) if (r and near[r - 1]) or (r < len(near) and near[r])]
+        runs = []
+        for r in true:
+            if runs and r - runs[-1][1] <= 2:
+                runs[-1][1] = r
+            else:
+                runs.append([r, r])
+        best = max(runs, key=lambda x: x[1] - x[0], default=None)
+        first, last = best if best and best[1] - best[0] >= 2 else (first, last)
+    return [(w, r, first <= r <= last, first - 1 <= r <= last) for w, r in zip(words, at, strict=True)]
+
+
+def _tables_by_hand(pages, words):
+    """{(doc, page): [(cells, least confidence)]}: pages' columns from the places that hardly a row of their document covers."""
+    placed = {}
+    for k, (width, _, kind, xs, ys) in pages.items():
+        placed[k] = _page_by_hand([w[2:] for w in words if w[:2] == k], width, xs, ys)
+    out = {}
+    for doc in {k[0] for k in pages}:
+        rows = {}
+        for k, (width, _, kind, xs, ys) in pages.items():
+            if k[0] == doc and not (xs and len(xs) >= 3):
+                for w, r, body, _ in placed[k]:
+                    if body:
+                        s = 1000.0 / width
+                        rows.setdefault((k, r), []).append((w[1] * s, w[3] * s))
+        many = {k: r for k, r in rows.items() if len(r) >= 2} or rows
+        shared = None
+        if many:
+            cover = [0] * 1002
+            for r in many.values():
+                for p in {p for a, b in r for p in range(max(0, int(a // 1)), min(1001, int(-(-b // 1))) + 1)}:
+                    cover[p] += 1
+            free = [c <= max(1, int(0.06 * len(many))) for c in cover]
+            middles, a = [], None
+            for p, f in enumerate([*free, False]):
+                if f and a is None:
+                    a = p
+                elif not f and a is not None:
+                    if p - a >= 10 and a > 0 and p - 1 < 1001:
+                        middles.append((a + p - 1) / 2)
+                    a = None
+            every = [x for r in many.values() for x in r]
+            shared = [min(x[0] for x in every), *middles, max(x[1] for x in every)]
+        for k, (width, _, kind, xs, ys) in pages.items():
+            if k[0] != doc:
+                continue
+            grid = bool(xs) and len(xs) >= 3
+            bounds = sorted(xs) if grid else shared and [b * width / 1000 for b in shared]
+            if not bounds:
+                continue
+            table = {}
+            for w, r, _, inside in placed[k]:
+                if inside:
+                    c = min(len(bounds) - 2, max(0, sum(b <= (w[1] + w[3]) / 2 for b in bounds) - 1))
+                    table.setdefault(r, {}).setdefault(c, []).append(w)
+            found = []
+            for r in sorted(table):
+                cells = [" ".join(w[0] for w in sorted(table[r].get(c, []), key=lambda w: (w[1], w[0]))) for c in range(len(bounds) - 1)]
+                if any(c.strip(" ") for c in cells):
+                    found.append(("|".join(cells), min(w[5] for ws in table[r].values() for w in ws)))
+            if found and (kind == "scanned" or (len(found) >= 2 and len(bounds) > 2)):
+                out[k] = found
+    return out
+
+
+def _odd_pages(seed=7, docs=14):
+    import random
+
+    rng = random.Random(seed)
+    pages, words = {}, []
+    for doc in range(docs):
+        for page in range(1, 1 + rng.choice([1, 2, 3, 9])):
+            width = rng.choice([600.0, 612.5, 800.0])
+            ruled = rng.random()
+            xs = [30.0, 250.0, 110.0, 350.0] if ruled < 0.25 else [5.0] if ruled < 0.4 else None
+            ys = sorted(rng.uniform(50, 300) for _ in range(rng.choice([2, 3, 9]))) if rng.random() < 0.4 else None
+            pages[doc, page] = (width, 842.0, rng.choice(["scanned", "digital"]), xs, ys)
+            y = 60.0
+            for _ in range(rng.choice([0, 1, 2, 6, 25])):
+                y += rng.choice([14.0, 14.0, 14.0, 14.5, 31.0])
+                for x in (40, 180, 330, 470):
+                    if rng.random() < 0.7:
+                        x0, y0 = x + rng.choice([0.0, 0.0, 3.5, 9.0]), y + rng.choice([0.0, 0.0, 1.0, 4.0])
+                        words.append((doc, page, rng.choice(["a", "b", "é 1", " ", ""]), x0, y0, x0 + rng.choice([0.0, 20.0, 60.0, 180.0]), y0 + rng.choice([10.0, 10.0, 8.0, 0.0]), rng.choice([0.5, 0.9])))
+    return pages, words
+
+
+def test_page_rows_of_odd_pages_as_by_hand(spark):
+    """Words are placed many pages at a time, in one pass over them: one sort, one call of Python, no array of a page's words."""
+    from ledgerloom.operators import geometry
+
+    about, words = _odd_pages()
+    placed = spark.createDataFrame(words[::-1], "doc_id long, page_no int, text string, x0 double, y0 double, x1 double, y1 double, confidence double")
+    pages = spark.createDataFrame([(*k, *v) for k, v in about.items()], "doc_id long, page_no int, width double, height double, kind string, x_rules array<double>, y_rules array<double>")
+    rows = geometry.page_rows(placed, pages)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "collect_list" not in plan
+    got = {}
+    for r in rows.orderBy("doc_id", "page_no", "row_no").collect():
+        assert r.row_no == len(got.setdefault((r.doc_id, r.page_no), []))
+        got[r.doc_id, r.page_no].append(("|".join(r.cells), min(r.confs)))
+    hand = _tables_by_hand(about, words)
+    assert len(hand) > 20 and got == hand
+
+
+def test_long_documents_are_placed_in_parts():
+    """Whatever the chunks: whole documents, some of a batch, or a document in parts that wait in a file."""
+    import pyarrow as pa
+
+    from ledgerloom.operators import geometry, placing
+
+    about, words = _odd_pages(11)
+    rows = [(*k, placing.ABOUT, v[2], v[0], v[1], None, None, None) for k, v in about.items()]
+    rows += [(*k, part, None, x, None, None, None, None) for k, v in about.items() for part, xs in ((placing.X_RULE, v[3]), (placing.Y_RULE, v[4])) for x in xs or []]
+    rows += [(d, p, placing.WORD, *w) for d, p, *w in words]
+    rows.sort(key=lambda r: (*r[:3], r[4], r[3] or ""))
+    first = {d: next(i for i, r in enumerate(rows) if r[0] == d) for d in {r[0] for r in rows}}
+    names = ["doc_id", "page_no", "_part", "text", "x0", "y0", "x1", "y1", "confidence", "_i"]
+    table = pa.table({n: pa.array(c, pa.string() if n == "text" else pa.float64() if n[0] in "xyc" else pa.int64()) for n, c in zip(names, zip(*[(*r, i - first[r[0]] + 1) for i, r in enumerate(rows)], strict=True), strict=True)})
+    base = {"width": 1000, "crossing": geometry.CROSSING, "gap": 10, "tolerance": geometry.ROW_TOLERANCE, "pitch": geometry.PITCH, "rules": geometry.RULES}
+
+    def found(batch, chunk, long):
+        return [r for b in placing.page_tables(iter(table.to_batches(batch)), base | {"chunk": chunk, "long": long}) for r in b.to_pylist()]
+
+    whole = found(10_000, 100_000, 400_000)
+    assert {(r["doc_id"], r["page_no"]) for r in whole} == set(_tables_by_hand(about, words))
+    for sizes in ((1, 1, 1), (3, 5, 20), (50, 60, 60), (7, 400, 10**9)):
+        assert found(*sizes) == whole
